@@ -114,13 +114,13 @@ def bytes_of(rebuilt: DataFrame) -> DataFrame:
 def read(spark: SparkSession, archive: Archive) -> DataFrame:
     """One row per record, parsed from its header and checked against its payload: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload, verified."""
     h = F.col("header").cast("string")
-    get = lambda name, what="(.*)": F.nullif(F.regexp_extract(h, rf"(?m)^{name}: {what}\r$", 1), F.lit(""))
+    get = lambda name, what=r"([^\r\n]*)": F.nullif(F.regexp_extract(h, rf"\n{name}: {what}\r", 1), F.lit(""))
     r = records(spark, archive)
     return r.select(
         get("WARC-Record-ID", "<urn:page:(.*)>").cast("long").alias("page_id"),
         get("WARC-Target-URI").alias("url"),
         F.octet_length("payload").cast("long").alias("payload_bytes"),
-        get("WARC-Payload-Digest", "sha1:(.*)").alias("payload_digest"),
+        get("WARC-Payload-Digest", r"sha1:([^\r\n]*)").alias("payload_digest"),
         get("WARC-Type").alias("record_type"),
         get("WARC-Refers-To", "<urn:page:(.*)>").cast("long").alias("refers_to"),
         "payload",
