@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from corroborate.plans import text_queries
+
+_MODULES = (text_queries,)
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _m in _MODULES:
+    QUERIES |= _m.QUERIES
+    ORACLES |= _m.ORACLES
 
-
-def FLAGSHIP(spark, sf_dir):
-    return next(iter(QUERIES.values()))(spark, sf_dir)
+FLAGSHIP = QUERIES["chunk_documents"]
