@@ -93,25 +93,50 @@ def names_covered(claim: Column, candidate: Column) -> Column:
     return _enough(proper_names(claim), candidate) | F.exists(name_phrases(claim), lambda p: spaced.contains(p))
 
 
-def relevance(claim: Column, passage: Column, document_anchored: Column) -> Column:
-    """The share of shared tokens, moved by versions, dates and founding words; 0 where the claim needs an anchor that is nowhere."""
-    c, p = claim_tokens(claim), content_tokens(passage)
-    claim_l, passage_l = F.lower(claim), F.lower(passage)
-    time, founding = asks_time(claim_l), asks_founding(claim_l)
-    held = anchored(claim, passage) | document_anchored
-    asked, given = T.extract_all(claim_l, VERSION), T.extract_all(passage_l, VERSION)
-    versions = F.when(F.size(asked) == 0, 0.0).when(F.size(F.array_except(asked, given)) == 0, 0.4).when(F.size(given) > 0, -0.15).otherwise(0.0)
+def claim_features(claim: Column) -> Column:
+    """What relevance() needs of a claim, to be computed once for all passages."""
+    low = F.lower(claim)
+    return F.struct(
+        claim_tokens(claim).alias("tokens"),
+        query_anchors(claim).alias("anchors"),
+        T.extract_all(low, VERSION).alias("versions"),
+        asks_time(low).alias("time"),
+        asks_founding(low).alias("founding"),
+        low.contains("latest").alias("latest"),
+        low.rlike("version|release|版本|发布").alias("release"),
+    )
+
+
+def passage_features(passage: Column) -> dict[str, Column]:
+    """What relevance() needs of a passage, to be made columns of these names first: each is used more than once."""
+    low = F.lower(passage)
+    return {
+        "p_all": T.tokens(passage),
+        "p_versions": T.extract_all(low, VERSION),
+        "p_flags": F.array(low.contains("latest"), low.rlike(HAS_DATE), low.rlike(SAYS_FOUNDING), passage.contains(">>>") | passage.contains("Traceback (most recent call last)")),
+    }
+
+
+def relevance(claim: Column, document_anchored: Column) -> Column:
+    """Of claim_features() and the columns of passage_features(), the share of shared tokens, moved by versions, dates and founding words; 0 where the claim needs an anchor that is nowhere."""
+    tokens, found, given = claim["tokens"], F.col("p_all"), F.col("p_versions")
+    latest, dated, founded, traced = (F.col("p_flags")[k] for k in range(4))
+    n = F.size(tokens)
+    shared = F.size(F.array_intersect(tokens, found))  # a claim's tokens hold no stop word, so the passage's stop words cannot count
+    held = document_anchored | (F.size(F.array_intersect(claim["anchors"], found)) >= F.least(F.size(claim["anchors"]), F.lit(2)))
+    versions = F.when(F.size(claim["versions"]) == 0, 0.0).when(F.size(F.array_except(claim["versions"], given)) == 0, 0.4).when(F.size(given) > 0, -0.15).otherwise(0.0)
     add = lambda condition, value: F.when(condition, value).otherwise(0.0)
     score = (
-        F.size(F.array_intersect(c, p)) / F.size(c)
+        shared / n
         + versions
-        + add(claim_l.contains("latest") & passage_l.contains("latest"), 0.3)
-        + add(claim_l.rlike("version|release|版本|发布") & (F.size(given) > 0), 0.25)
-        + add(held & time & passage_l.rlike(HAS_DATE), 0.45)
-        + add(held & founding & passage_l.rlike(SAYS_FOUNDING), 0.3)
-        + add(passage.contains(">>>") | passage.contains("Traceback (most recent call last)"), -0.2)
+        + add(claim["latest"] & latest, 0.3)
+        + add(claim["release"] & (F.size(given) > 0), 0.25)
+        + add(claim["time"] & dated & held, 0.45)
+        + add(claim["founding"] & founded & held, 0.3)
+        + add(traced, -0.2)
     )
-    return F.when((F.size(c) == 0) | (F.size(p) == 0) | ((time | founding) & ~held), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(score, F.lit(1.0))))
+    bare = F.size(F.array_except(found, _words(STOPWORDS))) == 0
+    return F.when((n == 0) | ((claim["time"] | claim["founding"]) & ~held) | bare, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(score, F.lit(1.0))))
 
 
 def candidates(content: Column, max_chars: int = 280) -> Column:
@@ -119,14 +144,6 @@ def candidates(content: Column, max_chars: int = 280) -> Column:
     return F.flatten(F.transform(T.sentences(content), lambda s: T.evidence_windows(s, max_chars)))
 
 
-def best_quote(claim: Column, title: Column, content: Column, max_chars: int = 280) -> Column:
-    """struct(quote, score) of the first passage of the highest score; no quote where no score is above 0."""
-    held = anchored(claim, F.concat(title, F.lit(" "), content))
-    scored = F.transform(candidates(content, max_chars), lambda w: F.struct(w.alias("quote"), relevance(claim, w, held).alias("score")))
-    begin = F.struct(F.lit("").alias("quote"), F.lit(0.0).alias("score"))
-    return F.aggregate(scored, begin, lambda best, x: F.when(x["score"] > best["score"], x).otherwise(best))
-
-
 def covers_term(text: Column, term: Column, least: int = 1) -> Column:
     """Every specific token of the term occurs in the text, least times at least."""
     needed = F.array_except(T.tokens(term), _words(COVERAGE_STOPWORDS))

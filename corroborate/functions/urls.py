@@ -44,7 +44,7 @@ def dedup_key(url: Column, title: Column) -> Column:
 def identity(url: Column) -> Column:
     """M2: struct(scheme, host, port, path) with default ports as null and path case kept; null unless http(s) without user info."""
     port = F.regexp_extract(authority(url), r":(\d+)$", 1)
-    number = F.when(port != "", port.cast("int"))
+    number = port.try_cast("int")
     default = F.when(scheme(url) == "https", 443).otherwise(80)
     name = F.regexp_replace(host(url), r"\.$", "")
     ok = scheme(url).isin("http", "https") & (name != "") & ~authority(url).contains("@")
@@ -90,4 +90,4 @@ def valid(url: Column) -> Column:
     local = name.rlike(r"(?:^|\.)(?:localhost|local|internal|metadata\.google\.internal)$")
     private = name.rlike(r"^(?:0|10|127)\.|^169\.254\.|^192\.168\.|^172\.(?:1[6-9]|2\d|3[01])\.|^100\.(?:6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.|^(?:22[4-9]|23\d|24\d|25[0-5])\.|^192\.0\.[02]\.|^198\.1[89]\.|^198\.51\.100\.|^203\.0\.113\.|^\[")
     good = (F.length(url) <= 2048) & ~url.rlike(r"[\s\x00-\x1f\x7f]") & scheme(url).isin("http", "https") & (name != "") & ~authority(url).contains("@")
-    return F.coalesce(good & ((port == "") | ((F.length(port) <= 5) & port.cast("bigint").between(1, 65535))) & ~local & ~private, F.lit(False))
+    return F.coalesce(good & ((port == "") | ((F.length(port) <= 5) & port.try_cast("bigint").between(1, 65535))) & ~local & ~private, F.lit(False))

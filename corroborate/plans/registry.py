@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corroborate.plans import text_queries
+from corroborate.plans import evidence_queries, text_queries
 
-_MODULES = (text_queries,)
+_MODULES = (text_queries, evidence_queries)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -12,4 +12,4 @@ for _m in _MODULES:
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES
 
-FLAGSHIP = QUERIES["chunk_documents"]
+FLAGSHIP = QUERIES["keyword_topk"]

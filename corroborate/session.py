@@ -69,7 +69,7 @@ def remove(spark: SparkSession, df: DataFrame) -> None:
 
 def size_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate; exact for a table from written()."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
