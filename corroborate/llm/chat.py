@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 CONTROL = r"([\[<])(\\*)(/?(?:INST|SYS|TOOL|ROLE|TURN)\]|/?s>)"
 ESCAPED = r"([\[<])\\(\\*)(/?(?:INST|SYS|TOOL|ROLE|TURN)\]|/?s>)"
-TURN = r"(?s)(?:\[(INST|SYS|TOOL|ROLE|TURN)\]|<(s)>)(.*?)(?:\[/(?:INST|SYS|TOOL|ROLE|TURN)\]|</s>)"
+TURN = r"(?s)(?:\[ROLE\](.*?)\[/ROLE\])?(?:\[(INST|SYS|TOOL|TURN)\]|<(s)>)(.*?)(?:\[/(?:INST|SYS|TOOL|TURN)\]|</s>)"
 
 
 @dataclass(frozen=True)
@@ -94,13 +94,10 @@ def format_conversations(rows: DataFrame, template: Template = LLAMA_LIKE) -> Da
 
 def read_turns(formatted: Column, template: Template = LLAMA_LIKE) -> Column:
     """The turns (role, text) of a formatted conversation, unescaped."""
-    kinds = {m[0].strip("[]<>"): r for r, m in template.markers.items()}
-    kind, sign, body = (F.regexp_extract_all(formatted, F.lit(TURN), F.lit(k)) for k in (1, 2, 3))
-    found = F.zip_with(F.zip_with(kind, sign, lambda a, b: F.concat(a, b)), body, lambda k, b: F.struct(k.alias("kind"), unescape(b).alias("text")))
-    role = _table(kinds)
-    with_place = F.transform(found, lambda x, i: F.struct(x["kind"].alias("kind"), x["text"].alias("text"), F.when(i > 0, F.get(found, i - 1)["text"]).alias("before")))
-    turns = F.filter(with_place, lambda x: x["kind"] != "ROLE")
-    return F.transform(turns, lambda x: F.struct(F.coalesce(role[x["kind"]], x["before"]).alias("role"), x["text"].alias("text")))
+    kinds = _table({m[0].strip("[]<>"): r for r, m in template.markers.items()})
+    named, kind, sign, body = (F.regexp_extract_all(formatted, F.lit(TURN), F.lit(k)) for k in (1, 2, 3, 4))
+    role = lambda x: F.coalesce(kinds[F.concat(x["1"], x["2"])], unescape(x["0"]))
+    return F.transform(F.arrays_zip(named, kind, sign, body), lambda x: F.struct(role(x).alias("role"), unescape(x["3"]).alias("text")))
 
 
 def read_loss(segments: Column) -> Column:
