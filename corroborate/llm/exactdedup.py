@@ -96,7 +96,7 @@ def groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = COUNTERS) -> DataFrame:
-    """The documents that stay, with all their columns. Texts are not shuffled where the losers' ids are small enough to broadcast."""
+    """The documents that stay, with all their columns. Copies of frequent texts go before the shuffle, by the winners' broadcast."""
     rows, hot, rest = settle(spark, docs, id_col, text_col, k)
     rest = written(spark, rest.filter("size > 1"), "groups")
     light = rows.join(F.broadcast(hot.select("d")), "d", "left_anti").join(rest, "d")
@@ -106,7 +106,8 @@ def keep_first(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     d = docs.withColumn("__digest", digest(F.col(text_col)))
     won = d.join(F.broadcast(wins), F.col("__digest") == F.col("__d"), "left")
     won = won.filter(F.col("__d").isNull() | F.col(id_col).eqNullSafe(F.col("__keep"))).drop("__d", "__keep")
-    left = won.join(losers, (F.col("__digest") == F.col("__d")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
+    # a join of texts with all losers grows with the input, so it is a shuffled one at every size
+    left = won.join(losers.hint("merge"), (F.col("__digest") == F.col("__d")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
     tied = written(spark, tied, "tied")
     once = left.join(tied, F.col("__digest") == F.col("__d"), "left_anti")
     if not tied.isEmpty():

@@ -227,7 +227,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     tied = first.join(best, first["component_id"].eqNullSafe(best["component_id"])).filter("t <> best")
     losers = written(spark, later.select(F.col("id").alias("__id"), F.col("t").alias("__t")).unionByName(tied.select(F.col("id").alias("__id"), F.col("t").alias("__t"))).distinct(), "losers")
     d = docs.withColumn("__text", text)
-    left = d.join(losers, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__t")), "left_anti")
+    left = d.join(losers.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__t")), "left_anti")
     if best.isEmpty():
         return left.drop("__text")
     again = best.select(F.col("component_id").alias("__id"), F.col("best").alias("__t"))
