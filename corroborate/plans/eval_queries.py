@@ -14,6 +14,7 @@ from corroborate.operators import metrics as M
 from corroborate.operators import packing as P
 from corroborate.operators import replay as R
 from corroborate.operators import runlog as L
+from corroborate.plans import eval_oracles
 from corroborate.plans.evidence_queries import _queries, keyword_topk
 from corroborate.session import table
 
@@ -308,4 +309,4 @@ QUERIES = {
         next_queued, recent_runs, event_tail, trace_totals, circuit_breaker, rate_limiter, otlp_spans, gold_sources, event_windows, event_sessions,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES = eval_oracles.ORACLES
