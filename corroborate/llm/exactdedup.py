@@ -103,15 +103,16 @@ def keep_first(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     losers = written(spark, light.filter(~F.col("id").eqNullSafe(F.col("keep"))).select(F.col("d").alias("__d"), F.col("id").alias("__id")).distinct(), "losers")
     tied = hot.unionByName(rest).filter("ties > 1").select(F.col("d").alias("__d"), F.col("keep").alias("__keep"))
     wins = hot.select(F.col("d").alias("__d"), F.col("keep").alias("__keep"))
-    d = docs.withColumn("__digest", digest(F.col(text_col)))
-    won = d.join(F.broadcast(wins), F.col("__digest") == F.col("__d"), "left")
-    won = won.filter(F.col("__d").isNull() | F.col(id_col).eqNullSafe(F.col("__keep"))).drop("__d", "__keep")
+    # the row travels whole in one column, so no name of its columns can clash with ours
+    d = docs.select(F.struct("*").alias("row"), digest(F.col(text_col)).alias("digest"), F.col(id_col).alias("own"))
+    won = d.join(F.broadcast(wins), F.col("digest") == F.col("__d"), "left")
+    won = won.filter(F.col("__d").isNull() | F.col("own").eqNullSafe(F.col("__keep"))).drop("__d", "__keep")
     # a join of texts with all losers grows with the input, so it is a shuffled one at every size
-    left = won.join(losers.hint("merge"), (F.col("__digest") == F.col("__d")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
+    left = won.join(losers.hint("merge"), (F.col("digest") == F.col("__d")) & F.col("own").eqNullSafe(F.col("__id")), "left_anti")
     tied = written(spark, tied, "tied")
-    once = left.join(tied, F.col("__digest") == F.col("__d"), "left_anti")
+    once = left.join(tied, F.col("digest") == F.col("__d"), "left_anti")
     if not tied.isEmpty():
-        many = left.join(tied, F.col("__digest") == F.col("__d"), "left_semi")
-        once = once.unionByName(many.dropDuplicates(["__digest"]))
+        many = left.join(tied, F.col("digest") == F.col("__d"), "left_semi")
+        once = once.unionByName(many.dropDuplicates(["digest"]))
     remove(spark, rows)
-    return once.drop("__digest")
+    return once.select("row.*")

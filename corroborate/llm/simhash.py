@@ -226,10 +226,12 @@ def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     later = known.filter(~F.col("id").eqNullSafe(F.col("component_id")))
     tied = first.join(best, first["component_id"].eqNullSafe(best["component_id"])).filter("t <> best")
     losers = written(spark, later.select(F.col("id").alias("__id"), F.col("t").alias("__t")).unionByName(tied.select(F.col("id").alias("__id"), F.col("t").alias("__t"))).distinct(), "losers")
-    d = docs.withColumn("__text", text)
-    left = d.join(losers.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__t")), "left_anti")
+    # the row travels whole in one column, so no name of its columns can clash with ours
+    d = docs.select(F.struct("*").alias("row"), text.alias("t"), F.col(id_col).alias("own"))
+    left = d.join(losers.hint("merge"), F.col("own").eqNullSafe(F.col("__id")) & (F.col("t") == F.col("__t")), "left_anti")
     if best.isEmpty():
-        return left.drop("__text")
+        return left.select("row.*")
     again = best.select(F.col("component_id").alias("__id"), F.col("best").alias("__t"))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__t"))
-    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([id_col, "__text"])).drop("__text")
+    same = F.col("own").eqNullSafe(F.col("__id")) & (F.col("t") == F.col("__t"))
+    once = left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["own", "t"]))
+    return once.select("row.*")

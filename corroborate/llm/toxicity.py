@@ -32,7 +32,8 @@ class Params:
 
     max_rows: int = 6000
     vocabulary: int = 4000
-    least_docs: int = 5
+    least_docs: int = 3
+    least_errors: float = 4.0
     steps: int = 200
     rate: float = 0.15
     decay: float = 2e-4
@@ -71,8 +72,10 @@ def train(texts: list[str], labels: list[int], p: Params = Params()) -> Model:
         if v:
             bad.update(words)
     pos, n = y.sum(), len(y)
-    gain = {w: abs((bad[w] + 0.5) / (pos + 1) - (c - bad[w] + 0.5) / (n - pos + 1)) / np.sqrt((c + 1) / n) for w, c in seen.items() if c >= p.least_docs}
-    words = sorted(gain, key=lambda w: (-gain[w], w))[: p.vocabulary]
+    # how many standard errors a word's share among toxic documents is above that among others: the rest would be learnt by heart
+    rate = {w: (bad[w] / pos, (c - bad[w]) / (n - pos), (c + 1) / (n + 2)) for w, c in seen.items() if bad[w] >= p.least_docs}
+    gain = {w: (a - b) / np.sqrt(m * (1 - m) * (1 / pos + 1 / (n - pos))) for w, (a, b, m) in rate.items()}
+    words = sorted((w for w in gain if gain[w] >= p.least_errors), key=lambda w: (-gain[w], w))[: p.vocabulary]
     index = {w: i for i, w in enumerate(words)}
     # sentences without a known word share one logit, the bias: they count by number
     plain = np.zeros(n)
