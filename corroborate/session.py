@@ -27,8 +27,16 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
     )
 
 
+BATCH_RECORDS = "1000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package when it is run from a source tree."""
+    """Let Python workers import this package when it is run from a source tree, and bound what they hold at once.
+
+    Rows here are whole documents, so Arrow batches of Spark's default of 10,000 records take tens of MB in the JVM and
+    again in Python, in every task; a batch size that the session has chosen itself stays."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_RECORDS)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
