@@ -156,8 +156,9 @@ def rubric_specs(spark, sf_dir):
 
 
 def stratified_sample(spark, sf_dir):
-    """24 documents, balanced over languages and sources."""
-    return J.stratified(table(spark, sf_dir, "documents"), "doc_id", "lang", "source", 24, 7)
+    """24 documents, balanced over languages and lengths."""
+    size = F.when(F.col("n_chars") < 900, "short").when(F.col("n_chars") < 2500, "middle").otherwise("long")
+    return J.stratified(table(spark, sf_dir, "documents").withColumn("size", size), "doc_id", "lang", "size", 24, 7)
 
 
 def stratum_ranks(spark, sf_dir):
