@@ -28,7 +28,7 @@ from corroborate.session import ship
 
 RESULT = "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string,exact:boolean>"
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 CACHED_PAIRS = 1_000_000
 LONGEST_CACHED = 64
 CHUNK = 1 << 20
