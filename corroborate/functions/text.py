@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WORD = "[a-zA-Z0-9_]+"
+WORD = "[a-z0-9_]+"
 CJK = r"[㐀-䶿一-鿿]"
 SPACE = r"\s+"
 
@@ -14,6 +14,11 @@ def extract_all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def ascii_lower(text: Column) -> Column:
+    """A to Z in lower case and nothing else: lower() would make ASCII letters of some other signs."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def squeezed(text: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
     return F.trim(F.regexp_replace(text, SPACE, " "))
@@ -25,7 +30,7 @@ def stripped(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Distinct lower-cased ASCII words, CJK characters and CJK pairs of neighbours."""
-    words = F.transform(extract_all(text, WORD), lambda w: F.lower(w))
+    words = extract_all(ascii_lower(text), WORD)
     runs = extract_all(text, f"{CJK}+")
     singles = F.flatten(F.transform(runs, lambda r: F.split(r, "")))
     pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.when(F.length(r) > 1, F.substr(r, i, F.lit(2))))))
@@ -160,11 +165,25 @@ def injected(text: Column) -> Column:
     return squeezed(text).rlike("(?i)" + "|".join([ROLE_SYNTAX, *INJECTION]))
 
 
+ANYWHERE = ROLE_SYNTAX.replace(r"(?:^|\s)", "")
+
+
+def _suspect(text: Column) -> Column:
+    """No sentence of a text can be injected unless this holds: the patterns without their left edge, on the whole text."""
+    return squeezed(text).rlike("(?i)" + "|".join([ANYWHERE, *INJECTION]))
+
+
+def sanitised_parts(text: Column) -> tuple[Column, Column]:
+    """(text without instruction-like sentences and control characters, whether any was dropped)."""
+    parts, suspect = sentences(text), _suspect(text)
+    kept = F.when(suspect, F.filter(parts, lambda s: ~injected(s))).otherwise(parts)
+    return stripped(F.regexp_replace(F.array_join(kept, " "), CONTROL, "")), suspect & F.exists(parts, lambda s: injected(s))
+
+
 def sanitised(text: Column) -> Column:
-    """struct(text without instruction-like sentences and control characters, whether any was dropped)."""
-    parts = sentences(text)
-    kept = F.transform(F.filter(parts, lambda s: ~injected(s)), lambda s: F.regexp_replace(s, CONTROL, ""))
-    return F.struct(stripped(F.array_join(kept, " ")).alias("text"), F.exists(parts, lambda s: injected(s)).alias("flagged"))
+    """T14 as struct(text, flagged)."""
+    clean, flagged = sanitised_parts(text)
+    return F.struct(clean.alias("text"), flagged.alias("flagged"))
 
 
 def sanitised_lines(text: Column) -> Column:

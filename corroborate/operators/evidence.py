@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corroborate.functions import relevance as R
 from corroborate.functions import text as T
 from corroborate.functions import urls as U
-from corroborate.operators.retrieval import small
+from corroborate.operators.retrieval import small, spread
 
 # Fixed values.
 SPAM = ["click here", "subscribe to read", "unverified rumor"]
@@ -93,6 +93,7 @@ def best_quotes(pairs: DataFrame, keys: list[str], claim: str, title: str = "tit
     Passages are rows, so that the claim's features are worked out once a pair and the rest runs as generated code;
     the best of a pair is picked by max_by, which combines map-side. keys identify a pair and are not null."""
     c = F.col(claim)
+    pairs = spread(pairs, keys)
     held = R.anchored(c, F.concat_ws(" ", title, content))
     once = pairs.filter(F.col(claim).isNotNull() & F.col(content).isNotNull()).select(*keys, R.claim_features(c).alias("f"), held.alias("held"), R.candidates(F.col(content), max_chars).alias("all"))
     rows = once.select(*keys, "f", "held", F.posexplode("all").alias("at", "quote"))

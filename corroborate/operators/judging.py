@@ -25,19 +25,22 @@ def truth_groups(json: Column) -> Column:
     return F.coalesce(F.when(F.trim(json) == "", F.array().cast("array<array<string>>")), F.when(inner, nested), F.transform(flat, lambda x: F.array(x)), alone, F.array().cast("array<array<string>>"))
 
 
-def abstains(answer: Column) -> Column:
-    a = T.normalised_answer(answer)
-    marked = F.exists(F.array(*[F.lit(m) for m in ABSTENTIONS]), lambda m: a.contains(m))
+def abstains(answer: Column, normal: Column) -> Column:
+    marked = normal.rlike("|".join(ABSTENTIONS))
     parsed = F.try_parse_json(answer)
-    empty = F.coalesce((F.try_variant_get(parsed, "$.claims", "string") == "[]") & F.try_variant_get(parsed, "$.limitations", "string").isNotNull(), F.lit(False))
-    return (T.stripped(answer) == "") | marked | empty
+    empty = answer.contains("claims") & F.coalesce((F.try_variant_get(parsed, "$.claims", "string") == "[]") & F.try_variant_get(parsed, "$.limitations", "string").isNotNull(), F.lit(False))
+    return (normal == "") & (T.stripped(answer) == "") | marked | empty
 
 
-def answer_verdict(answer: Column, groups: Column) -> Column:
-    """Correct if every group has a normalised string in the answer."""
-    a = T.normalised_answer(answer)
-    every = F.forall(groups, lambda g: F.exists(g, lambda s: (T.normalised_answer(s) != "") & a.contains(T.normalised_answer(s))))
-    return F.when(F.size(groups) == 0, "unscored").when(abstains(answer), "not_attempted").when(every, "correct").otherwise("incorrect")
+def judged_answers(rows: DataFrame, answer: str, truth: str) -> DataFrame:
+    """Rows with a verdict: correct if every group of the JSON truth has a normalised string in the answer.
+
+    The answer's normal form is a column of its own: inside the tests of the groups it would be worked out once for each string."""
+    normal = rows.withColumns({"__answer": T.normalised_answer(F.col(answer)), "__groups": F.transform(truth_groups(F.col(truth)), lambda g: F.filter(F.transform(g, lambda s: T.normalised_answer(s)), lambda s: s != ""))})
+    a, groups = F.col("__answer"), F.col("__groups")
+    every = F.forall(groups, lambda g: F.exists(g, lambda s: a.contains(s)))
+    verdict = F.when(F.size(groups) == 0, "unscored").when(abstains(F.col(answer), a), "not_attempted").when(every, "correct").otherwise("incorrect")
+    return normal.withColumn("verdict", verdict).drop("__answer", "__groups")
 
 
 def contract(verdict: Column, score: Column, confidence: Column, missing: Column, errors: Column) -> Column:

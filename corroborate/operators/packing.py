@@ -7,17 +7,21 @@ from pyspark.sql import functions as F
 
 from corroborate.functions import text as T
 from corroborate.functions import urls as U
+from corroborate.operators.retrieval import spread
 
 
 def excerpts(sources: DataFrame, keys: list[str], token_limit: int = 1200, at_most: int = 4) -> DataFrame:
     """Of rows (keys, content, terms, quotes) per key the best passages and quotes that fit: excerpt, relevance, flagged.
 
     Passages are rows while they are scored; a source's few dozen scored passages are then one array that is folded."""
-    once = sources.select(*keys, "terms", F.concat(F.transform("quotes", lambda q: F.struct(q.alias("p"), F.lit(100).alias("bonus"))), F.transform(T.passages(F.col("content")), lambda p: F.struct(p.alias("p"), F.lit(0).alias("bonus")))).alias("all"))
-    rows = once.select(*keys, "terms", F.posexplode("all").alias("at", "x")).select(*keys, "terms", "at", "x.bonus", T.sanitised(F.col("x.p")).alias("s")).filter("s.text <> ''")
-    scored = rows.select(*keys, (F.col("bonus") + F.size(F.array_intersect("terms", T.tokens(F.col("s.text"))))).alias("score"), F.length("s.text").alias("n"), "at", F.col("s.text").alias("p"), F.col("s.flagged").alias("flagged"), T.context_tokens(F.col("s.text")).alias("cost"))
-    by = lambda a, b: F.when(a["score"] != b["score"], b["score"] - a["score"]).when(a["n"] != b["n"], b["n"] - a["n"]).otherwise(a["at"] - b["at"])
-    g = scored.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("score", "n", "at", "p", "flagged", "cost")), by).alias("all"))
+    once = spread(sources, keys).select(*keys, "terms", F.concat(F.transform("quotes", lambda q: F.struct(q.alias("p"), F.lit(100).alias("bonus"))), F.transform(T.passages(F.col("content")), lambda p: F.struct(p.alias("p"), F.lit(0).alias("bonus")))).alias("all"))
+    clean, flagged = T.sanitised_parts(F.col("x.p"))
+    rows = once.select(*keys, "terms", F.posexplode("all").alias("at", "x")).select(*keys, "terms", "at", "x.bonus", clean.alias("p"), flagged.alias("flagged"))
+    # an empty passage gets a score below all others instead of a filter, which would work the passage out once more
+    score = F.when(F.col("p") == "", -1).otherwise(F.col("bonus") + F.size(F.array_intersect("terms", T.tokens(F.col("p")))))
+    scored = rows.select(*keys, score.alias("points"), F.length("p").alias("n"), "at", "p", "flagged", T.context_tokens(F.col("p")).alias("cost"))
+    by = lambda a, b: F.when(a["points"] != b["points"], b["points"] - a["points"]).when(a["n"] != b["n"], b["n"] - a["n"]).otherwise(a["at"] - b["at"])
+    g = scored.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("points", "n", "at", "p", "flagged", "cost")), by).alias("all"))
     empty = F.array().cast("array<string>")
     begin = F.struct(empty.alias("kept"), F.lit(0).alias("used"), F.lit(False).alias("flagged"), F.lit(False).alias("done"))
 
@@ -26,12 +30,12 @@ def excerpts(sources: DataFrame, keys: list[str], token_limit: int = 1200, at_mo
         big = first & (x["cost"] > token_limit)
         p = F.when(big, T.truncated(x["p"], token_limit)).otherwise(x["p"])
         cost = F.when(big, token_limit).otherwise(x["cost"])
-        skip = acc["done"] | F.array_contains(acc["kept"], x["p"]) | (~first & (acc["used"] + x["cost"] > token_limit))
+        skip = acc["done"] | (x["points"] < 0) | F.array_contains(acc["kept"], x["p"]) | (~first & (acc["used"] + x["cost"] > token_limit))
         used, kept = acc["used"] + cost, F.concat(acc["kept"], F.array(p))
         return F.when(skip, acc).otherwise(F.struct(kept.alias("kept"), used.alias("used"), (acc["flagged"] | x["flagged"]).alias("flagged"), ((used >= token_limit) | (F.size(kept) >= at_most)).alias("done")))
 
-    folded = g.select(*keys, F.aggregate("all", begin, add).alias("r"), F.get("all", 0)["score"].alias("relevance"))
-    return folded.select(*keys, F.array_join("r.kept", "\n\n").alias("excerpt"), F.col("relevance").cast("double").alias("relevance"), F.col("r.flagged").alias("flagged"))
+    folded = g.select(*keys, F.aggregate("all", begin, add).alias("r"), F.get("all", 0)["points"].alias("relevance"))
+    return folded.select(*keys, F.array_join("r.kept", "\n\n").alias("excerpt"), F.greatest(F.col("relevance"), F.lit(0)).cast("double").alias("relevance"), F.col("r.flagged").alias("flagged"))
 
 
 def pack(candidates: DataFrame, available: int = 8500, max_sources: int = 18, max_per_domain: int = 2) -> DataFrame:

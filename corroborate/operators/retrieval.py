@@ -23,6 +23,13 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if size_bytes(df) <= limit else df
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df dealt by keys over all shuffle partitions, for rows that are few but dear: AQE would merge them by their bytes.
+
+    What groups or joins by the same keys afterwards needs no further shuffle."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def top_k(scored: DataFrame, k: int, order: list[Column], by: str = "query_id") -> DataFrame:
     """The first k rows of each query with their rank."""
     return scored.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= k)
@@ -38,12 +45,11 @@ def keyword_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     held = corpus.select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token"))
     pairs = held.join(small(index), "token").select("doc_id", F.explode("queries").alias("query_id"))
     scored = pairs.groupBy("doc_id", "query_id").agg((F.count("*") + F.lit(FLOOR)).alias("score"))
-    hits = top_k(scored, k, [F.desc("score"), F.asc("doc_id")])
-    # a filler is one of the corpus's first k documents that the query's hits don't hold; only queries short of k hits take any
-    first = corpus.select("doc_id").orderBy("doc_id").limit(2 * k)
-    short = queries.select("query_id").join(hits.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").filter(F.coalesce("n", F.lit(0)) < k).select("query_id")
-    fill = short.join(F.broadcast(first)).join(scored.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(FLOOR))
-    return top_k(hits.drop("rank").unionByName(fill.select("doc_id", "query_id", "score")), k, [F.desc("score"), F.asc("doc_id")]).select("query_id", "doc_id", "score", "rank")
+    # A query with fewer than k hits is filled up with documents that share nothing, in order: fewer than k of the first 2k share
+    # a token, so k of these do not. With k hits or more the fillers rank behind them.
+    first = corpus.orderBy("doc_id").limit(2 * k).select("doc_id", T.tokens(F.col("text")).alias("d"))
+    fill = queries.select("query_id", T.tokens(F.col("text")).alias("q")).join(F.broadcast(first)).filter(F.size(F.array_intersect("q", "d")) == 0)
+    return top_k(scored.unionByName(fill.select("doc_id", "query_id", F.lit(FLOOR).alias("score"))), k, [F.desc("score"), F.asc("doc_id")]).select("query_id", "doc_id", "score", "rank")
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -15,15 +15,13 @@ from corroborate.operators import packing as P
 from corroborate.operators import replay as R
 from corroborate.operators import runlog as L
 from corroborate.plans import eval_oracles
-from corroborate.plans.evidence_queries import _queries, keyword_topk
+from corroborate.plans.evidence_queries import hits, keyword_topk
 from corroborate.session import table
 
 
 def _packable(spark, sf_dir):
-    top = keyword_topk(spark, sf_dir).join(_queries(spark, sf_dir), "query_id").join(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), "source"), "doc_id")
-    rows = top.select("query_id", F.col("doc_id").alias("source_id"), "content", T.tokens(F.col("text")).alias("terms"), F.array().cast("array<string>").alias("quotes"), F.concat(F.lit("https://"), "source", F.lit(".example/"), "doc_id").alias("url"), "score")
-    ex = P.excerpts(rows, ["query_id", "source_id"], 400)
-    return rows.join(ex, ["query_id", "source_id"]).select("query_id", "source_id", F.lit("t").alias("title"), "url", F.lit("local_rag").alias("provider"), F.lit(0.75).alias("quality_score"), "score", "excerpt", "relevance", F.lit(False).alias("has_evidence"))
+    rows = hits(spark, sf_dir).select("query_id", F.col("doc_id").alias("source_id"), "content", T.tokens(F.col("ask")).alias("terms"), F.array().cast("array<string>").alias("quotes"), F.concat(F.lit("https://"), "source", F.lit(".example/"), "doc_id").alias("url"), "score")
+    return P.excerpts(rows, ["query_id", "source_id", "url", "score"], 400).select("query_id", "source_id", F.lit("t").alias("title"), "url", F.lit("local_rag").alias("provider"), F.lit(0.75).alias("quality_score"), "score", "excerpt", "relevance", F.lit(False).alias("has_evidence"))
 
 
 def best_excerpts(spark, sf_dir):
@@ -97,11 +95,11 @@ def distributions(spark, sf_dir):
 
 def answer_judge(spark, sf_dir):
     """Each item's keyword hits as answers; the truth is the item's second word, or, every third item, two groups."""
-    top = keyword_topk(spark, sf_dir).join(_queries(spark, sf_dir), "query_id").join(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("answer")), "doc_id")
-    w = F.regexp_replace(F.get(F.split("text", " "), 1), r"[^\p{L}]", "")
-    v = F.regexp_replace(F.get(F.split("text", " "), 6), r"[^\p{L}]", "")
+    top = hits(spark, sf_dir)
+    w = F.regexp_replace(F.get(F.split("ask", " "), 1), r"[^\p{L}]", "")
+    v = F.regexp_replace(F.get(F.split("ask", " "), 6), r"[^\p{L}]", "")
     json = F.when(F.pmod("query_id", F.lit(3)) == 0, F.concat(F.lit('[["'), w, F.lit('"],["'), v, F.lit('","zzz"]]'))).otherwise(F.concat(F.lit('["'), w, F.lit('"]')))
-    return top.select("query_id", "doc_id", J.answer_verdict(F.col("answer"), J.truth_groups(json)).alias("verdict"))
+    return J.judged_answers(top.withColumn("truth", json), "content", "truth").select("query_id", "doc_id", "verdict")
 
 
 def _judgments(spark, sf_dir):

@@ -10,7 +10,7 @@ from corroborate.functions import urls as U
 from corroborate.operators import evidence as E
 from corroborate.operators import retrieval as X
 from corroborate.plans.text_queries import SQZ, TOK
-from corroborate.session import table
+from corroborate.session import table, written
 
 K = 10
 
@@ -96,6 +96,15 @@ def keyword_topk(spark, sf_dir):
     return X.keyword_topk(_queries(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id", "text"), K)
 
 
+def hits(spark, sf_dir, k=K):
+    """The k best documents of each item with both texts: query_id, doc_id, score, rank, ask, content, source.
+
+    Retrieval reads the whole corpus and its result is k rows an item, so it is worked out once and written; what follows reads that."""
+    top = X.keyword_topk(_queries(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id", "text"), k)
+    full = top.join(_queries(spark, sf_dir).withColumnRenamed("text", "ask"), "query_id").join(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), "source"), "doc_id")
+    return X.spread(written(spark, full, "hits"), ["query_id", "doc_id"])
+
+
 def _vectors(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
     return e.filter("doc_id < 20").select(F.col("doc_id").alias("query_id"), "embedding", F.col("label").alias("query_label")), e
@@ -123,9 +132,7 @@ def rrf_fusion_topk(spark, sf_dir):
 
 def rerank_topk(spark, sf_dir):
     """The keyword candidates reranked by the share of the item's tokens, text length deciding ties by the old rank."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("d"))
-    ranked = keyword_topk(spark, sf_dir).join(docs, "doc_id").join(_queries(spark, sf_dir), "query_id")
-    return X.rerank(ranked, R.overlap(F.col("text"), F.col("d")), 5).select("query_id", "doc_id", "rank", "pre_rerank_rank", F.round("score", 6).alias("score"))
+    return X.rerank(hits(spark, sf_dir), R.overlap(F.col("ask"), F.col("content")), 5).select("query_id", "doc_id", "rank", "pre_rerank_rank", F.round("score", 6).alias("score"))
 
 
 def _chunk_ranking(spark, sf_dir):
@@ -173,21 +180,16 @@ def benchmark_contamination(spark, sf_dir):
     return E.prompt_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), answer_fields=False)
 
 
-def _claims(spark, sf_dir):
-    """Per keyword hit of an item, a claim: the item's first eight words, citing the hit, a missing source every third time."""
-    top = X.keyword_topk(_queries(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id", "text"), 3).join(_queries(spark, sf_dir), "query_id")
-    mark = F.concat(F.lit(" [S"), "doc_id", F.lit("]"), F.when(F.pmod(F.col("query_id") + F.col("rank"), F.lit(3)) == 0, " [S999999999]").otherwise(""))
-    mark = F.when(F.pmod(F.col("query_id") + F.col("rank"), F.lit(5)) == 0, "").otherwise(mark)
-    claim = F.concat(F.array_join(F.slice(F.split("text", " "), 1, 8), " "), mark)
-    return top.select(F.col("query_id").alias("report_id"), F.col("rank").alias("ord"), claim.alias("claim"), "doc_id")
-
-
 def _cited(spark, sf_dir):
-    claims = _claims(spark, sf_dir)
-    docs = table(spark, sf_dir, "documents").join(claims.select("doc_id", "report_id").distinct(), "doc_id")
+    """Per keyword hit of an item a claim: the item's first eight words, citing the hit, every third time a missing source too, every fifth time nothing."""
+    top = hits(spark, sf_dir, 3)
+    place = F.col("query_id") + F.col("rank")
+    mark = F.concat(F.lit(" [S"), "doc_id", F.lit("]"), F.when(F.pmod(place, F.lit(3)) == 0, " [S999999999]").otherwise(""))
+    claim = F.concat(F.array_join(F.slice(F.split("ask", " "), 1, 8), " "), F.when(F.pmod(place, F.lit(5)) == 0, "").otherwise(mark))
+    claims = top.select(F.col("query_id").alias("report_id"), F.col("rank").alias("ord"), claim.alias("claim"))
     status = F.when(F.pmod("doc_id", F.lit(11)) == 0, "snippet").otherwise("ok")
-    sources = docs.select("report_id", F.concat(F.lit("S"), "doc_id").alias("source_id"), F.lit("").alias("title"), F.col("text").alias("content"), status.alias("extract_status"), F.lit(False).alias("snippet_only"))
-    return E.citations(claims.select("report_id", "ord", "claim"), sources)
+    sources = top.select(F.col("query_id").alias("report_id"), F.concat(F.lit("S"), "doc_id").alias("source_id"), F.lit("").alias("title"), "content", status.alias("extract_status"), F.lit(False).alias("snippet_only"))
+    return E.citations(claims, sources)
 
 
 def best_evidence_quote(spark, sf_dir):
@@ -213,15 +215,15 @@ def citation_report_judged(spark, sf_dir):
 
 def evidence_items(spark, sf_dir):
     """Evidence among each item's keyword hits."""
-    top = keyword_topk(spark, sf_dir).join(_queries(spark, sf_dir), "query_id").join(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")), "doc_id")
-    rows = top.select(F.col("query_id").alias("question_id"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("question"), F.array(F.get(F.split("text", " "), 2)).alias("entities"), F.col("doc_id").alias("source_id"), F.lit("").alias("title"), "content", F.lit("ok").alias("extract_status"), F.lit(False).alias("snippet_only"))
+    top = hits(spark, sf_dir)
+    rows = top.select(F.col("query_id").alias("question_id"), F.array_join(F.slice(F.split("ask", " "), 1, 8), " ").alias("question"), F.array(F.get(F.split("ask", " "), 2)).alias("entities"), F.col("doc_id").alias("source_id"), F.lit("").alias("title"), "content", F.lit("ok").alias("extract_status"), F.lit(False).alias("snippet_only"))
     return E.evidence_items(rows).select("question_id", "source_id", F.round("overlap_score", 3).alias("overlap_score"), F.md5("quote").alias("quote_md5"))
 
 
 def coverage_status(spark, sf_dir):
     """Which of each item's first words its keyword hits cover."""
-    top = keyword_topk(spark, sf_dir).join(_queries(spark, sf_dir), "query_id").join(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")), "doc_id")
-    w = F.split(F.regexp_replace("text", "[^A-Za-z ]", ""), " ")
+    top = hits(spark, sf_dir)
+    w = F.split(F.regexp_replace("ask", "[^A-Za-z ]", ""), " ")
     s = E.coverage_status(top.select(F.col("query_id").alias("question_id"), F.slice(w, 1, 3).alias("entities"), F.slice(w, 4, 3).alias("aspects"), F.lit("").alias("title"), "content", F.lit("").alias("quote")))
     j = lambda c: F.array_join(c, "|").alias(c)
     return s.select("question_id", j("covered_entities"), j("missing_entities"), j("covered_aspects"), j("missing_aspects"), "complete", "gap", "follow_up")

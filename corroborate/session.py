@@ -80,5 +80,13 @@ def size_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+SMALL_BYTES = (2 << 20, 256 << 20)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A Parquet table. Fewer files than cores mean idle cores, as one row group is read by one task: such tables, if small, are dealt out after the scan."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if SMALL_BYTES[0] <= size_bytes(df) <= SMALL_BYTES[1] and len(df.inputFiles()) < cores:
+        return df.repartition(cores)
+    return df

@@ -144,7 +144,7 @@ def test_costs_and_errors(spark):
 
 
 def test_answer_judge(spark):
-    v = lambda a, t: spark.range(1).select(J.answer_verdict(F.lit(a), J.truth_groups(F.lit(t)))).first()[0]
+    v = lambda a, t: J.judged_answers(spark.createDataFrame([(a, t)], "a string, t string"), "a", "t").first().verdict
     assert v("It is Paris, France", '["paris"]') == "correct" and v("Rome", '["paris"]') == "incorrect" and v("", '["x"]') == "not_attempted" and v("x", "") == "unscored"
     assert v("NYC or so", '[["New York","NYC"],["so"]]') == "correct" and v('{"claims": [], "limitations": ["x"]}', '["x"]') == "not_attempted" and v("Paris", "paris") == "correct"
 
