@@ -222,3 +222,32 @@ def prompt_leaks(docs: DataFrame, prompts: DataFrame, answer_fields: bool = True
     found = grams.join(small(keyed), "key").filter(F.col("t").contains(F.col("q"))).select("doc_id", "item_id")
     brief = F.broadcast(p.filter(F.size("w") < 5).select("item_id", "q").limit(10_000))
     return found.unionByName(d.join(brief, F.col("t").contains(F.col("q"))).select("doc_id", "item_id")).distinct()
+
+
+def evidence_summaries(items: DataFrame, rounds: DataFrame) -> DataFrame:
+    """Per question a sentence on its evidence (question_id, ord, title, quote) and its rounds (question_id, n_rounds), with the first three quotes."""
+    g = items.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.concat(F.col("title"), F.lit(": "), F.col("quote")).alias("x")))).alias("e"))
+    first = F.array_join(F.transform(F.slice("e", 1, 3), lambda x: x["x"]), " | ")
+    found = F.concat(F.lit("Collected "), F.size("e").cast("string"), F.lit(" verified evidence items across "), F.col("n_rounds").cast("string"), F.lit(" bounded research rounds. Evidence: "), first)
+    j = rounds.join(g, "question_id", "left")
+    return j.select("question_id", F.when(F.size(F.coalesce("e", F.array().cast("array<struct<ord:int,x:string>>"))) > 0, found).otherwise("No verified evidence survived filtering for this subquestion.").alias("summary"))
+
+
+def compressed(findings: DataFrame, limit: int = 1200) -> DataFrame:
+    """Per run its findings (run_id, q, summary, titles) as lines, cut at limit."""
+    titles = F.coalesce(F.nullif(F.array_join(F.slice(F.array_distinct("titles"), 1, 3), ", "), F.lit("")), F.lit("no sources"))
+    line = F.concat(F.col("q"), F.lit(": "), F.col("summary"), F.lit(" Sources: "), titles)
+    g = findings.select("run_id", "q", line.alias("line")).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("q", "line"))).alias("f"))
+    return g.select("run_id", F.regexp_replace(F.substr(F.array_join(F.transform("f", lambda x: x["line"]), "\n"), F.lit(1), F.lit(limit)), r"\s+$", "").alias("text"))
+
+
+def claims_of_payload(payload: Column) -> Column:
+    """The claims of a model's JSON under any of their names: texts as they are, objects as `text [ids]`, each id once."""
+    kind = "array<struct<text:string,claim:string,citations:array<string>>>"
+    texts = F.coalesce(*[F.from_json(F.get_json_object(payload, f"$.{n}"), "array<string>") for n in ("claims", "claim_items", "key_claims", "factual_claims")])
+    objects = F.coalesce(*[F.from_json(F.get_json_object(payload, f"$.{n}"), kind) for n in ("claims", "claim_items", "key_claims", "factual_claims")])
+    body = lambda o: F.coalesce(o["text"], o["claim"], F.lit(""))
+    ids = lambda o: F.array_join(F.transform(F.filter(F.coalesce(o["citations"], F.array().cast("array<string>")), lambda c: ~body(o).contains(F.concat(F.lit("["), c, F.lit("]")))), lambda c: F.concat(F.lit(" ["), c, F.lit("]"))), "")
+    from_objects = F.transform(objects, lambda o: F.concat(body(o), ids(o)))
+    shaped = F.exists(texts, lambda t: F.trim(t).startswith("{"))
+    return F.array_distinct(F.filter(F.when(shaped, from_objects).otherwise(texts), lambda c: T.stripped(c) != ""))

@@ -166,3 +166,29 @@ def stratified(rows: DataFrame, id_col: str, first: str, second: str, count: int
 
     schema = f"{id_col} {rows.schema[id_col].dataType.simpleString()}, {first} string, {second} string, place int"
     return top.coalesce(1).mapInPandas(choose, schema)
+
+
+def generation_status(records: DataFrame) -> DataFrame:
+    """Counts of case records (execution_success, report_emitted, contaminated, error) and means of their recorded citation metrics, each with how many have it."""
+    yes = lambda c: F.count_if(F.coalesce(F.col(c), F.lit(False)))
+    n = F.count("*")
+    kinds = ("citation_grounding", "citation_precision", "citation_coverage", "unsupported_claim_rate")
+    means = [x for c in kinds for x in (F.round(F.avg(c), 4).alias(f"{c}_avg"), F.count(c).alias(f"{c}_scored_count"))]
+    return records.agg(n.alias("case_count"), yes("execution_success").alias("success_count"), (n - yes("execution_success")).alias("failure_count"), yes("report_emitted").alias("report_emitted_count"), yes("contaminated").alias("contaminated_count"), F.count("error").alias("error_count"), *means)
+
+
+def forbidden_urls(prompt: Column, task: Column) -> Column:
+    """The distinct urls of the list `urls: [...]` that a prompt adds to its task; null where the prompt does not begin with the task or has no such list."""
+    rest = F.substr(prompt, F.length(task) + 1, F.length(prompt))
+    inside = F.regexp_extract(rest, r"""(?s)['"]urls['"]\s*:\s*\[(.*?)\]""", 1)
+    urls = F.array_distinct(F.transform(F.regexp_extract_all(inside, F.lit(r"""(['"])(.*?)\1\s*(?:,|$)"""), F.lit(2)), lambda u: F.regexp_replace(F.regexp_replace(u, "[?#].*$", ""), "/+$", "")))
+    return F.when(prompt.startswith(task) & (task != "") & (F.size(urls) > 0), urls)
+
+
+def pinned(rows: DataFrame, count: int, by: str, counts: dict[str, int]) -> DataFrame:
+    """Rows, or an error where their number or the number by category is not what was pinned."""
+    wanted = F.create_map(*[F.lit(x) for kv in counts.items() for x in kv])
+    g = rows.groupBy(by).agg(F.count("*").alias("n"))
+    sums = g.agg(F.sum("n").alias("all"), F.count_if(~F.coalesce(wanted[F.col(by)] == F.col("n"), F.lit(False))).alias("bad"), F.count("*").alias("kinds"))
+    ok = F.when((F.col("all") == count) & (F.col("bad") == 0) & (F.col("kinds") == len(counts)), F.lit(True)).otherwise(F.raise_error(F.lit("the snapshot is not the pinned one")).cast("boolean"))
+    return rows.join(F.broadcast(sums)).filter(ok).drop("all", "bad", "kinds")
