@@ -128,6 +128,16 @@ SELECT conv_id, provider, model, row_number() OVER (PARTITION BY conv_id ORDER B
     "event_tail": "SELECT event_id, 1 AS attempt, event_type = 'error' AS retryable, false AS degraded FROM events WHERE event_id > (SELECT max(event_id) // 2 FROM events)",
     "trace_totals": f"""WITH {_RUNS} SELECT run_id, round((epoch_us(updated) - epoch_us(created)) / 1000.0::DOUBLE, 3) AS latency_ms, next_retry
 FROM runs JOIN (SELECT user_id AS run_id, greatest(0, coalesce(max(CAST(json_extract(props, '$.k') AS INT)) FILTER (WHERE event_type = 'error'), 0)) + 1 AS next_retry FROM events GROUP BY 1) USING (run_id)""",
+    "circuit_breaker": """
+WITH RECURSIVE r AS (SELECT user_id AS key, epoch_us(ts) / 1e6 AS t, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+f AS (
+  SELECT DISTINCT key, 0::BIGINT AS n, 0 AS failures, CAST(NULL AS DOUBLE) AS opened, 0 AS passed, 0 AS refused FROM r
+  UNION ALL
+  SELECT key, n, CASE WHEN pass AND ok THEN 0 ELSE x END, CASE WHEN pass AND ok THEN NULL WHEN pass AND x >= 2 THEN t WHEN cooled THEN NULL ELSE opened END, passed + pass::INT, refused + (NOT pass)::INT
+  FROM (SELECT *, CASE WHEN cooled THEN 0 ELSE failures END + (pass AND NOT ok)::INT AS x
+    FROM (SELECT f.key, r.n, failures, opened, passed, refused, t, ok, opened IS NOT NULL AND t - opened >= 86400 AS cooled, opened IS NULL OR t - opened >= 86400 AS pass FROM f JOIN r ON r.key = f.key AND r.n = f.n + 1))
+)
+SELECT key, passed, refused, opened IS NOT NULL AS open FROM f QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC) = 1""",
     "rate_limiter": """
 WITH e AS (SELECT user_id AS key, event_id AS ord, epoch_us(ts) / 1e6 AS at_s, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) * 3600.0::DOUBLE AS lead FROM events)
 SELECT key, ord, round(max(at_s - lead) OVER (PARTITION BY key ORDER BY ord ROWS UNBOUNDED PRECEDING) + lead, 3) AS start FROM e""",

@@ -343,3 +343,19 @@ ORACLES |= {
     "citation_report": f"WITH {_CLAIMS} " + _REPORT("lv", "support_level = 'supported'"),
     "citation_report_judged": f"WITH {_CLAIMS} " + _REPORT("jd", "supported"),
 }
+
+_COVERED = lambda least, terms: f"""(SELECT query_id, list(DISTINCT x) AS c FROM (SELECT query_id, doc_id, st, unnest({terms}) AS x FROM hh)
+  WHERE x <> '' AND NOT list_contains({R.COVERAGE_STOPWORDS}, lower(x)) AND len(list_filter(st, lambda w: w = lower(x))) >= {least} GROUP BY 1)"""
+_SHOW = lambda c: f"array_to_string({c}, '|')"
+ORACLES["coverage_status"] = f"""
+WITH {_KW},
+ws AS (SELECT item_id, string_split(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' ') AS w FROM benchmark),
+terms AS (SELECT item_id, list_filter(w[1:3], lambda x, i: list_position(w[1:3], x) = i) AS e, list_filter(w[4:6], lambda x, i: list_position(w[4:6], x) = i) AS a FROM ws),
+hh AS (SELECT query_id, doc_id, e, a, regexp_extract_all(lower(text), '[a-z0-9]+(?:[-_.][a-z0-9]+)*') AS st FROM kw JOIN terms ON item_id = query_id JOIN documents USING (doc_id)),
+cov AS (SELECT item_id, list_filter(e, lambda x: list_contains(coalesce(ce.c, []), x)) AS ce, list_filter(e, lambda x: NOT list_contains(coalesce(ce.c, []), x)) AS me,
+  list_filter(a, lambda x: list_contains(coalesce(ca.c, []), x)) AS ca, list_filter(a, lambda x: NOT list_contains(coalesce(ca.c, []), x)) AS ma
+  FROM terms LEFT JOIN {_COVERED(2, 'e')} ce ON ce.query_id = item_id LEFT JOIN {_COVERED(1, 'a')} ca ON ca.query_id = item_id),
+oo AS (SELECT *, len(me) = 0 AND len(ma) = 0 AS complete FROM cov)
+SELECT item_id AS question_id, {_SHOW('ce')} AS covered_entities, {_SHOW('me')} AS missing_entities, {_SHOW('ca')} AS covered_aspects, {_SHOW('ma')} AS missing_aspects, complete,
+  CASE WHEN NOT complete THEN 'missing required coverage: ' || concat_ws('; ', CASE WHEN len(me) > 0 THEN 'entities=' || array_to_string(me, ', ') END, CASE WHEN len(ma) > 0 THEN 'aspects=' || array_to_string(ma, ', ') END) END AS gap,
+  CASE WHEN NOT complete THEN array_to_string(list_concat(list_concat(me, ma), ['official primary source']), ' ') END AS follow_up FROM oo"""

@@ -198,6 +198,7 @@ _PLAN = " UNION ALL ".join(
 )
 
 ORACLES = {
+    "json_salvage": "SELECT conv_id, turn, CASE WHEN conv_id % 4 < 3 THEN role END AS role, conv_id % 4 < 3 AS any_json, 1 AS n_predictions FROM conversations",
     "mock_search": f"WITH {_MOCKED} SELECT query_id, ord, url, round(score, 6) AS score FROM mock",
     "adapter_scores": f"""WITH {_LANDED}, {_MOCKED}, a(asked) AS (VALUES ('wikipedia'), ('bing'), ('gateway-web'), ('mcp')),
 p AS (SELECT asked, item_id AS query_id FROM a, benchmark WHERE (asked, item_id) NOT IN (SELECT (asked, query_id) FROM own)),

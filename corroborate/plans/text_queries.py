@@ -154,6 +154,10 @@ w AS (SELECT doc_id, CASE WHEN t = '' THEN CAST([] AS VARCHAR[]) WHEN length(t)
   list_filter(list_transform(generate_series(0, (length(t) - 1) // 187), lambda k: substr(t, k * 187 + 1, 280)), lambda x: trim(x) <> '') END AS w FROM t)
 SELECT doc_id, len(w) AS n_windows, sha256(array_to_string(w, '|')) AS windows_sha FROM w""",
     "token_estimates": f"SELECT doc_id, {CTX.format(x='text')} AS context_tokens, CASE WHEN text = '' THEN 0 ELSE (length(text) + 3) // 4 END AS cost_tokens FROM documents",
+    "truncate_to_tokens": f"""
+WITH n AS (SELECT doc_id, text, {CTX.format(x='text')} <= 200 AS whole, len(list_filter(range(1, 802), lambda k: k <= length(text) AND {CTX.format(x='substr(text, 1, CAST(k AS INT))')} <= 200)) AS n FROM documents),
+t AS (SELECT doc_id, CASE WHEN whole THEN text ELSE regexp_replace(substr(text, 1, CAST(n AS INT)), '\\s+$', '') END AS t FROM n)
+SELECT doc_id, length(t) AS n_chars, {CTX.format(x='t')} AS n_tokens FROM t""",
     "clean_and_title": r"""
 WITH x AS (SELECT *, regexp_replace(regexp_replace(text, '[ \t\x0B\f\r]+(\n|$)', '\1', 'g'), '^\s+|\s+$', '', 'g') AS x FROM documents)
 SELECT doc_id, md5(x) AS clean_md5, trim(replace(source || '_doc', '_', ' ')) AS title, 'local-' || source || '-' || doc_id || '-md' AS slug FROM x""",
