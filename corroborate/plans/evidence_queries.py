@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corroborate.functions import relevance as R
-from corroborate.functions import text as T
 from corroborate.functions import urls as U
 from corroborate.operators import evidence as E
 from corroborate.operators import retrieval as X
