@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corroborate.llm import bpe, decontam, exactdedup, langid, simhash
+from corroborate.llm import bpe, decontam, exactdedup, langid, shingles, simhash
 from corroborate.session import table, written
 
 
@@ -24,8 +24,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the smallest doc_id stays."""
-    return simhash.keep_one(spark, docs)
+    """Of each group of near-duplicates the smallest doc_id stays: fingerprints within 3 bits, or a similarity of 5-word shingles of at least 0.8."""
+    return simhash.keep_one(spark, docs, similar=(shingles.WIDTH, shingles.SHARE))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corroborate.llm import shingles
 from corroborate.llm.graph import components
 from corroborate.session import ship, written
 
@@ -196,10 +197,11 @@ def links(spark: SparkSession, distinct: DataFrame, cell: int = CELL) -> DataFra
     return found.filter("home is null").select("a", "b").unionByName(more.select("a", "b"))
 
 
-def _linked(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """(f, component_id) of the distinct fingerprints in rows (id, f)."""
+def _linked(spark: SparkSession, rows: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """(f, component_id) of the distinct fingerprints in rows (id, f). more: edges (a, b) beside those of near fingerprints."""
     distinct = written(spark, rows.groupBy("f").agg(F.min("id").alias("id")), "fingerprints")
-    roots = components(spark, links(spark, distinct))
+    edges = links(spark, distinct)
+    roots = components(spark, edges if more is None else edges.unionByName(more))
     rooted = distinct.join(roots.select(F.col("node").alias("f"), "root"), "f", "left").withColumn("root", F.coalesce("root", "f"))
     named = rooted.filter("root <> f").groupBy("root").agg(F.min("id").alias("least"))  # the root itself comes in below
     whole = rooted.join(named, "root", "left")
@@ -214,12 +216,15 @@ def groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
     return rows.join(_linked(spark, rows), "f").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each group the document with the smallest doc_id, with all its columns; of several with that doc_id one."""
+def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: tuple[int, tuple[int, int]] | None = None) -> DataFrame:
+    """Of each group the document with the smallest doc_id, with all its columns; of several with that doc_id one.
+
+    similar: (words of a shingle, least Jaccard similarity p/q) of pairs that are linked too, whatever their fingerprints."""
     simhash = fingerprints(spark)
     text = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     rows = written(spark, docs.select(F.col(id_col).alias("id"), text.alias("t"), simhash(F.col(text_col)).alias("f")), "simhash")
-    known = written(spark, rows.join(_linked(spark, rows), "f").select("id", "t", "component_id"), "grouped")
+    more = shingles.links(spark, docs.select(text.alias("t"), F.col(text_col).alias("text")), rows, *similar) if similar else None
+    known = written(spark, rows.join(_linked(spark, rows, more), "f").select("id", "t", "component_id"), "grouped")
     first = known.filter(F.col("id").eqNullSafe(F.col("component_id")))
     best = first.groupBy("component_id").agg(F.min("t").alias("best"), F.count("*").alias("n")).filter("n > 1")
     best = written(spark, best, "ties")
