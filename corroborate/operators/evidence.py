@@ -210,8 +210,9 @@ def diversity(sources: DataFrame, by: list[str]) -> DataFrame:
 def prompt_leaks(docs: DataFrame, prompts: DataFrame, answer_fields: bool = True) -> DataFrame:
     """P10 as a join: (doc_id, item_id) where docs (doc_id, text) hold the prompt of prompts (item_id, text).
 
-    A prompt inside a page holds its second to fourth word as whole words there, so the pairs come from an
-    equi-join on these three; prompts of fewer than five words, few by nature, are compared with every page."""
+    A prompt inside a page holds all its words but the first and the last as whole words there, so the pairs come from an
+    equi-join on the second to fourth, or on the two or the one of shorter prompts. Of prompts of one or two words the page may
+    hold more on either side; they come from an equi-join on their first 16 characters, which any place of the page may begin."""
     p = prompts.select("item_id", T.squeezed(F.lower("text")).alias("q")).filter(F.length("q") >= 16).withColumn("w", F.split("q", " "))
     d = docs.select("doc_id", T.squeezed(F.lower("text")).alias("t"), F.lower("text").rlike(f"(?i){U.ANSWER_FIELD}").alias("fields"))
     d = d.filter("fields") if answer_fields else d
@@ -220,8 +221,16 @@ def prompt_leaks(docs: DataFrame, prompts: DataFrame, answer_fields: bool = True
     words = d.withColumn("w", F.split("t", " ")).filter(F.size("w") >= 3)
     grams = words.select("doc_id", "t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda k: three(F.col("w"), k)))).alias("key"))
     found = grams.join(small(keyed), "key").filter(F.col("t").contains(F.col("q"))).select("doc_id", "item_id")
-    brief = F.broadcast(p.filter(F.size("w") < 5).select("item_id", "q").limit(10_000))
-    return found.unionByName(d.join(brief, F.col("t").contains(F.col("q"))).select("doc_id", "item_id")).distinct()
+    inner = p.filter(F.size("w").isin(3, 4)).select("item_id", "q", F.array_join(F.slice("w", F.lit(2), F.size("w") - 2), " ").alias("key"))
+    few = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda k: F.array_join(F.slice("w", k, n), " "))
+    one = d.withColumn("w", F.split("t", " "))
+    runs = one.select("doc_id", "t", F.explode(F.array_distinct(F.concat(few(1), F.when(F.size("w") >= 2, few(2)).otherwise(F.array().cast("array<string>"))))).alias("key"))
+    start = p.filter(F.size("w") <= 2).select("item_id", "q", F.substr("q", F.lit(1), F.lit(16)).alias("key"))
+    chars = d.filter(F.length("t") >= 16).select("doc_id", "t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - 15), lambda k: F.substr("t", k, F.lit(16))))).alias("key"))
+    for held, keys in ((runs, inner), (chars, start)):
+        if not keys.isEmpty():
+            found = found.unionByName(held.join(small(keys), "key").filter(F.col("t").contains(F.col("q"))).select("doc_id", "item_id"))
+    return found.distinct()
 
 
 def evidence_summaries(items: DataFrame, rounds: DataFrame) -> DataFrame:

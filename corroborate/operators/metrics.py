@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corroborate.functions import text as T
+from corroborate.operators.retrieval import small
 
 
 def rate(a: Column, b: Column) -> Column:
@@ -74,7 +75,7 @@ def usage_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     p = prices.select(F.lower("model").alias("__m"), "hit", "miss", "output")
     counted = (F.coalesce("prompt_tokens", F.lit(0)) > 0) & (F.coalesce("completion_tokens", F.lit(0)) > 0)
     error = F.when(~counted, "usage has no token counts").when(F.col("__m").isNull(), "no price for this model")
-    return usage.join(F.broadcast(p.limit(10_000)), F.lower("model") == F.col("__m"), "left").withColumn("error", error).withColumn("cost_usd", F.when(F.col("error").isNull(), price)).drop("__m", "hit", "miss", "output")
+    return usage.join(small(p), F.lower("model") == F.col("__m"), "left").withColumn("error", error).withColumn("cost_usd", F.when(F.col("error").isNull(), price)).drop("__m", "hit", "miss", "output")
 
 
 def cost_rollup(records: DataFrame, run: str = "run_id") -> DataFrame:
