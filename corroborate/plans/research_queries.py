@@ -19,8 +19,12 @@ from corroborate.sources import files
 
 
 def _requests(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").filter("item_id < 20")
-    return b.select(F.col("item_id").alias("run_id"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("query"), F.when(F.pmod("item_id", F.lit(2)) == 0, "deep").otherwise("concise").alias("depth"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("run_id"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("query"), F.when(F.pmod("item_id", F.lit(2)) == 0, "deep").otherwise("concise").alias("depth"))
+
+
+def _first_requests(spark, sf_dir):
+    """The first twenty requests as in the SQL of the queries that use them."""
+    return _requests(spark, sf_dir).filter("run_id < 20")
 
 
 def html_body_text(spark, sf_dir):
@@ -103,7 +107,7 @@ def query_candidates(spark, sf_dir):
 
 def planned_questions(spark, sf_dir):
     """Subquestions of each request, and whether the plan is valid."""
-    r = _requests(spark, sf_dir)
+    r = _first_requests(spark, sf_dir)
     q = P.plan(r, 3)
     return q.join(P.checked_plan(q, r, 3), "run_id").select("run_id", "q", F.md5("question").alias("question_md5"), F.md5("search_query").alias("search_md5"), F.array_join("aspects", ",").alias("aspects"), "valid")
 
@@ -124,7 +128,7 @@ def research_reports(spark, sf_dir):
 
 def run_budgets(spark, sf_dir):
     """Limits of requests."""
-    r = _requests(spark, sf_dir)
+    r = _first_requests(spark, sf_dir)
     one = F.lit(1)
     return r.select("run_id", L.budget(F.col("depth"), one, one, F.when(F.pmod("run_id", F.lit(3)) == 0, 60.0), F.lit(4)).alias("b")).select("run_id", "b.*")
 

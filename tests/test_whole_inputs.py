@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from corroborate.operators import evidence as E
 from corroborate.operators import metrics as M
+from corroborate.plans import extension_queries as N
+from corroborate.plans import research_queries as Q
 
 
 def test_all_short_prompts_are_compared(spark):
@@ -21,3 +23,20 @@ def test_all_prices_are_used(spark):
     prices = spark.range(n).select(F.concat(F.lit("m"), "id").alias("model"), F.lit(1.0).alias("hit"), F.lit(1.0).alias("miss"), F.lit(1.0).alias("output"))
     usage = prices.select("model", F.lit(1).alias("prompt_tokens"), F.lit(1).alias("completion_tokens"), F.lit(0).alias("hit_tokens"), F.lit(None).cast("int").alias("miss_tokens"))
     assert M.usage_cost(usage, prices).filter("cost_usd is not null").count() == n
+
+
+def tables(spark, path):
+    """65 items, documents and conversations, with long texts of several sentences."""
+    text = F.concat(F.lit("Topic number "), "id", F.lit(" was first described in 1990 by some people. It holds "), "id", F.lit(" parts and many more words than fit in sixty characters. The last one ends here"))
+    ids = spark.range(65)
+    ids.select(F.col("id").alias("item_id"), text.alias("text")).write.parquet(f"{path}/benchmark.parquet")
+    ids.select(F.col("id").alias("doc_id"), text.alias("text")).write.parquet(f"{path}/documents.parquet")
+    turns = ids.select(F.col("id").alias("conv_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("turn"), text.alias("text"))
+    turns.withColumn("role", F.when(F.col("turn") == 0, "user").otherwise("assistant")).write.parquet(f"{path}/conversations.parquet")
+    return str(path)
+
+
+def test_queries_read_all_rows(spark, tmp_path):
+    sf = tables(spark, tmp_path)
+    for query, key in ((Q.research_reports, "report_id"), (N.embedded_search, "query_id"), (N.replayed_reports, "report_id")):
+        assert {r[0] for r in query(spark, sf).select(key).distinct().collect()} == set(range(65)), query.__name__
