@@ -55,7 +55,7 @@ def generation_status(spark, sf_dir):
 def replayed_reports(spark, sf_dir):
     """Conversations as stored reports: claims are turns that cite the turn before them."""
     c = table(spark, sf_dir, "conversations")
-    claims = c.select(F.col("conv_id").alias("report_id"), F.col("turn").alias("ord"), F.concat(F.substr("text", F.lit(1), F.lit(60)), F.lit(" [S"), "turn", F.lit("]")).alias("claim"))
+    claims = c.select(F.col("conv_id").alias("report_id"), F.col("turn").alias("ord"), F.concat("text", F.lit(" [S"), "turn", F.lit("]")).alias("claim"))
     sources = c.select(F.col("conv_id").alias("report_id"), F.concat(F.lit("S"), "turn").alias("source_id"), F.lit("").alias("title"), F.col("text").alias("content"), F.lit("ok").alias("extract_status"), F.lit(False).alias("snippet_only"))
     kinds = F.when(F.pmod("conv_id", F.lit(3)) == 0, F.array().cast("array<string>")).when(F.pmod("conv_id", F.lit(3)) == 1, F.array(F.lit("heuristic"))).otherwise(F.array(F.lit("live")))
     return G.refreshed(claims, sources, c.select(F.col("conv_id").alias("report_id"), kinds.alias("providers")).distinct()).select("report_id", "judge", "status", "total_claims", "supported_claims")

@@ -19,12 +19,12 @@ from corroborate.sources import files
 
 
 def _requests(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("run_id"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("query"), F.when(F.pmod("item_id", F.lit(2)) == 0, "deep").otherwise("concise").alias("depth"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("run_id"), F.col("text").alias("query"), F.when(F.pmod("item_id", F.lit(2)) == 0, "deep").otherwise("concise").alias("depth"))
 
 
 def _first_requests(spark, sf_dir):
-    """The first twenty requests as in the SQL of the queries that use them."""
-    return _requests(spark, sf_dir).filter("run_id < 20")
+    """The first twenty requests by their first six words, as in the SQL of the queries that use them."""
+    return _requests(spark, sf_dir).filter("run_id < 20").withColumn("query", F.array_join(F.slice(F.split("query", " "), 1, 6), " "))
 
 
 def html_body_text(spark, sf_dir):
@@ -39,7 +39,7 @@ def html_content(spark, sf_dir):
 
 def _answers(spark, sf_dir):
     """Conversation turns as model answers: JSON, fenced JSON, JSON in prose, and prose."""
-    t = F.to_json(F.struct(F.col("role"), F.substr("text", F.lit(1), F.lit(60)).alias("text"), F.array("turn").alias("claims")))
+    t = F.to_json(F.struct(F.col("role"), F.col("text"), F.array("turn").alias("claims")))
     k = F.pmod("conv_id", F.lit(4))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(k == 0, t).when(k == 1, F.concat(F.lit("see ```json\n"), t, F.lit("\n```"))).when(k == 2, F.concat(F.lit("well, "), t, F.lit(" so"))).otherwise(F.col("text")).alias("answer"))
 
@@ -60,7 +60,7 @@ def tool_rows(spark, sf_dir):
 
 def _reports(spark, sf_dir):
     """Items as Markdown reports: a heading, a cited and a bare sentence, and a table."""
-    t = F.regexp_replace(F.array_join(F.slice(F.split("text", " "), 1, 5), " "), r"[.!?\n\d]", " ")
+    t = F.col("text")
     body = F.concat(F.lit("# Key findings\n\n- "), t, F.lit(" [S1]. "), t, F.lit(" bare.\n\nMethod | Result\n--- | ---\n"), t, F.lit(" | x [S2]\nplain | row\n\n## All best results\n"), t, F.lit("\n"))
     return table(spark, sf_dir, "benchmark").select("item_id", body.alias("answer"), t.alias("t"))
 

@@ -40,3 +40,16 @@ def test_queries_read_all_rows(spark, tmp_path):
     sf = tables(spark, tmp_path)
     for query, key in ((Q.research_reports, "report_id"), (N.embedded_search, "query_id"), (N.replayed_reports, "report_id")):
         assert {r[0] for r in query(spark, sf).select(key).distinct().collect()} == set(range(65)), query.__name__
+
+
+def test_queries_read_whole_texts(spark, tmp_path):
+    sf = tables(spark, tmp_path)
+    texts = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    assert all(texts[r.conv_id] in r.answer for r in Q._answers(spark, sf).collect())
+    assert all(texts[r.item_id] + " [S1]. " in r.answer for r in Q._reports(spark, sf).collect())
+    assert {r.run_id: r["query"] for r in Q._requests(spark, sf).collect()} == texts
+    cited = {r.item_id: r for r in Q.cited_claims(spark, sf).collect()}
+    clean = {r.item_id: r for r in Q.markdown_sanitised(spark, sf).collect()}
+    assert len(cited) == len(clean) == 65 and all(r.n_claims >= 2 for r in cited.values()) and all(r.n_chars > 0 for r in clean.values())
+    counts = N.replayed_reports(spark, sf).filter("total_claims is not null").select("total_claims").collect()  # none where the judge would have to be live
+    assert [r.total_claims for r in counts] == [2] * 44
