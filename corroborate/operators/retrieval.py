@@ -68,8 +68,8 @@ def distance_score(similarity: Column) -> Column:
 
 
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """Exact cosine top-k of queries (query_id, embedding), a bounded stated set, over corpus (doc_id, embedding)."""
-    pairs = corpus.select("doc_id", F.col("embedding").alias("__v")).join(F.broadcast(queries.select("query_id", "embedding")))
+    """Exact cosine top-k of queries (query_id, embedding) over corpus (doc_id, embedding); queries are broadcast if small, else met block by block in a cartesian product."""
+    pairs = corpus.select("doc_id", F.col("embedding").alias("__v")).join(small(queries.select("query_id", "embedding")))
     scored = pairs.select("query_id", "doc_id", cosine(F.col("embedding"), F.col("__v")).alias("score"))
     return top_k(scored, k, [F.desc(F.round("score", 9)), F.asc("doc_id")])
 
