@@ -33,10 +33,9 @@ def test_same_ids_as_the_library_and_back(text):
 def test_batches_and_a_small_cache_change_nothing(monkeypatch):
     texts = [f"word{i} {i * 7919} some thing" for i in range(200)]
     monkeypatch.setattr(bpe, "CACHED_WORDS", 20)
-    monkeypatch.setattr(bpe, "CACHED_PAIRS", 20)
     monkeypatch.setattr(bpe, "CHUNK", 100)
-    own = bpe.ByteBpe(PATH)
-    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_batch(texts)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    own = bpe.ByteBpe(open(PATH, "rb").read())
+    assert [np.frombuffer(b"".join(x), "<u4").tolist() for x in own.encode_batch(texts)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_broken_utf8_is_replaced():
@@ -53,3 +52,52 @@ def test_columns(spark, documents):
     assert all(r.x.exact and r.back == (r.text or "") for r in rows)
     assert [r.x.n_tokens for r in rows if r.text is None] == [0]
     assert documents([]).select(bpe.digests(spark)("text")).count() == 0
+
+
+def test_pairs_read_off_the_rules_are_what_merging_them_gives():
+    own = bpe.tokenizer(PATH)
+    rng = np.random.default_rng(3)
+    short = np.array([i for t, i in own.ids.items() if len(t) < 5])
+    a, b = rng.choice(short, 20_000), rng.choice(short, 20_000)
+    got = own.compatible(a << 32 | b)
+    want = [own.merge(own.tokens[x] + own.tokens[y]) == [x, y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    assert got.tolist() == want and 0 < sum(want) < len(want)
+    runs = np.array([i for t, i in own.ids.items() if len(set(t)) == 1])
+    a, b = (x.ravel() for x in np.meshgrid(runs, runs))
+    assert own.compatible(a << 32 | b).tolist() == [own.merge(own.tokens[x] + own.tokens[y]) == [x, y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+
+
+def test_merging_many_is_merging_each():
+    own = bpe.tokenizer(PATH)
+    rng = np.random.default_rng(4)
+    words = [bytes(rng.integers(97, 103, rng.integers(1, 60)).astype(np.uint8)) for _ in range(3000)] + [b"a", b"aaaaaaaa", b"\x00\xff"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.merge_many(words)] == [own.merge(w) for w in words]
+
+
+def test_a_vocabulary_whose_rules_are_out_of_order_is_merged_exactly():
+    import json
+
+    spec = json.loads(open(PATH, encoding="utf-8").read())
+    spec["model"]["merges"] = spec["model"]["merges"][::-1]
+    own, library = bpe.ByteBpe(json.dumps(spec).encode()), tokenizers.Tokenizer.from_str(json.dumps(spec))
+    assert not own.layered
+    for t in ("hello world, these are words", "aaaa bbbb abab"):
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    monkeypatch.setattr(bpe, "CHUNK", 50)
+    own = bpe.ByteBpe(open(PATH, "rb").read())
+    texts = ["don't stop  now \n it's 12 3 a  b<|endoftext|> x 🙂 ünd " * 40, "y" * 3000, "short"]
+    pieces = [list(own.pieces(t)) for t in texts]
+    assert ["".join(p) for p in pieces] == texts and len(pieces[0]) > 40
+    for t, x in zip(texts, own.encode_batch(texts), strict=True):
+        held = list(x)
+        assert np.frombuffer(b"".join(held), "<u4").tolist() == LIBRARY.encode(t, add_special_tokens=False).ids
+        assert "".join(own.decode_pieces(held)) == t
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.text(alphabet=st.characters(max_codepoint=255), max_size=60))
+def test_latin_words_are_the_words(text):
+    assert bpe.words_of(text) == bpe.WORDS.findall(text)
