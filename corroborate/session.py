@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import os
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -30,17 +34,42 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
 BATCH_RECORDS = "1000"
 
 
+def _zipped() -> bytes:
+    """The source files of this package as a zip, the same bytes for the same sources."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted((Path(ROOT) / "corroborate").rglob("*.py")):
+            z.writestr(zipfile.ZipInfo(str(f.relative_to(ROOT))), f.read_bytes(), zipfile.ZIP_DEFLATED)
+    return out.getvalue()
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package when it is run from a source tree, and bound what they hold at once.
 
+    In local mode the workers read the source tree. On a cluster it is zipped into the shared folder and added to the context,
+    once, so that executors need no disk in common with the driver's.
+
     Rows here are whole documents, so Arrow batches of Spark's default of 10,000 records take tens of MB in the JVM and
-    again in Python, in every task; a batch size that the session has chosen itself stays."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_RECORDS)
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    again in Python, in every task; a batch size that the session's own configuration names stays, whatever it is."""
+    sc = spark.sparkContext
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if sc.getConf().get(batch) is None and spark.conf.get(batch) == "10000":
+        spark.conf.set(batch, BATCH_RECORDS)
+    if sc.master == "local" or sc.master.startswith("local["):
+        env = sc.environment
+        paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if ROOT not in paths:
+            env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+        return
+    content = _zipped()
+    name = f"corroborate-{hashlib.sha256(content).hexdigest()[:16]}.zip"
+    if name not in sc._python_includes:
+        jvm, path = sc._jvm, f"{shared_dir(spark)}/corroborate/{name}"
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        out = at.getFileSystem(sc._jsc.hadoopConfiguration()).create(at, True)
+        out.write(bytearray(content))
+        out.close()
+        sc.addPyFile(path)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,7 +79,7 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
+        if not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="corroborate-"))
     return sc.getCheckpointDir().rstrip("/")
@@ -80,13 +109,30 @@ def size_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+DEALT = "spark.corroborate.dealSmallTables"
 SMALL_BYTES = (2 << 20, 256 << 20)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A Parquet table. Fewer files than cores mean idle cores, as one row group is read by one task: such tables, if small, are dealt out after the scan."""
+    """A Parquet table. Where the session sets DEALT (bench.py does, on one machine), a small table in fewer files than cores is dealt out after the scan, as one row group is read by one task."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if SMALL_BYTES[0] <= size_bytes(df) <= SMALL_BYTES[1] and len(df.inputFiles()) < cores:
-        return df.repartition(cores)
+    if spark.conf.get(DEALT, "false") == "true":
+        cores = spark.sparkContext.defaultParallelism
+        if SMALL_BYTES[0] <= size_bytes(df) <= SMALL_BYTES[1] and len(df.inputFiles()) < cores:
+            return df.repartition(cores)
     return df
+
+
+HOT_PARTS = 1024
+
+
+def hot_keys(df: DataFrame, key: str, n: str, rows: int) -> DataFrame:
+    """Of a table with one row per key the rows whose count n is over rows/HOT_PARTS: fewer than HOT_PARTS rows, as the counts add up to rows."""
+    return df.filter(F.col(n) > F.lit(rows // HOT_PARTS)).filter(F.col(key).isNotNull())
+
+
+def answered(rows: DataFrame, answers: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """rows joined by key with answers, which have one row per key and in n how many rows have it: hot keys' answers, fewer than HOT_PARTS, are broadcast; the rest is an ordinary join."""
+    hot = F.broadcast(hot_keys(answers, key, n, total))
+    cold = answers.filter(F.col(n) <= F.lit(total // HOT_PARTS))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
