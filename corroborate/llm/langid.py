@@ -2,42 +2,48 @@
 
 Each language has a codeword; one binary classifier per bit reads character n-grams of the whole text and
 predicts that bit. Decoding adds up the bits' logistic losses, each bit weighted by its accuracy in training,
-and takes the language of the least loss; a small gap to the second flags the answer as ambiguous.
+and takes the language of the least loss. An answer is ambiguous if the second language's loss is nearly as
+small, or if even the nearest codeword is far: its weighted mean loss a bit is over that of a coin's toss, times `far`.
 
-Cases: a null text, an empty one or one with no letter is `und` with score 0 and not ambiguous; with no
-labelled row at all every text is `und`; equal losses go to the language first in the alphabet; a null doc_id
-is never learned from and not held out; other columns pass through untouched.
+Cases: a null text, an empty one or one with no letter (Unicode category L) is `und` with score 0 and not ambiguous;
+with no labelled row at all every text is `und`; equal losses go to the language first in the alphabet; a null doc_id
+is never learned from and not held out; rows that share a doc_id are told apart by their text when the sample is
+cut, equal rows count as often as they are drawn; other columns pass through untouched.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corroborate.session import ship
 
 UND = "und"
 RESULT = "struct<lang_pred:string,score:double,ambiguous:boolean>"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass(frozen=True)
 class Params:
-    """max_rows bounds the labelled rows that training reads, shared evenly by the languages."""
+    """max_rows bounds the labelled rows that training reads, shared evenly by the languages, but at least one of each: none is left out.
+
+    gap: an answer is ambiguous if the second language's loss exceeds the first's by less. far: or if the first's weighted mean
+    loss a bit is over far times log 2."""
 
     dims: int = 4096
     max_rows: int = 3200
-    max_langs: int = 256
     steps: int = 120
     rate: float = 0.5
     decay: float = 1e-5
     gap: float = 0.2
+    far: float = 0.6
     seed: int = 7
 
 
@@ -48,6 +54,7 @@ class Model:
     weights: np.ndarray  # dims+1 x bits
     trust: np.ndarray  # bits
     gap: float
+    far: float = 0.6
 
 
 @lru_cache(1)
@@ -95,7 +102,7 @@ def train(texts: list[str], langs: list[str], p: Params = Params()) -> Model:
     names = sorted(set(langs))
     code = codewords(len(names), p.seed)
     if not names:
-        return Model([], code, np.zeros((p.dims + 1, 1), np.float32), np.ones(1), p.gap)
+        return Model([], code, np.zeros((p.dims + 1, 1), np.float32), np.ones(1), p.gap, p.far)
     x = features(texts, p.dims)
     y = np.array([names.index(v) for v in langs])
     share = 1.0 / np.bincount(y, minlength=len(names))[y]
@@ -110,17 +117,17 @@ def train(texts: list[str], langs: list[str], p: Params = Params()) -> Model:
         w -= p.rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     right = ((x @ w) * aim > 0) * share
     trust = np.clip(2 * right.sum(0) - 1, 0.05, 1.0)
-    return Model(names, code, w, trust, p.gap)
+    return Model(names, code, w, trust, p.gap, p.far)
 
 
 def decode(model: Model, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(class, score, ambiguous) of rows of bit margins."""
-    loss = (np.logaddexp(0, -model.code[None, :, :] * margins[:, None, :]) * model.trust).sum(2)
-    best = loss.argmin(1)
-    e = np.exp(loss.min(1, keepdims=True) - loss)
-    score = 1 / e.sum(1)
+    ones, rest = np.logaddexp(0, -margins) * model.trust, np.logaddexp(0, margins) * model.trust  # losses of a bit that is 1, -1
+    loss = ones @ (model.code.T > 0) + rest @ (model.code.T < 0)
+    best, least = loss.argmin(1), loss.min(1)
+    score = 1 / np.exp(least[:, None] - loss).sum(1)
     second = np.partition(loss, 1, axis=1)[:, 1] if loss.shape[1] > 1 else loss[:, 0] + np.inf
-    return best, score, second - loss.min(1) < model.gap
+    return best, score, (second - least < model.gap) | (least > model.far * np.log(2) * model.trust.sum())
 
 
 def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float, bool]]:
@@ -141,17 +148,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list:
-    """Rows (text, lang) outside the held-out fold: about max_rows, chosen by a hash of doc_id, evenly over the languages."""
+    """Rows (text, lang) outside the held-out fold: of each language those with the least hash of doc_id, then of the text; the same ones in every run."""
     key = F.col(id_col)
     rows = docs.filter(key.isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(key))
-    sizes = rows.groupBy(F.col(lang_col).alias("v")).count().orderBy(F.desc("count"), "v").limit(p.max_langs).collect()
+    rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(key, F.lit(p.seed)).alias("u"))
+    sizes = rows.groupBy("lang").count().collect()  # one row a language, as the model itself has
     if not sizes:
         return []
     each = max(1, p.max_rows // len(sizes))
-    take = F.create_map(*[F.lit(x) for r in sizes for x in (r.v, min(1.0, each / r["count"]))])
-    drawn = F.pmod(F.xxhash64(key, F.lit(p.seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    found = rows.filter(drawn < take[F.col(lang_col)]).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), drawn.alias("u")).limit(2 * p.max_rows).collect()
-    return sorted(found, key=lambda r: (r.u, r.text))
+    # ids whose hash is in the least part of its range, with room to spare; then, per language, the first of these
+    low = docs.sparkSession.createDataFrame([(r.lang, int(min(1.0, (2 * each + 50) / r["count"]) * (1 << 64)) - (1 << 63) - 1) for r in sizes], "lang string, most long")
+    first = W.partitionBy("lang").orderBy("u", F.xxhash64("text"), "text")
+    drawn = rows.join(F.broadcast(low), "lang").filter("u <= most").withColumn("place", F.row_number().over(first)).filter(F.col("place") <= each)
+    return sorted(drawn.select("text", "lang", "u").collect(), key=lambda r: (r.lang, r.u, r.text))
 
 
 def fit(docs: DataFrame, p: Params = Params(), **cols: str) -> Model:
@@ -173,7 +182,12 @@ def predictor(spark: SparkSession, model: Model):
     return language
 
 
-def keep_known(spark: SparkSession, docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """The documents with a recognised language: those judged `und` go."""
-    language = predictor(spark, fit(docs, p))
-    return docs.filter(language(F.col("text"))["lang_pred"] != UND)
+def keep_known(spark: SparkSession, docs: DataFrame, p: Params = Params(), languages: tuple[str, ...] | None = None) -> DataFrame:
+    """The documents whose language is told: those judged `und`, those whose decoding is ambiguous and those in none of languages (None: any
+    that is learned) go. Where no row has a language nothing is learned, so only texts without a letter go."""
+    model = fit(docs, p)
+    if not model.langs:
+        return docs.filter(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
+    told = predictor(spark, model)(F.col("text"))
+    wanted = told["lang_pred"] != UND if languages is None else told["lang_pred"].isin(list(languages))
+    return docs.filter(wanted & ~told["ambiguous"])

@@ -5,7 +5,8 @@ by noisy-or, 1 - prod(1 - p_i), and the sentence scorer (a logistic model of its
 combination from the documents' labels. Sentences whose own score is high are then the offending ones.
 
 Cases: null and empty texts have score 0 and no offending sentence; with no labelled row every score is 0;
-labels that repeat for a document count once, 1 before 0; a null doc_id is never learned from and not held out.
+labels that repeat for a document count once, 1 before 0; a null doc_id is never learned from and not held out; of
+documents with the same doc_id each is learned from, up to 4 max_rows documents in all, the first by their ids' hash.
 """
 
 from __future__ import annotations
@@ -59,6 +60,44 @@ def sentences(text: str) -> list[bytes]:
     return text.lower().encode().translate(_folded()).split(b"\n")
 
 
+@dataclass
+class Bags:
+    """Labelled documents as bags of sentences. Sentences without a known word share one logit, the bias: they count by number."""
+
+    y: np.ndarray
+    plain: np.ndarray  # by document, its sentences without a known word
+    doc_of: np.ndarray  # by other sentence
+    sent_of: np.ndarray  # by known word of a sentence
+    word_of: np.ndarray
+
+    @classmethod
+    def of(cls, bags: list[list[list[bytes]]], index: dict[bytes, int], y: np.ndarray) -> Bags:
+        plain, doc_of, sent_of, word_of = np.zeros(len(y)), [], [], []
+        for d, b in enumerate(bags):
+            for s in b:
+                known = sorted({index[w] for w in s if w in index})
+                if known:
+                    sent_of += [len(doc_of)] * len(known)
+                    word_of += known
+                    doc_of.append(d)
+                else:
+                    plain[d] += 1
+        return cls(y, plain, np.array(doc_of, int), np.array(sent_of, int), np.array(word_of, int))
+
+    def loss(self, w: np.ndarray, bias: float) -> tuple[float, np.ndarray, float]:
+        """Cross-entropy of the documents' noisy-or, the two classes weighing the same, and its gradients by the words' weights and the bias."""
+        n, pos = len(self.y), self.y.sum()
+        share = np.where(self.y == 1, 0.5 / pos, 0.5 / (n - pos))
+        z = bias + np.bincount(self.sent_of, w[self.word_of], len(self.doc_of))
+        q, q0 = 1 / (1 + np.exp(-np.clip(z, -30, 30))), 1 / (1 + np.exp(-bias))
+        none = np.bincount(self.doc_of, np.log1p(-np.minimum(q, 1 - 1e-12)), n) + self.plain * np.log1p(-q0)
+        prob = -np.expm1(np.minimum(none, -1e-12))
+        slope = np.where(self.y == 1, -(1 - prob) / prob, 1.0) * share  # by the logit of one sentence, over its p
+        gz = slope[self.doc_of] * q
+        loss = -(share * np.where(self.y == 1, np.log(prob), none)).sum()
+        return float(loss), np.bincount(self.word_of, gz[self.sent_of], len(w)), float(gz.sum() + (slope * self.plain).sum() * q0)
+
+
 def train(texts: list[str], labels: list[int], p: Params = Params()) -> Model:
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
@@ -77,30 +116,12 @@ def train(texts: list[str], labels: list[int], p: Params = Params()) -> Model:
     gain = {w: (a - b) / np.sqrt(m * (1 - m) * (1 / pos + 1 / (n - pos))) for w, (a, b, m) in rate.items()}
     words = sorted((w for w in gain if gain[w] >= p.least_errors), key=lambda w: (-gain[w], w))[: p.vocabulary]
     index = {w: i for i, w in enumerate(words)}
-    # sentences without a known word share one logit, the bias: they count by number
-    plain = np.zeros(n)
-    doc_of, sent_of, word_of = [], [], []
-    for d, b in enumerate(bags):
-        for s in b:
-            known = {index[w] for w in s if w in index}
-            if known:
-                sent_of += [len(doc_of)] * len(known)
-                word_of += known
-                doc_of.append(d)
-            else:
-                plain[d] += 1
-    doc_of, sent_of, word_of = np.array(doc_of, int), np.array(sent_of, int), np.array(word_of, int)
-    share = np.where(y == 1, 0.5 / pos, 0.5 / (n - pos))
+    bag = Bags.of(bags, index, y)
     w, bias = np.zeros(len(words)), -6.0
     m, v = np.zeros(len(words) + 1), np.zeros(len(words) + 1)
     for t in range(1, p.steps + 1):
-        z = bias + np.bincount(sent_of, w[word_of], len(doc_of))
-        q, q0 = 1 / (1 + np.exp(-np.clip(z, -30, 30))), 1 / (1 + np.exp(-bias))
-        none = np.bincount(doc_of, np.log1p(-np.minimum(q, 1 - 1e-12)), n) + plain * np.log1p(-q0)
-        prob = -np.expm1(np.minimum(none, -1e-12))
-        slope = np.where(y == 1, -(1 - prob) / prob, 1.0) * share  # by the logit of one sentence, over its p
-        gz = slope[doc_of] * q
-        g = np.append(np.bincount(word_of, gz[sent_of], len(words)) + p.decay * w * 0.1, gz.sum() + (slope * plain).sum() * q0)
+        _, gw, gb = bag.loss(w, bias)
+        g = np.append(gw + p.decay * w * 0.1, gb)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = p.rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w -= step[:-1]
@@ -139,16 +160,17 @@ def score(model: Model, text: str | None) -> tuple[float, int, list[tuple[int, i
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> list:
-    """Rows (text, toxic) outside the held-out fold: about max_rows, chosen by a hash of doc_id within each class."""
+    """Rows (text, toxic) outside the held-out fold: about max_rows, chosen by a hash of doc_id within each class, the same ones in every run."""
     key = F.col("doc_id")
     known = labels.select("doc_id", "toxic").filter(key.isNotNull() & F.col("toxic").isNotNull() & ~held_out(key)).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     sizes = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     each = p.max_rows // 2
     take = F.when(F.col("y") == 1, min(1.0, each / max(1, sizes.get(1, 0)))).otherwise(min(1.0, (p.max_rows - min(each, sizes.get(1, 0))) / max(1, sizes.get(0, 0))))
     drawn = F.pmod(F.xxhash64(key, F.lit(p.seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = known.filter(drawn < take).limit(2 * p.max_rows)  # so a bounded broadcast
+    chosen = known.filter(drawn < take).orderBy(drawn, "doc_id").limit(2 * p.max_rows)  # so a bounded broadcast
     rows = docs.select("doc_id", F.col("text").alias("t")).join(F.broadcast(chosen), "doc_id").filter(F.col("t").isNotNull())
-    return sorted(rows.select("doc_id", "t", "y").limit(4 * p.max_rows).collect(), key=lambda r: (r.doc_id, r.t))
+    first = rows.select("doc_id", "t", "y").orderBy(drawn, "doc_id", F.xxhash64("t"), "t").limit(4 * p.max_rows)
+    return sorted(first.collect(), key=lambda r: (r.doc_id, r.t))
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:

@@ -51,6 +51,62 @@ def test_language_of_odd_texts(spark, documents):
     assert odd.select(none("text")["lang_pred"]).distinct().collect() == [("und",)]
 
 
+def test_decoding_is_what_plain_loops_give():
+    rng = np.random.default_rng(1)
+    code, trust = langid.codewords(9), rng.uniform(0.1, 1, langid.codewords(9).shape[1])
+    m = langid.Model(list("abcdefghi"), code, np.zeros((2, len(trust)), np.float32), trust, 2.0, 0.9)
+    margins = rng.standard_normal((40, len(trust))) * 2
+    best, score, vague = langid.decode(m, margins)
+    for row, b, s, v in zip(margins, best, score, vague):
+        loss = [sum(t * np.log1p(np.exp(-c * x)) for c, x, t in zip(word, row, trust)) for word in code]
+        first, second = sorted(loss)[:2]
+        assert b == np.argmin(loss) and abs(s - np.exp(-first) / sum(np.exp(-x) for x in loss)) < 1e-9
+        assert v == (second - first < 2.0 or first > 0.9 * np.log(2) * trust.sum())
+
+
+def test_letters_are_category_l(spark, documents):
+    m = langid.train(["das ist ein satz", "this is one sentence"] * 5, ["de", "en"] * 5)
+    assert [langid.predict(m, [t])[0][0] for t in ("½ ²", "Ⅷ ①", "٣ _ 7", "", None)] == ["und"] * 5
+    assert langid.predict(m, ["½ ein satz das"])[0][0] == "de"
+
+
+def test_no_language_is_left_out_of_the_sample(spark, documents):
+    rows = [(k, f"text of language {k % 300} with {k} words") for k in range(900)]
+    d = documents(rows).withColumn("lang", F.concat(F.lit("l"), F.pmod("doc_id", F.lit(300)).cast("string")))
+    drawn = langid.labelled_sample(d, langid.Params(max_rows=100))
+    assert 290 < len({r.lang for r in drawn}) == len(drawn)  # a language all of whose rows are held out has none to learn from
+    assert drawn == langid.labelled_sample(d.repartition(7), langid.Params(max_rows=100))
+
+
+def test_repeated_ids_give_the_same_sample_in_any_order(spark, documents):
+    d = documents([(k % 3, f"text {k}") for k in range(600)])
+    drawn = langid.labelled_sample(d, langid.Params(max_rows=50))
+    assert drawn == langid.labelled_sample(d.repartition(5), langid.Params(max_rows=50)) and len(drawn) <= 50
+    labels = spark.createDataFrame([(k, 0, k % 2) for k in range(3)], "doc_id long, quality int, toxic int")
+    got = toxicity.labelled_sample(d, labels, toxicity.Params(max_rows=20))
+    assert got == toxicity.labelled_sample(d.repartition(5), labels, toxicity.Params(max_rows=20)) and len(got) <= 80
+
+
+def test_the_language_stage_rejects_by_the_decoding(spark, documents):
+    de, en = "das ist ein deutscher satz und noch einer dazu", "this is an english sentence and one more of these"
+    told = documents([(k, (de, en)[k % 2]) for k in range(40)]).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "de").otherwise("en"))
+    mixes = [" ".join(de.split()[:i] + en.split()[:j]) for i in range(9) for j in range(9)]
+    vague = next(t for t, x in zip(mixes, langid.predict(langid.fit(told), mixes)) if x[2])
+    odd = documents([(-1, de), (-2, en), (-3, "12 34 !!"), (-4, None), (-5, ""), (-6, vague), (None, en), (-1, de)]).withColumn("lang", F.lit(None).cast("string"))
+    both = told.unionByName(odd)
+    ids = lambda d: sorted((r.doc_id for r in d.filter("doc_id is null or doc_id < 0").select("doc_id").collect()), key=str)
+    kept = langid.keep_known(spark, both)
+    assert ids(kept) == [-1, -1, -2, None] and kept.columns == both.columns
+    assert ids(langid.keep_known(spark, both, languages=("en",))) == [-2, None]
+    assert ids(langid.keep_known(spark, odd)) == [-1, -1, -2, -6, None]  # nothing is learned, so only texts without a letter go
+    assert langid.keep_known(spark, both.limit(0)).count() == 0
+
+
+def test_the_language_stage_leaves_documents_alone(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert langid.keep_known(spark, docs).count() >= 0.999 * docs.count()
+
+
 def test_noisy_or_and_offending_places():
     m = toxicity.Model(-8.0, {b"idiot": 12.0, b"clown": 10.0}, 0.5)
     text = "Ünd all is well. You IDIOT, go away! Fine\nclown"
@@ -62,6 +118,34 @@ def test_noisy_or_and_offending_places():
     assert toxicity.score(m, "... !!")[0] == 0.0
 
 
+def test_gradient_of_the_noisy_or():
+    rng = np.random.default_rng(3)
+    index = {str(k).encode(): k for k in range(6)}
+    bags = [[[str(x).encode() for x in rng.integers(0, 9, rng.integers(1, 4))] for _ in range(rng.integers(1, 5))] for _ in range(12)]
+    bag = toxicity.Bags.of(bags, index, np.array([1.0, 0] * 6))
+    w, bias = rng.standard_normal(6), -1.5
+    loss, gw, gb = bag.loss(w, bias)
+    plain = 0.0
+    for b, y in zip(bags, bag.y):
+        none = np.prod([1 / (1 + np.exp(bias + sum(w[k] for k in {index[x] for x in s if x in index}))) for s in b])
+        plain -= (np.log(1 - none) if y else np.log(none)) / 12
+    assert abs(loss - plain) < 1e-9
+    for k in range(6):
+        step = np.eye(6)[k] * 1e-6
+        assert abs((bag.loss(w + step, bias)[0] - bag.loss(w - step, bias)[0]) / 2e-6 - gw[k]) < 1e-6
+    assert abs((bag.loss(w, bias + 1e-6)[0] - bag.loss(w, bias - 1e-6)[0]) / 2e-6 - gb) < 1e-6
+
+
+def test_toxicity_of_odd_tables(spark, documents):
+    rows = [(k, "you idiot go away now" if k % 2 else "all is well here today") for k in range(400)]
+    labels = spark.createDataFrame([(k, 0, k % 2, "clash") for k in range(400)], "doc_id long, quality int, toxic int, t string")
+    score = toxicity.scorer(spark, toxicity.fit(documents(rows), labels))
+    odd = documents([(1, None), (2, ""), (3, "fine words. " * 30_000 + "You IDIOT, go away! fine"), (3, "all is well"), (3, "all is well"), (None, "you idiot go away")])
+    got = [r.t for r in odd.select(score("text").alias("t")).collect()]
+    assert [x.score >= 0.5 for x in got] == [False, False, True, False, False, True] and [len(x.offending) for x in got] == [0, 0, 1, 0, 0, 1]
+    assert documents([]).select(score("text")).count() == 0 and toxicity.fit(documents([]), labels).weights == {}
+
+
 def test_toxicity_of_held_out_documents(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
