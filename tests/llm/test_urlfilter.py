@@ -34,6 +34,56 @@ def test_aliases_take_over_decisions_and_allow_goes_first(spark):
     assert {k: (r.verdict, r.by) for k, r in got.items()} == {1: ("block", "alias"), 2: ("block", "alias"), 3: ("allow", "alias"), 4: ("allow", "default"), 5: ("block", "rule"), 6: ("block", "alias")}
 
 
+def test_links_of_all_kinds_are_found_and_resolved(spark):
+    rows = [
+        ("https://A.com/x/y.html?q#f", '<link rel="canonical" href="/c">', "https://a.com/c"),
+        ("https://a.com/x/y", '<link href="//bad.net/p" rel=canonical>', "https://bad.net/p"),
+        ("https://a.com/x/y", '<link rel="nofollow CANONICAL" href="z/../w?a=1&amp;b=2">', "https://a.com/x/w?a=1&b=2"),
+        ("https://a.com/x/y", "<link rel='canonical' href='?k=1'>", "https://a.com/x/y?k=1"),
+        ("https://a.com", "<link rel=canonical href=b>", "https://a.com/b"),
+        ("https://a.com/x", '<META content="5; URL=\'/new\'" http-equiv="Refresh">', "https://a.com/new"),
+        ("https://a.com/x", '<meta http-equiv=refresh content="0;url=HTTP://B.com:80/./p/..//q#z">', "http://b.com//q"),
+        ("https://a.com/x", '<link rel="canonical" href="&#104;ttps://b&#x2e;com/&#x20ac;&eacute;&amp;lt;">', "https://b.com/€&eacute;&lt;"),
+        ("https://a.com/x", '<base href="https://c.com/d/"><link rel="canonical" href="e">', "https://c.com/d/e"),
+        ("https://a.com/x", '<!-- <link rel="canonical" href="https://bad.net/"> -->', None),
+        ("https://a.com/x", '<link rel="canonical" href="mailto:a@b.net"><link rel="canonical" href=""><meta http-equiv="refresh" content="30">', None),
+        ("https://a.com/x", '<link rel="canonical" href="#top"><link rel="stylesheet" data-href="/canonical" href="/s.css">', None),
+        ("https://a.com/x", '<link data-rel="canonical" href="/s"><!-- canonical', None),
+        ("https://a.com/x", None, None),
+        (None, '<link rel="canonical" href="/c">', None),
+    ]
+    table = spark.createDataFrame([(k, url, html) for k, (url, html, _) in enumerate(rows)], "k long, url string, html string")
+    got = {k: [r.target for r in U.edges_of(table.filter(f"k = {k}")).collect()] for k in range(len(rows))}
+    assert got == {k: [want] if want else [] for k, (_, _, want) in enumerate(rows)}
+    several = '<link rel="canonical" href="/1"><link rel="canonical" href="/2"><meta http-equiv="refresh" content="0; url=/3"><meta http-equiv="refresh" content="0; url=/4">'
+    assert U.edges_of(spark.createDataFrame([("https://a.com/", several)], "url string, html string")).count() == 4
+
+
+def test_relative_and_encoded_links_pass_decisions_on(spark):
+    rows = [
+        (1, "https://one.com/a", '<link rel="canonical" href="/c">'),
+        (2, "https://one.com/c", '<meta http-equiv="refresh" content="0; url=//bad.net/p?x=1&amp;y=2">'),
+        (3, "HTTPS://BAD.net:443/p?x=1&y=2#part", None),  # no rule fits the host with its port, but its node is that of (2)'s target
+        (4, "https://two.com/", '<!-- <link rel="canonical" href="https://bad.net/p"> -->'),
+        (5, "https://ONE.com/./a#b", None),
+        (6, None, None),
+        (7, "https://three.com/", '<link rel="canonical" href="https://one.com/a"><link rel="canonical" href="https://x.org/fr/1">'),
+    ]
+    got = judged(spark, rows[:6])
+    assert {k: (r.verdict, r.by) for k, r in got.items()} == {1: ("block", "alias"), 2: ("block", "alias"), 3: ("block", "alias"), 4: ("allow", "default"), 5: ("block", "alias"), 6: ("allow", "default")}
+    assert {k: (r.verdict, r.by) for k, r in judged(spark, rows).items()}[1] == ("allow", "alias")
+
+
+def test_urls_of_many_pages_are_joined_apart(spark, monkeypatch):
+    from corroborate import session
+
+    monkeypatch.setattr(session, "HOT_PARTS", 8)
+    rows = [(k, "https://hot.com/" if k % 3 == 0 else "https://cold.com/" if k % 3 == 1 else f"https://c{k}.com/", '<link rel="canonical" href="https://bad.net/x">' if k in (0, 2) else None) for k in range(90)]
+    rows += [(k, None, None) for k in range(90, 120)]
+    got = judged(spark, rows)
+    assert {k for k, r in got.items() if r.verdict == "block"} == {k for k in range(90) if k % 3 == 0} | {2} and len(got) == 120
+
+
 def test_empty_table_and_clashing_columns(spark):
     assert judged(spark, []) == {}
     rows = [(1, "https://a.net/", None, "c"), (1, "https://a.net/", None, "c"), (None, None, None, "c")]
