@@ -5,17 +5,18 @@ from labelled spans (sentences made by a seeded generator, so training needs no
 adds spans in other spellings: bracketed or spaced addresses, phones without a plus, cards with other separators.
 Texts are read in windows of WINDOW characters, half of which overlap; each window is decoded by Viterbi, and the
 windows' spans are reconciled over the whole text: those cut by a window's edge yield to the neighbour that holds
-them whole, then the one deeper inside its window wins. Spans must pass their kind's check, and need a digit,
+them whole, or are read again in a window wide enough; then the one deeper inside its window wins. Spans must pass their kind's check, and need a digit,
 an at sign or a bracketed `at`; windows with none outside the patterns' spans can't add any and aren't decoded.
 
-Cases: null counts as empty, with no span; offsets are code points, end exclusive; added spans have at most
-WINDOW/2 characters and never overlap a pattern's span or each other; equal texts give equal spans.
+Cases: null counts as empty, with no span; offsets are code points, end exclusive; added spans may have any
+length and never overlap a pattern's span or each other; equal texts give equal spans; other columns are never looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -38,6 +39,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TRIGGER = re.compile(r"[0-9@]|[\[(](?:at|AT)[\])]")
+_AT = re.compile(r"@|[\[(](?:at|AT)[\])]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -81,7 +83,7 @@ def patterns(text: str) -> list[Span]:
 _OTHER_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|[\[(](?:at|AT)[\])]) ?[A-Za-z0-9-]+(?: ?(?:\.|[\[(](?:dot|DOT)[\])]) ?[A-Za-z0-9-]+)+")
 _OTHER_IP = re.compile(r"[0-9]{1,3}(?: ?(?:\.|\[\.\]|\(\.\)) ?[0-9]{1,3}){3}")
 _OTHER_CARD = re.compile(r"[0-9]{4}(?:[ .:/_-]{0,3}[0-9]{2,7}){2,4}")
-_OTHER_PHONE = re.compile(r"(?:\+|00)?[ (]*[0-9]{1,4}(?:[ ().:/-]{1,3}[0-9]{2,5}){2,4}")
+_OTHER_PHONE = re.compile(r"(?:\+|00)?[ (]*[0-9]{1,4}(?:[ ().:/-]{1,3}[0-9]{2,8}){2,4}")
 
 
 def sound(kind: str, text: str) -> bool:
@@ -147,7 +149,7 @@ def _sentence(rng: np.random.Generator) -> tuple[str, list[Span]]:
     letters = lambda a, b: "".join(chr(97 + k) for k in rng.integers(0, 26, rng.integers(a, b)))
 
     def word() -> str:
-        w = letters(1, 11) if rng.random() < 0.8 else letters(1, 4) + pick("é", "ä", "ó", "ß", "è") + letters(0, 5)
+        w = letters(1, 11) if rng.random() < 0.8 else letters(12, 40) if rng.random() < 0.1 else letters(1, 4) + pick("é", "ä", "ó", "ß", "è") + letters(0, 5)
         return (w.capitalize() if rng.random() < 0.15 else w) + (pick(",", ".", "!", "?", ":", "%%%", "***", " |") if rng.random() < 0.15 else "")
 
     def card() -> str:
@@ -156,9 +158,8 @@ def _sentence(rng: np.random.Generator) -> tuple[str, list[Span]]:
         return pick(" ", "-", "", ".", "/", " - ", "_").join(d[k : k + 4] for k in range(0, 16, 4))
 
     def email() -> str:
-        host, end = pick("mail", "post", "") + letters(3, 8), pick("com", "org", "net", "example.com")
-        name = letters(3, 9) + pick("", ".", "_") + pick("", digits(2))
-        name = name.rstrip("._") or "a"
+        host, end = pick("mail", "post", "") + letters(3, 8), pick("com", "org", "net", "example.com", letters(3, 12) + ".edu")
+        name = pick("", ".", "_", "-").join(letters(1, 16) for _ in range(rng.integers(1, 5))) + pick("", digits(2))
         at, dot = pick(("@", "."), (" [at] ", " [dot] "), ("[at]", "[dot]"), ("(at)", "."), (" (at) ", " (dot) "), (" @ ", "."), ("[at]", "."))
         return name + at + host + dot + end.replace(".", dot)
 
@@ -182,6 +183,11 @@ def _sentence(rng: np.random.Generator) -> tuple[str, list[Span]]:
             s = makers[kind]()
             spans.append((kind, len(text), len(text) + len(s)))
             text += s + pick(" ", " ", ". ", ", ", "\n")
+            while rng.random() < 0.35:  # data side by side, which the patterns may take for one
+                kind = pick(kind, kind, *KINDS)
+                s, text = makers[kind](), text.rstrip(".,\n ") + " "
+                spans.append((kind, len(text), len(text) + len(s)))
+                text += s + pick(" ", ", ")
         else:
             text += (clutter() if r < 0.5 else word()) + pick(" ", " ", " ", "\n")
     return text, spans
@@ -342,11 +348,67 @@ def _runs(tags: np.ndarray, n: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def _decoded(model: Model, texts: list[str], windows: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, list[tuple[int, int, int]]]]:
+    """(text, start, characters, runs) of windows (text, start, width), those of about the same width together, about WINDOW * 512 characters at a time."""
+    by_width: dict[int, list[tuple[int, int, int]]] = {}
+    for w in windows:
+        by_width.setdefault(WINDOW if w[2] <= WINDOW else 1 << (w[2] - 1).bit_length(), []).append(w)
+    for width, some in by_width.items():
+        step = max(1, WINDOW * 512 // width)
+        for at in range(0, len(some), step):
+            part = some[at : at + step]
+            x = np.zeros((len(part), max(w for _, _, w in part)), np.int64)
+            for r, (d, a, w) in enumerate(part):
+                c = classes(texts[d][a : a + w])
+                x[r, : len(c)] = c
+            for (d, a, w), tags in zip(part, viterbi(model, x.T), strict=True):
+                n = min(w, len(texts[d]) - a)
+                yield d, a, n, _runs(tags, n)
+
+
+def _regions(cuts: list[tuple[int, int]], whole: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The cut runs joined where they touch, but for those that a run of a neighbouring window holds whole."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(cuts):
+        if any(x <= a and b <= y for x, y in whole):
+            continue
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def candidates(model: Model, texts: list[str], windows: list[tuple[int, int, int]]) -> dict[int, list[tuple[int, int, int, str]]]:
+    """By text the runs (minus the depth in their window, start, end, kind) that no window's edge cuts. Where no window holds a run whole, it is read
+    again in a window around it, twice as much wider each time, until it is; but only runs with an at sign may be so long."""
+    cand: dict[int, list[tuple[int, int, int, str]]] = {}
+    margin = WINDOW // 2
+    while windows:
+        cuts: dict[int, list[tuple[int, int]]] = {}
+        for d, a, n, runs in _decoded(model, texts, windows):
+            size = len(texts[d])
+            for kind, s, e in runs:
+                if (s == 0 and a > 0) or (e == n and a + n < size):
+                    cuts.setdefault(d, []).append((a + s, a + e))
+                else:
+                    depth = min(s if a else WINDOW, n - e if a + n < size else WINDOW)
+                    cand.setdefault(d, []).append((-depth, a + s, a + e, KINDS[kind]))
+        windows = []
+        for d, found in cuts.items():
+            for a, b in _regions(found, [(x, y) for _, x, y, _ in cand.get(d, [])]):
+                lo, hi = max(0, a - margin), min(len(texts[d]), b + margin)
+                if _AT.search(texts[d], lo, hi):
+                    windows.append((d, lo, hi - lo))
+        margin *= 2
+    return cand
+
+
 def find(model: Model, texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
     """Per text the patterns' spans, and all spans, each by kind as in KINDS, then by start."""
     half = WINDOW // 2
     base = [patterns(t) for t in texts]
-    windows: list[tuple[int, int]] = []
+    windows: list[tuple[int, int, int]] = []
     for d, t in enumerate(texts):
         covered = sorted((a, b) for _, a, b in base[d])
         k, grid = 0, set()
@@ -357,22 +419,8 @@ def find(model: Model, texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
                 continue
             g = m.start() // half
             grid |= {g, max(0, g - 1)}
-        windows += [(d, g * half) for g in sorted(grid)]
-    cand: dict[int, list[tuple[int, int, int, str]]] = {}
-    for at in range(0, len(windows), 512):
-        part = windows[at : at + 512]
-        x = np.zeros((len(part), WINDOW), np.int64)
-        for r, (d, a) in enumerate(part):
-            c = classes(texts[d][a : a + WINDOW])
-            x[r, : len(c)] = c
-        for (d, a), tags in zip(part, viterbi(model, x.T), strict=True):
-            t = texts[d]
-            n = min(WINDOW, len(t) - a)
-            for kind, s, e in _runs(tags, n):
-                if (s == 0 and a > 0) or (e == n and a + n < len(t)) or e - s > half:
-                    continue  # cut by the edge: the neighbour has it whole
-                depth = min(s if a else WINDOW, n - e if a + n < len(t) else WINDOW)
-                cand.setdefault(d, []).append((-depth, a + s, a + e, KINDS[kind]))
+        windows += [(d, g * half, WINDOW) for g in sorted(grid)]
+    cand = candidates(model, texts, windows)
     out = []
     for d, t in enumerate(texts):
         spans = list(base[d])
@@ -394,7 +442,7 @@ def listed(spans: list[Span]) -> str:
 
 
 def finder(spark: SparkSession, p: Params = Params()):
-    """A column function text -> struct(counts of all spans by kind, base_sha256, spans)."""
+    """A column function text -> struct(counts of the patterns' spans by kind, base_sha256, spans: all of them)."""
     ship(spark)
     held = spark.sparkContext.broadcast(train(p))
 

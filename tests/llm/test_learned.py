@@ -228,6 +228,76 @@ def test_gradient_of_the_crf():
     assert abs((loss(e, moves + step) - loss(e, moves - step)) / 2e-5 - d_moves[1, 2]) < 1e-5
 
 
+def test_gradient_of_the_lstm():
+    rng = np.random.default_rng(1)
+    k, x = 3, rng.integers(0, 5, (6, 2))
+    table, u, aim = rng.standard_normal((5, 4 * k)), rng.standard_normal((k, 4 * k)), rng.standard_normal((6, 2, k))
+
+    def states(table, u):
+        """The recurrence step by step, a cell at a time, in double precision."""
+        out = np.zeros((6, 2, k))
+        for b in range(2):
+            h, c = np.zeros(k), np.zeros(k)
+            for t in range(6):
+                g = table[x[t, b]] + h @ u
+                i, f, o = (1 / (1 + np.exp(-g[j * k : (j + 1) * k])) for j in range(3))
+                c = f * c + i * np.tanh(g[3 * k :])
+                h = o * np.tanh(c)
+                out[t, b] = h
+        return out
+
+    got, tape = pii._lstm(x, table.astype(np.float32), u.astype(np.float32), True)
+    assert np.abs(got - states(table, u)).max() < 1e-5
+    d_table, d_u = pii._lstm_back(x, aim.astype(np.float32), tape, table.astype(np.float32), u.astype(np.float32))
+    for what, d in ((table, d_table), (u, d_u)):
+        for i in ((0, 0), (1, 4), (2, 7), (1, 11)):
+            step = np.zeros_like(what)
+            step[i] = 1e-6
+            pair = [((states(table + s, u) if what is table else states(table, u + s)) * aim).sum() for s in (step, -step)]
+            assert abs((pair[0] - pair[1]) / 2e-6 - d[i]) < 1e-3
+
+
+def test_viterbi_is_the_best_of_all_paths():
+    from itertools import product
+
+    rng = np.random.default_rng(2)
+    f = lambda *s: rng.standard_normal(s).astype(np.float32)
+    for _ in range(5):
+        m = pii.Model([f(4, 8), f(4, 8)], [f(2, 8), f(2, 8)], f(5, 3) * 2, f(3, 3), f(3))
+        x = rng.integers(0, 4, (6, 3))
+        e = np.concatenate([pii._lstm(x, m.inputs[0], m.hidden[0])[0], pii._lstm(x[::-1], m.inputs[1], m.hidden[1])[0][::-1], np.ones((6, 3, 1), np.float32)], 2) @ m.out
+        for b, tags in enumerate(pii.viterbi(m, x)):
+            score = lambda p: m.start[p[0]] + sum(e[t, b, p[t]] for t in range(6)) + sum(m.moves[p[t - 1], p[t]] for t in range(1, 6))  # noqa: B023, E731
+            best = max(product(range(3), repeat=6), key=score)
+            assert abs(score(best) - score(tags.tolist())) < 1e-4
+
+
+def test_many_windows_find_what_one_window_finds(monkeypatch):
+    model, rng = pii.train(), np.random.default_rng(123)
+    texts = [" ".join(pii._sentence(rng)[0] for _ in range(6)) for _ in range(60)]
+    assert min(map(len, texts)) > 2 * pii.WINDOW
+    many = pii.find(model, texts)
+    monkeypatch.setattr(pii, "WINDOW", 1 << 14)
+    one = pii.find(model, texts)
+    a, b = ({(d, s) for d, (base, spans) in enumerate(x) for s in spans if s not in base} for x in (many, one))
+    assert len(b) > 200 and len(a ^ b) <= 0.02 * len(b)
+
+
+def test_long_spans_are_whole():
+    model = pii.train()
+    for name in ("janemargaretdoe.smithson", "j" * 20 + ".smithson" * 4, "jane_" * 12 + "doe"):
+        for before in ("", "plain words before it and more of them, " * 3, "here are some plain words before the address is "):
+            span = f"{name} [at] postoffice.example.com"
+            found = pii.find(model, [f"{before}{span} and after"])[0][1]
+            assert ("email", len(before), len(before) + len(span)) in found, (name, before)
+    assert pii.find(model, ["12345 " * 40_000 + "@ [at] " * 300])[0][0] == []
+
+
+def test_personal_data_columns_that_clash(spark):
+    d = spark.createDataFrame([(1, "a@b.org", "x", 5)], "doc_id long, text string, spans string, n_email int")
+    assert d.select(pii.finder(spark)("text")["n_email"].alias("n")).first().n == 1
+
+
 def test_personal_data_columns(spark, documents):
     t = "write to a.b@mail.example.com or (416) 555-9937 now"
     rows = documents([(1, t), (1, t), (2, None), (3, ""), (None, "x" * 100_000 + " 10.0.0.1")]).select("doc_id", pii.finder(spark)("text").alias("p")).collect()
