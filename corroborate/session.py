@@ -136,3 +136,13 @@ def answered(rows: DataFrame, answers: DataFrame, key: str, n: str, total: int)
     hot = F.broadcast(hot_keys(answers, key, n, total))
     cold = answers.filter(F.col(n) <= F.lit(total // HOT_PARTS))
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
+def answered_or_not(rows: DataFrame, answers: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """As answered(), but rows without an answer stay, with nulls; rows without a key go past the joins. Every key of many rows must have an answer."""
+    hot = F.broadcast(hot_keys(answers, key, n, total).withColumn("__hot", F.lit(True)))
+    cold = answers.filter(F.col(n) <= F.lit(total // HOT_PARTS))
+    one = rows.filter(F.col(key).isNotNull()).join(hot, key, "left")
+    two = one.filter("__hot is null").select(key, *[c for c in rows.columns if c != key]).join(cold, key, "left")
+    none = rows.filter(F.col(key).isNull()).select(key, *[c for c in rows.columns if c != key], *[F.lit(None).cast(answers.schema[c].dataType).alias(c) for c in answers.columns if c != key])
+    return one.filter("__hot").drop("__hot").unionByName(two).unionByName(none)
