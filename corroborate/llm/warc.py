@@ -6,9 +6,12 @@ twice: when writing, records of one SHA-256 must agree in length and SHA-1; when
 hash to their key and to the digest that the header names.
 
 Of records with equal payloads of at least min_bytes bytes the one with the largest page_id is the response,
-the others revisit it. Cases: null html is an empty payload; a null url is written as `urn:page:<page_id>`; of
-records with the same page_id and payload one is the response and the others revisit it; a null page_id is less
-than any other and written as empty; an empty table gives an empty archive.
+the others revisit it. A record's id is `urn:page:<page_id>`, followed by `:` and a number of its own in the archive
+where the page_id is null or repeated.
+Cases: null html is an empty payload; a null url is written as `urn:page:<page_id>`; signs of a url that can't stand in a
+header are percent-encoded there, and the url as it was goes in Base64 into a line of its own; of records with the same
+page_id and payload the one with the least url is the response and the others revisit it; a null page_id is less than any
+other and written as empty; other columns are never looked at; an empty table gives an empty archive.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corroborate.session import new_path, written
+from corroborate.session import answered_or_not, hot_keys, new_path, remove, written
 
 DATE = "2024-01-01T00:00:00Z"
 
@@ -37,21 +40,26 @@ def base32(hexed: Column) -> Column:
     return F.translate(F.upper(F.concat(*parts)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
+UNFIT = r"[\x00-\x20\x7f]"
+
+
 def _header(date: str) -> Column:
     crlf = "\r\n"
-    clean = lambda c: F.regexp_replace(c, r"[\x00-\x20\x7f]", "")  # noqa: E731  # a header value stays on its line
-    uri = F.coalesce(clean(F.col("url")), F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))
-    record = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
+    fit = F.array_join(F.transform(F.split("url", ""), lambda c: F.when(c.rlike(UNFIT), F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(c)), 2, "0"))).otherwise(c)), "")
+    plain = ~F.col("url").rlike(UNFIT)
+    uri = F.coalesce(F.when(plain, F.col("url")).otherwise(fit), F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))
+    record = lambda page, number: F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("")), F.coalesce(F.concat(F.lit(":"), number.cast("string")), F.lit("")), F.lit(">"))
     revisit = F.col("record_type") == "revisit"
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.col("record_type")),
-        F.concat(F.lit("WARC-Record-ID: "), record(F.col("page_id"))),
+        F.concat(F.lit("WARC-Record-ID: "), record(F.col("page_id"), F.col("own"))),
         F.lit(f"WARC-Date: {date}"),
         F.concat(F.lit("WARC-Target-URI: "), uri),
+        F.when(~plain, F.concat(F.lit("X-Target-URI-Base64: "), F.regexp_replace(F.base64(F.col("url").cast("binary")), r"\s", ""))),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("sha1")),
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-        F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), record(F.col("target")))),
+        F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), record(F.col("last"), F.col("head")))),
         F.lit("Content-Type: text/html; charset=utf-8"),
         F.concat(F.lit("Content-Length: "), F.when(revisit, F.lit("0")).otherwise(F.col("n").cast("string"))),
         F.lit(""),
@@ -64,45 +72,52 @@ def write(spark: SparkSession, pages: DataFrame, min_bytes: int = 0, date: str =
     """Write one record per row of pages (page_id, url, html)."""
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     slim = pages.select("page_id", "url", F.unhex(F.sha2(html, 256)).alias("d"), base32(F.sha1(html)).alias("sha1"), F.octet_length(html).cast("long").alias("n"))
-    slim = written(spark, slim, "records")
-    # least and most of what equal digests must agree in; per page_id first, so that a frequent payload is summed up map-side
-    per_page = slim.groupBy("d", "page_id").agg(F.count("*").alias("c"), F.min("sha1").alias("s0"), F.max("sha1").alias("s1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
-    last = F.coalesce("page_id", F.lit(-(2**63)))
-    groups = per_page.groupBy("d").agg(F.max("page_id").alias("last"), F.sum("c").alias("size"), F.max_by("c", last).alias("ties"), (F.min("s0") == F.max("s1")).alias("s"), (F.min("n0") == F.max("n1")).alias("m"))
+    counted = written(spark, slim.withColumn("number", F.monotonically_increasing_id()), "counted")
+    shared = written(spark, counted.filter("page_id is not null").groupBy("page_id").agg(F.count("*").alias("times")).filter("times > 1"), "shared")
+    slim = answered_or_not(counted, shared, "page_id", "times", counted.count())
+    slim = written(spark, slim.withColumn("own", F.when(F.col("page_id").isNull() | F.col("times").isNotNull(), F.col("number"))), "records")
+    # the response is the record that sorts first; equal digests must agree in length and SHA-1; all of it combines map-side
+    order = F.struct(F.col("page_id").isNull().alias("none"), F.bitwise_not("page_id").alias("late"), F.coalesce("url", F.lit("")).alias("u"), F.col("url").isNull().alias("z"), "number", "page_id", "own")
+    groups = slim.groupBy("d").agg(F.count("*").alias("size"), F.min(order).alias("k"), (F.min("sha1") == F.max("sha1")).alias("s"), (F.min("n") == F.max("n")).alias("m"))
     same = F.when(F.col("s") & F.col("m"), F.lit(True)).otherwise(F.raise_error(F.lit("two payloads share a SHA-256 digest")).cast("boolean"))
-    groups = written(spark, groups.filter(same).filter("size > 1").select("d", "last", "ties"), "copies")  # most payloads have no copy
+    groups = written(spark, groups.filter(same).filter("size > 1").select("d", F.col("k.page_id").alias("last"), F.col("k.number").alias("number_of_head"), F.col("k.own").alias("head")), "copies")  # most payloads have no copy
     marked = slim.join(groups, "d", "left")
-    first = F.col("page_id").eqNullSafe(F.col("last"))
-    single = F.col("ties").isNull() | (F.col("n") < min_bytes)
-    kind = lambda df, response: df.select("page_id", "url", "d", "sha1", "n", F.when(response, "response").otherwise("revisit").alias("record_type"), F.when(~response, F.col("last")).alias("target"))
-    tied = marked.filter(~single & first & (F.col("ties") > 1))
-    per_url = tied.groupBy("d", "page_id", "url", "sha1", "n", "last").agg(F.count("*").alias("c"))
-    least = per_url.groupBy("d").agg(F.min(F.struct(F.coalesce("url", F.lit("")).alias("u"), F.col("url").isNull().alias("z"))).alias("k"))
-    one = per_url.join(least, "d").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))))
-    head = (F.col("copy") == 1) & (F.coalesce("url", F.lit("")) == F.col("k.u")) & (F.col("url").isNull() == F.col("k.z"))
-    records = kind(marked.filter(single | ~first | (F.col("ties") == 1)), single | first).unionByName(kind(one, head))
+    response = F.col("number_of_head").isNull() | (F.col("n") < min_bytes) | (F.col("number") == F.col("number_of_head"))
+    records = marked.withColumn("record_type", F.when(response, "response").otherwise("revisit"))
     archive = Archive(new_path(spark, "warc-payloads"), new_path(spark, "warc-headers"))
     records.select(_header(date).alias("header"), "d").write.option("compression", "zstd").parquet(archive.headers)
-    # a payload is stored by the row that holds it last; where equal ids repeat, duplicates of that row go
-    bytes_of = pages.select("page_id", html.alias("payload"))
-    keyed = bytes_of.withColumn("d", F.unhex(F.sha2("payload", 256)))
-    losers = written(spark, slim.join(groups, "d").filter(~first).select(F.col("d").alias("__d"), F.col("page_id").alias("__p")).distinct(), "losers")
+    # a payload is stored by a row with the response's page_id; where equal ids repeat, duplicates of that row go
+    keyed = pages.select("page_id", html.alias("payload")).withColumn("d", F.unhex(F.sha2("payload", 256)))
+    first = F.col("page_id").eqNullSafe(F.col("last"))
+    copies = slim.join(groups, "d").select("d", "page_id", first.alias("first"))
+    losers = written(spark, copies.filter(~F.col("first")).select(F.col("d").alias("__d"), F.col("page_id").alias("__p")).distinct(), "losers")
     kept = keyed.join(losers, (F.col("d") == F.col("__d")) & F.col("page_id").eqNullSafe(F.col("__p")), "left_anti")
-    repeated = written(spark, groups.filter("ties > 1").select(F.col("d").alias("__d")), "repeated")
+    repeated = written(spark, copies.filter("first").groupBy(F.col("d").alias("__d")).agg(F.count("*").alias("c")).filter("c > 1").select("__d"), "repeated")
     once = kept.join(repeated, F.col("d") == F.col("__d"), "left_anti")
     if not repeated.isEmpty():
         once = once.unionByName(kept.join(repeated, F.col("d") == F.col("__d"), "left_semi").dropDuplicates(["d"]))
     once.select("d", "payload").write.option("compression", "zstd").parquet(archive.payloads)
+    for t in (counted, shared, slim, groups, losers, repeated):
+        remove(spark, t)
     return archive
 
 
+SALTS = 64
+
+
 def records(spark: SparkSession, archive: Archive) -> DataFrame:
     """Every record rebuilt: header, payload (the full one, of revisits too), d, verified."""
     headers = spark.read.schema("header binary, d binary").parquet(archive.headers)
     payloads = spark.read.schema("d binary, payload binary").parquet(archive.payloads)
+    # payloads of many records, fewer than HOT_PARTS, meet them in SALTS tasks
+    sizes = headers.groupBy("d").agg(F.count("*").alias("records"))
+    hot = F.broadcast(written(spark, hot_keys(sizes, "d", "records", headers.count()).select("d", F.lit(True).alias("hot")), "hot"))
+    headers = headers.join(hot, "d", "left").select("header", "d", F.when(F.col("hot"), F.pmod(F.xxhash64("header"), F.lit(SALTS))).otherwise(F.lit(0).cast("long")).alias("salt"))
     sound = payloads.withColumn("sound", F.unhex(F.sha2("payload", 256)) == F.col("d")).withColumn("sha1", base32(F.sha1("payload")))
     named = F.regexp_extract(F.col("header").cast("string"), r"WARC-Payload-Digest: sha1:([A-Z2-7]+)", 1)
-    return headers.join(sound, "d").select("header", "payload", "d", (F.col("sound") & (F.col("sha1") == named)).alias("verified"), "sha1")
+    places = F.when(F.col("hot"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    sound = sound.join(hot, "d", "left").select("d", "payload", "sound", "sha1", F.explode(places).alias("salt"))
+    return headers.join(sound, ["d", "salt"]).select("header", "payload", "d", (F.col("sound") & (F.col("sha1") == named)).alias("verified"), "sha1")
 
 
 def bytes_of(rebuilt: DataFrame) -> DataFrame:
@@ -117,12 +132,12 @@ def read(spark: SparkSession, archive: Archive) -> DataFrame:
     get = lambda name, what=r"([^\r\n]*)": F.nullif(F.regexp_extract(h, rf"\n{name}: {what}\r", 1), F.lit(""))
     r = records(spark, archive)
     return r.select(
-        get("WARC-Record-ID", "<urn:page:(.*)>").cast("long").alias("page_id"),
-        get("WARC-Target-URI").alias("url"),
+        get("WARC-Record-ID", "<urn:page:([^:>]*)[^>]*>").cast("long").alias("page_id"),
+        F.coalesce(F.unbase64(get("X-Target-URI-Base64")).cast("string"), get("WARC-Target-URI")).alias("url"),
         F.octet_length("payload").cast("long").alias("payload_bytes"),
         get("WARC-Payload-Digest", r"sha1:([^\r\n]*)").alias("payload_digest"),
         get("WARC-Type").alias("record_type"),
-        get("WARC-Refers-To", "<urn:page:(.*)>").cast("long").alias("refers_to"),
+        get("WARC-Refers-To", "<urn:page:([^:>]*)[^>]*>").cast("long").alias("refers_to"),
         "payload",
         "verified",
     )

@@ -52,3 +52,25 @@ def test_a_changed_payload_is_found(spark):
 
 def test_empty_table(spark):
     assert warc.read(spark, warc.write(spark, spark.createDataFrame([], PAGE))).count() == 0
+
+
+def test_record_ids_are_unique_and_urls_come_back(spark):
+    rows = [*ROWS, (7, "http://f/", "other"), (9, "http://x/\x00\ta b%20\x7f", "w"), (10, "http://ü/é", "v"), (11, "", "u")]
+    archive = warc.write(spark, spark.createDataFrame(rows, PAGE))
+    heads = [bytes(r.header).decode() for r in warc.records(spark, archive).select("header").collect()]
+    of = lambda name: [line.split(": ", 1)[1] for h in heads for line in h.split("\r\n") if line.startswith(name + ": ")]
+    assert len(set(of("WARC-Record-ID"))) == len(rows) and set(of("WARC-Refers-To")) <= set(of("WARC-Record-ID"))
+    assert all(" " not in u and u.isprintable() for u in of("WARC-Target-URI"))
+    back = Counter((r.page_id, r.url) for r in warc.read(spark, archive).collect())
+    assert back == Counter((p, "urn:page:3" if u is None else u or None) for p, u, _ in rows)
+
+
+def test_a_payload_of_many_records_meets_them_in_many_tasks(spark, monkeypatch):
+    from corroborate import session
+
+    monkeypatch.setattr(session, "HOT_PARTS", 8)
+    rows = [(k % 50 if k % 5 else None, "http://h/", "hot" if k % 3 else f"p{k}") for k in range(240)]
+    archive = warc.write(spark, spark.createDataFrame(rows, PAGE))
+    got = warc.read(spark, archive).collect()
+    assert all(r.verified for r in got) and Counter((r.page_id, bytes(r.payload).decode()) for r in got) == Counter((p, h) for p, _, h in rows)
+    assert spark.read.parquet(archive.payloads).count() == len({h for _, _, h in rows})
