@@ -9,7 +9,8 @@ the homes are compared with all that reached it, and the whole distance decides.
 Equal fingerprints are compared once. An anchor's links are given out as a spanning forest, never as all pairs.
 An anchor that more than CELL fingerprints reach is crowded. Its members are dealt anew, over many tasks: within
 3 bits, one of the four bytes of their other half is equal, so each goes to the four cells (anchor, byte's place,
-byte). In a cell whatever is near a visited fingerprint is taken up at once, so dense groups cost little.
+byte), and from a cell that is crowded again to four cells by every fourth bit. In a cell whatever is near a visited
+fingerprint is taken up at once, so dense groups cost little. Fingerprints and groups of many rows are joined apart.
 
 Cases: null texts and texts without a word have fingerprint zero and are linked like others; a text of fewer
 than three words is one shingle; a null doc_id is linked but never names a component that has another doc_id;
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from corroborate.llm import shingles
 from corroborate.llm.graph import components
-from corroborate.session import ship, written
+from corroborate.session import answered, remove, ship, written
 
 WIDTH = 3
 SEED = 42
@@ -181,39 +182,55 @@ def _compare(cell: int | None):
 _LINK = "a long, b long, home boolean"
 
 
+def _deal(crowded: DataFrame, cut: list) -> DataFrame:
+    """Members (a: key whose lowest bit or bit 32 tells the anchor's half, b: fingerprint, home) of crowded keys, each to the four cells (key, part, value) of its other half."""
+    cells = F.array(*[F.struct(F.lit(k).alias("k"), c.alias("v")) for k, c in enumerate(cut)])
+    key = F.xxhash64("a", "c.k", "c.v").bitwiseAND(~1).bitwiseOR(F.col("side"))
+    return crowded.select("a", "b", "home", "side", F.explode(cells).alias("c")).select(key.alias("anchor"), F.col("b").alias("f"), "home")
+
+
 def links(spark: SparkSession, distinct: DataFrame, cell: int = CELL) -> DataFrame:
     """Edges (a, b) that connect whatever distinct fingerprints f are linked by pairs within BITS."""
     ship(spark)
+    compared = lambda rows, most: rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(most), _LINK)
     reached = distinct.select("f").mapInArrow(_replicate, "anchor long, f long, home boolean")
-    found = written(spark, reached.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(cell), _LINK), "links")
-    crowded = found.filter("home is not null")
+    found = written(spark, compared(reached, cell), "links")
+    out = found.filter("home is null").select("a", "b")
+    other = F.when(F.col("side") == 0, F.shiftrightunsigned("b", 32)).otherwise(F.col("b").bitwiseAND(0xFFFFFFFF))  # the half that is not the anchor's
+    by_byte = [F.shiftrightunsigned(other, 8 * k).bitwiseAND(255) for k in range(4)]
+    by_turn = [other.bitwiseAND(0x11111111 << k) for k in range(4)]  # every fourth bit
+    crowded = found.filter("home is not null").withColumn("side", F.shiftright("a", 32))
     if crowded.isEmpty():
-        return found.select("a", "b")
-    side = F.shiftright("a", 32).cast("int")  # of the anchor; the bytes are those of the other half
-    other = F.when(side == 0, F.shiftrightunsigned("b", 32)).otherwise(F.col("b").bitwiseAND(0xFFFFFFFF))
-    cells = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(other, 8 * k).bitwiseAND(255).alias("v")) for k in range(4)])
-    dealt = crowded.select("a", "b", "home", F.explode(cells).alias("c")).select(F.xxhash64("a", "c.k", "c.v").alias("anchor"), F.col("b").alias("f"), "home")
-    more = dealt.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(None), _LINK)
-    return found.filter("home is null").select("a", "b").unionByName(more.select("a", "b"))
+        return out
+    # within BITS one of four parts of the other half is equal, however it is cut: first in bytes, then, where a cell is crowded again, by every fourth bit
+    again = written(spark, compared(_deal(crowded, by_byte), cell), "links")
+    out = out.unionByName(again.filter("home is null").select("a", "b"))
+    crowded = again.filter("home is not null").withColumn("side", F.col("a").bitwiseAND(1))
+    if crowded.isEmpty():
+        return out
+    return out.unionByName(compared(_deal(crowded, by_turn), None).select("a", "b"))
 
 
 def _linked(spark: SparkSession, rows: DataFrame, more: DataFrame | None = None) -> DataFrame:
-    """(f, component_id) of the distinct fingerprints in rows (id, f). more: edges (a, b) beside those of near fingerprints."""
-    distinct = written(spark, rows.groupBy("f").agg(F.min("id").alias("id")), "fingerprints")
+    """(f, component_id, n: how many rows have it) of the distinct fingerprints in rows (id, f). more: edges (a, b) beside those of near fingerprints."""
+    distinct = written(spark, rows.groupBy("f").agg(F.min("id").alias("id"), F.count("*").alias("n")), "fingerprints")
     edges = links(spark, distinct)
     roots = components(spark, edges if more is None else edges.unionByName(more))
-    rooted = distinct.join(roots.select(F.col("node").alias("f"), "root"), "f", "left").withColumn("root", F.coalesce("root", "f"))
-    named = rooted.filter("root <> f").groupBy("root").agg(F.min("id").alias("least"))  # the root itself comes in below
-    whole = rooted.join(named, "root", "left")
-    heads = whole.filter("root = f").select("root", F.least("id", "least").alias("component_id"))
-    return whole.select("f", "root").join(heads, "root").select("f", "component_id")
+    rooted = written(spark, distinct.join(roots.select(F.col("node").alias("f"), "root"), "f", "left"), "rooted")
+    alone, together = rooted.filter("root is null"), rooted.filter("root is not null")
+    named = together.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("members"))
+    whole = answered(together, named, "root", "members", together.count())
+    out = written(spark, whole.select("f", "component_id", "n").unionByName(alone.select("f", F.col("id").alias("component_id"), "n")), "linked")
+    for t in (distinct, edges, rooted, roots):
+        remove(spark, t)
+    return out
 
 
 def groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint, component_id."""
     simhash = fingerprints(spark)
     rows = written(spark, docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col)).alias("f")), "simhash")
-    return rows.join(_linked(spark, rows), "f").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
+    return answered(rows, _linked(spark, rows), "f", "n", rows.count()).select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: tuple[int, tuple[int, int]] | None = None) -> DataFrame:
@@ -224,7 +241,10 @@ def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     text = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     rows = written(spark, docs.select(F.col(id_col).alias("id"), text.alias("t"), simhash(F.col(text_col)).alias("f")), "simhash")
     more = shingles.links(spark, docs.select(text.alias("t"), F.col(text_col).alias("text")), rows, *similar) if similar else None
-    known = written(spark, rows.join(_linked(spark, rows, more), "f").select("id", "t", "component_id"), "grouped")
+    linked = _linked(spark, rows, more)
+    known = written(spark, answered(rows, linked, "f", "n", rows.count()).select("id", "t", "component_id"), "grouped")
+    remove(spark, rows)
+    remove(spark, linked)
     first = known.filter(F.col("id").eqNullSafe(F.col("component_id")))
     best = first.groupBy("component_id").agg(F.min("t").alias("best"), F.count("*").alias("n")).filter("n > 1")
     best = written(spark, best, "ties")
