@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir); what it returns is written as Parquet and reread as the next one's docs.
 The first four return the columns of documents, whatever these are; the last returns one row of token digests a document.
+
+Cases: null, empty and letterless texts go in the first stage, with texts whose language is ambiguous; where no document
+has a language nothing is learned and only texts without a letter go. Of equal texts, and of near ones, the smallest
+doc_id stays, a null doc_id being larger than any other; of equal rows one stays. Columns keep their names and values,
+whatever the names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from corroborate.session import table, written
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go."""
+    """Documents without a letter go, and those whose decoding is ambiguous: the language of the rest is told."""
     return langid.keep_known(spark, docs)
 
 
