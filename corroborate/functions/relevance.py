@@ -9,11 +9,11 @@ from corroborate.functions import text as T
 
 # Fixed values.
 STOPWORDS = ["a", "an", "and", "are", "as", "by", "for", "from", "in", "is", "it", "of", "or", "the", "this", "to", "with"]
-GENERIC = (
-    "what when where who why how which is are was were the a an of for to in on at as and or year date officially recorded founded "
-    "founding foundation established municipality city town country answer source sources evidence "
-    "历史 资料 来源 证据 什么 何时 哪年 哪一年 年份 日期 成立 创立 建于 城市 市 镇 国家"
-).split()
+GENERIC = [
+    "what", "when", "where", "who", "why", "how", "which", "is", "are", "was", "were", "the", "a", "an", "of", "for", "to", "in", "on", "at", "as", "and", "or", "year",
+    "date", "officially", "recorded", "founded", "founding", "foundation", "established", "municipality", "city", "town", "country", "answer", "source", "sources",
+    "evidence", "历史", "资料", "来源", "证据", "什么", "何时", "哪年", "哪一年", "年份", "日期", "成立", "创立", "建于", "城市", "市", "镇", "国家",
+]
 COVERAGE_STOPWORDS = ["a", "an", "and", "as", "at", "by", "for", "from", "in", "of", "on", "or", "the", "to", "with"]
 PROPER_NAME = r"\b(?:[A-Z][a-z]{2,}|[A-Z][A-Z0-9-]{1,})\b"
 NAME_PHRASE = r"\b(?:[A-Z][a-z]{2,}|[A-Z][A-Z0-9-]{1,})(?:\s+(?:[A-Z][a-z]{2,}|[A-Z][A-Z0-9-]{1,}))+\b"

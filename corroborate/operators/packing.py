@@ -7,21 +7,40 @@ from pyspark.sql import functions as F
 
 from corroborate.functions import text as T
 from corroborate.functions import urls as U
-from corroborate.operators.retrieval import spread
+from corroborate.operators.retrieval import small, spread
+from corroborate.session import written
 
 
-def excerpts(sources: DataFrame, keys: list[str], token_limit: int = 1200, at_most: int = 4) -> DataFrame:
+PART = "at", "bonus", "p", "flagged", "n", "cost", "words"
+
+
+def _parts(rows: DataFrame, keep: list[str], bonus: int, first: Column) -> DataFrame:
+    """Of rows (keep, at, x: a piece of text) what does not depend on the question: the piece sanitised, its tokens and its price."""
+    clean, flagged = T.sanitised_parts(F.col("x"))
+    done = rows.select(*keep, (F.col("at") + first).alias("at"), F.lit(bonus).alias("bonus"), clean.alias("p"), flagged.alias("flagged"))
+    return done.select(*keep, "at", "bonus", "p", "flagged", F.length("p").alias("n"), T.context_tokens(F.col("p")).alias("cost"), T.tokens(F.col("p")).alias("words"))
+
+
+def excerpts(sources: DataFrame, keys: list[str], token_limit: int = 1200, at_most: int = 4, content_key: str | None = None) -> DataFrame:
     """Of rows (keys, content, terms, quotes) per key the best passages and quotes that fit: excerpt, relevance, flagged.
 
-    Passages are rows while they are scored; a source's few dozen scored passages are then one array that is folded."""
-    once = spread(sources, keys).select(*keys, "terms", F.concat(F.transform("quotes", lambda q: F.struct(q.alias("p"), F.lit(100).alias("bonus"))), F.transform(T.passages(F.col("content")), lambda p: F.struct(p.alias("p"), F.lit(0).alias("bonus")))).alias("all"))
-    clean, flagged = T.sanitised_parts(F.col("x.p"))
-    rows = once.select(*keys, "terms", F.posexplode("all").alias("at", "x")).select(*keys, "terms", "at", "x.bonus", clean.alias("p"), flagged.alias("flagged"))
-    # an empty passage gets a score below all others instead of a filter, which would work the passage out once more
-    score = F.when(F.col("p") == "", -1).otherwise(F.col("bonus") + F.size(F.array_intersect("terms", T.tokens(F.col("p")))))
-    scored = rows.select(*keys, score.alias("points"), F.length("p").alias("n"), "at", "p", "flagged", T.context_tokens(F.col("p")).alias("cost"))
-    by = lambda a, b: F.when(a["points"] != b["points"], b["points"] - a["points"]).when(a["n"] != b["n"], b["n"] - a["n"]).otherwise(a["at"] - b["at"])
-    g = scored.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("points", "n", "at", "p", "flagged", "cost")), by).alias("all"))
+    content_key: a column whose value decides the content. Many questions ask about one source, so its passages are cut, sanitised
+    and tokenised once for each value, and only then met with the questions. Passages are rows while they are scored; a source's
+    few dozen scored passages are then one array that is folded."""
+    asked = sources if content_key else sources.withColumn("__c", F.xxhash64("content"))
+    by = content_key or "__c"
+    contents = spread(asked.groupBy(by).agg(F.first("content").alias("content")), [by])
+    passages = _parts(contents.select(by, F.posexplode(T.passages(F.col("content"))).alias("at", "x")), [by], 0, F.lit(0))
+    one = written(sources.sparkSession, passages.groupBy(by).agg(F.collect_list(F.struct(*PART)).alias("parts")), "passages")
+    of_source = asked.select(*keys, "terms", F.size("quotes").alias("q"), F.col(by).alias("__by")).join(small(one.withColumnRenamed(by, "__by")), "__by")
+    of_source = of_source.select(*keys, "terms", "q", F.explode("parts").alias("x")).select(*keys, "terms", (F.col("x.at") + F.col("q")).alias("at"), *[f"x.{c}" for c in PART[1:]])
+    quoted = _parts(asked.select(*keys, "terms", F.posexplode("quotes").alias("at", "x")), [*keys, "terms"], 100, F.lit(0))
+    rows = spread(of_source.unionByName(quoted), keys)
+    # an empty passage gets a score below all others
+    score = F.when(F.col("p") == "", -1).otherwise(F.col("bonus") + F.size(F.array_intersect("terms", "words")))
+    scored = rows.select(*keys, score.alias("points"), "n", "at", "p", "flagged", "cost")
+    order = lambda a, b: F.when(a["points"] != b["points"], b["points"] - a["points"]).when(a["n"] != b["n"], b["n"] - a["n"]).otherwise(a["at"] - b["at"])
+    g = scored.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("points", "n", "at", "p", "flagged", "cost")), order).alias("all"))
     empty = F.array().cast("array<string>")
     begin = F.struct(empty.alias("kept"), F.lit(0).alias("used"), F.lit(False).alias("flagged"), F.lit(False).alias("done"))
 

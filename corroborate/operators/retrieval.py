@@ -1,21 +1,30 @@
 """Retrieval for many queries at once: keyword, vector, fused and reranked top-k, and their metrics.
 
-Keyword scoring never crosses queries with the corpus: the queries' tokens form an inverted index that is joined
-with the corpus tokens. Partial top-k per query (Spark's WindowGroupLimit) runs before the shuffle, so what
-moves is k rows a query and task, not every scored pair.
+Top-k searches scan the corpus once for each block of queries, which is broadcast: a batch of documents is scored
+against all queries of the block (by an inverted index of their tokens, or a product of unit vectors) and only what
+may be among a query's first k leaves it. Scored pairs are never rows of a shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corroborate.functions import text as T
-from corroborate.session import size_bytes
+from corroborate.session import ship, size_bytes, written
 
 FLOOR = 0.05
 BROADCAST_BYTES = 32 << 20
+BLOCK = 4096
+Picked = tuple[np.ndarray, np.ndarray, np.ndarray]
+CELLS = 1 << 21  # scores of a batch and a block at a time
 
 
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -35,21 +44,77 @@ def top_k(scored: DataFrame, k: int, order: list[Column], by: str = "query_id")
     return scored.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= k)
 
 
+def _blocks(queries: DataFrame, n: int) -> Iterator[pa.Table]:
+    """The queries in n blocks, each collected on its own: what is broadcast at a time is bounded by that."""
+    for k in range(n):
+        yield (queries if n == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k)).toArrow()
+
+
+def _scan(corpus: DataFrame, queries: DataFrame, k: int, kind: type, order: list[Column]) -> DataFrame:
+    """The first k (query_id, doc_id, score, rank), of each block of queries against each batch of corpus (doc_id, value): pick gives, for values in order of doc_id, the rows, queries and scores that may be among a query's first.
+
+    A task's batches give some k rows a query, and WindowGroupLimit cuts these to k a task before the one shuffle, by query_id. Of several blocks each is written before the next."""
+    spark = corpus.sparkSession
+    ship(spark)
+    types = {i: d.schema[i].dataType.simpleString() for d, i in ((queries, "query_id"), (corpus, "doc_id"))}
+    out, n = None, max(1, -(-queries.count() // BLOCK))
+    for block in _blocks(queries, n):
+        held = spark.sparkContext.broadcast((block.column("query_id").combine_chunks(), kind(block, k)))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            ids, of_block = held.value
+            step = max(1, CELLS // max(1, len(ids)))
+            for batch in batches:
+                for at in range(0, len(batch) if len(ids) else 0, step):
+                    part = batch.slice(at, step)
+                    part = part.take(pc.sort_indices(part.column(0)))
+                    rows, of, score = of_block.pick(part.column(1))
+                    yield pa.record_batch([ids.take(pa.array(of)), part.column(0).take(pa.array(rows)), pa.array(score, pa.float64())], ["query_id", "doc_id", "score"])
+
+        part = corpus.mapInArrow(run, f"query_id {types['query_id']}, doc_id {types['doc_id']}, score double")
+        part = written(spark, top_k(part, k, order).drop("rank"), "block") if n > 1 else part
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+class KeywordBlock:
+    """An inverted index of the distinct tokens of some queries."""
+
+    def __init__(self, block: pa.Table, k: int) -> None:
+        lists = block.column("tokens").combine_chunks()
+        self.k, self.n, self.index = k, len(block), {}
+        token = np.array([self.index.setdefault(t, len(self.index)) for t in lists.flatten().to_pylist()], np.int64)
+        query = np.repeat(np.arange(len(block)), lists.value_lengths().fill_null(0).to_numpy())
+        order = np.argsort(token, kind="stable")
+        self.begins, self.posted = np.searchsorted(token[order], np.arange(len(self.index) + 1)), query[order]
+
+    def pick(self, tokens: pa.Array) -> Picked:
+        n, k = len(tokens), self.k
+        t = np.fromiter(map(self.index.get, tokens.flatten().to_pylist(), repeat(-1)), np.int64)
+        doc = np.repeat(np.arange(n), tokens.value_lengths().fill_null(0).to_numpy())
+        t, doc = t[t >= 0], doc[t >= 0]
+        size = self.begins[t + 1] - self.begins[t]
+        at = np.repeat(self.begins[t] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        shared = np.bincount(np.repeat(doc, size) * self.n + self.posted[at], minlength=n * self.n).reshape(n, self.n)
+        value = shared * n + np.arange(n)[::-1, None]  # more tokens first, then the smaller doc_id
+        first = np.argpartition(-value, k - 1, axis=0)[:k] if n > k else np.broadcast_to(np.arange(n)[:, None], shared.shape)
+        found = np.take_along_axis(shared, first, 0)
+        place, of = np.nonzero(found)
+        return first[place, of], of, found[place, of] + FLOOR
+
+
 def keyword_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """Queries (query_id, text) against corpus (doc_id, text): query_id, doc_id, score, rank.
+    """Queries (query_id, text) against corpus (doc_id, text), doc_id being unique: query_id, doc_id, score, rank.
 
     The score is the number of shared tokens plus FLOOR; ties go to the smaller doc_id. Documents that share no
     token stay eligible: where fewer than k share one, the first k of the corpus that do not fill up."""
-    asked = queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("token"))
-    index = asked.groupBy("token").agg(F.collect_list("query_id").alias("queries"))
-    held = corpus.select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token"))
-    pairs = held.join(small(index), "token").select("doc_id", F.explode("queries").alias("query_id"))
-    scored = pairs.groupBy("doc_id", "query_id").agg((F.count("*") + F.lit(FLOOR)).alias("score"))
+    asked = queries.select("query_id", T.tokens(F.col("text")).alias("tokens"))
+    scored = _scan(corpus.select("doc_id", T.tokens(F.col("text")).alias("tokens")), asked, k, KeywordBlock, [F.desc("score"), F.asc("doc_id")])
     # A query with fewer than k hits is filled up with documents that share nothing, in order: fewer than k of the first 2k share
     # a token, so k of these do not. With k hits or more the fillers rank behind them.
     first = corpus.orderBy("doc_id").limit(2 * k).select("doc_id", T.tokens(F.col("text")).alias("d"))
-    fill = queries.select("query_id", T.tokens(F.col("text")).alias("q")).join(F.broadcast(first)).filter(F.size(F.array_intersect("q", "d")) == 0)
-    return top_k(scored.unionByName(fill.select("doc_id", "query_id", F.lit(FLOOR).alias("score"))), k, [F.desc("score"), F.asc("doc_id")]).select("query_id", "doc_id", "score", "rank")
+    fill = asked.join(F.broadcast(first)).filter(F.size(F.array_intersect("tokens", "d")) == 0)
+    return top_k(scored.unionByName(fill.select("query_id", "doc_id", F.lit(FLOOR).alias("score"))), k, [F.desc("score"), F.asc("doc_id")]).select("query_id", "doc_id", "score", "rank")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -67,11 +132,33 @@ def distance_score(similarity: Column) -> Column:
     return 1 / (1 + (1 - similarity))
 
 
+def _unit(vectors: pa.Array) -> np.ndarray:
+    """Rows of length 1; those of length 0, and null vectors, stay 0."""
+    width = max(vectors.value_lengths().fill_null(0).to_numpy(), default=0)
+    out = np.zeros((len(vectors), width))
+    out[vectors.is_valid().to_numpy(zero_copy_only=False)] = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, width) if width else 0
+    return out / np.maximum(np.sqrt((out * out).sum(1, keepdims=True)), 1e-300)
+
+
+class VectorBlock:
+    """The unit vectors of some queries."""
+
+    def __init__(self, block: pa.Table, k: int) -> None:
+        self.k, self.asked = k, _unit(block.column("embedding").combine_chunks()).T
+
+    def pick(self, vectors: pa.Array) -> Picked:
+        score = _unit(vectors) @ self.asked
+        # whatever rounding to nine digits may put among the first k goes on to be ranked
+        least = np.partition(score, len(score) - self.k, axis=0)[len(score) - self.k] - 2e-9 if len(score) > self.k else np.full(score.shape[1], -np.inf)
+        rows, of = np.nonzero(score >= least)
+        return rows, of, score[rows, of]
+
+
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """Exact cosine top-k of queries (query_id, embedding) over corpus (doc_id, embedding); queries are broadcast if small, else met block by block in a cartesian product."""
-    pairs = corpus.select("doc_id", F.col("embedding").alias("__v")).join(small(queries.select("query_id", "embedding")))
-    scored = pairs.select("query_id", "doc_id", cosine(F.col("embedding"), F.col("__v")).alias("score"))
-    return top_k(scored, k, [F.desc(F.round("score", 9)), F.asc("doc_id")])
+    """Exact cosine top-k of queries (query_id, embedding) over corpus (doc_id, embedding): products of unit vectors, a block of queries with a batch of the corpus at a time. Null vectors are left out; one of length 0 has score 0 with all."""
+    known = lambda d, i: d.select(i, F.transform("embedding", lambda x: x.cast("double")).alias("embedding")).filter("embedding is not null")
+    order = [F.desc(F.round("score", 9)), F.asc("doc_id")]
+    return top_k(_scan(known(corpus, "doc_id"), known(queries, "query_id"), k, VectorBlock, order), k, order)
 
 
 def rrf(keyword: DataFrame, vector: DataFrame, k: int, rrf_k: int = 60, keyword_weight: float = 1.0, vector_weight: float = 1.0) -> DataFrame:

@@ -21,7 +21,7 @@ from corroborate.session import table
 
 def _packable(spark, sf_dir):
     rows = hits(spark, sf_dir).select("query_id", F.col("doc_id").alias("source_id"), "content", T.tokens(F.col("ask")).alias("terms"), F.array().cast("array<string>").alias("quotes"), F.concat(F.lit("https://"), "source", F.lit(".example/"), "doc_id").alias("url"), "score")
-    return P.excerpts(rows, ["query_id", "source_id", "url", "score"], 400).select("query_id", "source_id", F.lit("t").alias("title"), "url", F.lit("local_rag").alias("provider"), F.lit(0.75).alias("quality_score"), "score", "excerpt", "relevance", F.lit(False).alias("has_evidence"))
+    return P.excerpts(rows, ["query_id", "source_id", "url", "score"], 400, content_key="source_id").select("query_id", "source_id", F.lit("t").alias("title"), "url", F.lit("local_rag").alias("provider"), F.lit(0.75).alias("quality_score"), "score", "excerpt", "relevance", F.lit(False).alias("has_evidence"))
 
 
 def best_excerpts(spark, sf_dir):

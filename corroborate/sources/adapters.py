@@ -22,7 +22,10 @@ MOCK = (
     ("Trace and cost attribution", "https://example.local/trace-cost", "Structured trace logs and per-stage token accounting make it possible to explain latency, cost, and failure recovery for each stage of a multi-agent research pipeline."),
     ("Benchmark harness design", "https://example.local/benchmark-harness", "A reproducible benchmark harness records seed, configuration, latency, token estimates, source counts, citation retention, and task success for every research case."),
 )
-STOP = "about agent agents and are between compare compared common does from have how implement implemented into needed should that the their used what when where which why with".split()
+STOP = [
+    "about", "agent", "agents", "and", "are", "between", "compare", "compared", "common", "does", "from", "have", "how", "implement", "implemented", "into", "needed",
+    "should", "that", "the", "their", "used", "what", "when", "where", "which", "why", "with",
+]
 PROVIDERS = ("wikipedia", "bing", "searxng", "jina", "brave", "tavily", "gateway-web", "mcp")
 FALLBACK = {"gateway-web": "bing"}
 
@@ -81,11 +84,16 @@ def wikipedia_candidates(query: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(F.when(F.size(w) > 0, join(8)), F.when(F.size(w) > 4, join(4)), F.nullif(F.trim(query), F.lit("")))))
 
 
+def _without(text: Column, word: Column) -> Column:
+    """text without word wherever it stands between word bounds, in capitals or not."""
+    return F.regexp_replace(text, F.concat(F.lit(r"(?i)\b\Q"), word, F.lit(r"\E\b")), F.lit(""))
+
+
 def bing_candidates(query: Column) -> Column:
     """The query, ten keywords (with site: for a domain in it), and its quoted phrases."""
     site = F.lower(F.regexp_extract(query, r"\b(?:www\.)?([A-Za-z0-9.-]+\.[A-Za-z]{2,})\b", 1))
     w = F.array_join(F.slice(keywords(query, r"[A-Za-z0-9][A-Za-z0-9_.-]*", STOP + ["who", "latest", "current"]), 1, 10), " ")
-    compact = F.when(site == "", w).otherwise(F.concat(T.squeezed(F.replace(w, site, F.lit(""))), F.lit(" site:"), site))
+    compact = F.when(site == "", w).otherwise(F.concat(T.squeezed(_without(w, site)), F.lit(" site:"), site))
     quoted = F.array_join(F.transform(F.slice(T.extract_all(query, r'"([^"\n]{3,100})"', 1), 1, 2), lambda x: F.concat(F.lit('"'), x, F.lit('"'))), " ")
     return F.array_distinct(F.filter(F.transform(F.array(query, F.when(w != "", compact), quoted), lambda x: T.squeezed(x)), lambda x: x.isNotNull() & (x != "")))
 

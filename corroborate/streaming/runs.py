@@ -46,6 +46,7 @@ def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
             "heartbeat": status not in TERMINAL and live,
             "release": live,
             "complete": status == "running" and live,
+            "recover": status == "running" and expires is not None and expires <= x.ts_ms,
         }.get(x.kind, False)
         applied, rejected = applied + ok, rejected + (not ok)
         if ok and x.kind == "transition":
@@ -53,7 +54,7 @@ def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
         elif ok and x.kind in ("acquire", "heartbeat"):
             worker, expires = x.worker, int(x.ts_ms + 1000 * x.lease_seconds)
         elif ok:
-            status = "succeeded" if x.kind == "complete" else status
+            status = {"complete": "succeeded", "recover": "queued"}.get(x.kind, status)
             worker = expires = None
     state.update((status, worker, expires, applied, rejected))
     if expires is not None and status == "running":

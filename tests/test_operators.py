@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -253,3 +254,26 @@ def test_replay(spark):
     assert m == {"x_api_key": "<redacted>", "token": "", "model": "m"}
     one = Y.set_hash(spark.createDataFrame([(2, "b"), (1, "a")], "k int, v string"), "k", "k", "v").first()[0]
     assert one == Y.set_hash(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), "k", "v", "k").first()[0] and len(one) == 16
+
+
+def test_topk_in_blocks_equals_one_block(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    vectors = [(k, [float(x) for x in rng.standard_normal(5)]) for k in range(60)] + [(60, None), (61, [0.0] * 5), (62, [1.0, 0.0, 0.0, 0.0, 0.0]), (63, [1.0, 0.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(vectors, "doc_id long, embedding array<float>")
+    asked = df.filter("doc_id % 4 = 2 or doc_id > 60").withColumnRenamed("doc_id", "query_id")
+    rows = lambda d: sorted((r.query_id, r.doc_id, round(r.score, 6), r["rank"]) for r in d.collect())
+    unit = {i: np.float32(v) / max(1e-30, np.linalg.norm(np.float32(v))) for i, v in vectors if v}
+    want = []
+    for q in unit:
+        if q % 4 == 2 or q > 60:
+            first = sorted((-round(float(unit[q].astype(float) @ v.astype(float)), 6), i) for i, v in unit.items())[:3]
+            want += [(q, i) for _, i in first]
+    whole = rows(X.vector_topk(asked, df, 3))
+    assert sorted((q, i) for q, i, _, _ in whole) == sorted(want)
+    texts = spark.createDataFrame([(k, " ".join(f"w{x}" for x in rng.integers(0, 12, 6))) for k in range(80)], "doc_id long, text string")
+    asks = texts.filter("doc_id < 9").withColumnRenamed("doc_id", "query_id")
+    words = rows(X.keyword_topk(asks, texts, 4))
+    monkeypatch.setattr(X, "BLOCK", 3)
+    monkeypatch.setattr(X, "CELLS", 10)
+    assert rows(X.vector_topk(asked, df, 3)) == whole and rows(X.keyword_topk(asks, texts, 4)) == words
+    assert X.vector_topk(asked.limit(0), df, 3).count() == 0 and X.keyword_topk(asks, texts.limit(0), 3).count() == 0
