@@ -107,7 +107,7 @@ p AS (SELECT d.doc_id AS rubric_id, lang AS case_id FROM documents d LEFT JOIN l
 SELECT rubric_id, case_id, CAST((row_number() OVER (PARTITION BY case_id ORDER BY rubric_id) - 1) // 50 AS INT) AS batch FROM p""",
     "rubric_specs": f"""
 WITH s AS (SELECT CAST(item_id AS VARCHAR) AS id, {SENT.format(x='text')} AS s FROM benchmark),
-k AS (SELECT id AS case_id, 'info_recall' AS category, unnest(range(0, len(s[1:2]))) AS rubric_index, s FROM s UNION ALL SELECT id, 'analysis', 0, s[2:] FROM s WHERE len(s) >= 2 UNION ALL SELECT id, 'presentation', 0, s[3:] FROM s WHERE len(s) >= 3)
+k AS (SELECT id AS case_id, 'info_recall' AS category, unnest(range(0, len(s[1:2]))) AS rubric_index, s FROM s UNION ALL SELECT id, 'analysis', 0, s[2:] FROM s WHERE len(s) >= 2 UNION ALL SELECT id, 'presentation', unnest(range(0, len(s) - 2)), s[3:] FROM s WHERE len(s) >= 3)
 SELECT case_id, category, rubric_index, case_id || ':' || category || ':' || rubric_index AS rubric_id, sha256(s[rubric_index + 1]) AS rubric_sha256 FROM k""",
     "stratum_ranks": "SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY sha256('7:' || source || ':' || doc_id)) AS r FROM documents QUALIFY r <= 3",
     "excluded_candidates": f"SELECT item_id FROM benchmark WHERE {SQZ.format(x='lower(text)')} NOT IN (SELECT {SQZ.format(x=f'lower(coalesce({SENT.format(x=chr(116) + chr(101) + chr(120) + chr(116))}[1], {chr(39) * 2}))')} FROM documents)",

@@ -147,9 +147,9 @@ def rubric_attempts(spark, sf_dir):
 
 
 def rubric_specs(spark, sf_dir):
-    """A rubric from each of the first three sentences of an item."""
-    s = F.slice(T.sentences(F.col("text")), 1, 3)
-    specs = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.slice(s, 1, 2).alias("info_recall"), F.slice(s, 2, 1).alias("analysis"), F.slice(s, 3, 1).alias("presentation"))
+    """A rubric from each sentence of an item."""
+    s = T.sentences(F.col("text"))
+    specs = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.slice(s, 1, 2).alias("info_recall"), F.slice(s, 2, 1).alias("analysis"), F.slice(s, 3, 1 << 30).alias("presentation"))
     return J.explode_rubrics(specs).select("case_id", "category", "rubric_index", "rubric_id", "rubric_sha256")
 
 

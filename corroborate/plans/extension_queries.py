@@ -23,20 +23,20 @@ def embedded_search(spark, sf_dir):
 def evidence_summaries(spark, sf_dir):
     """conversations' assistant turns as evidence, summed up."""
     c = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "question_id")
-    items = c.filter("role = 'assistant'").select("question_id", F.col("turn").cast("int").alias("ord"), F.lit("t").alias("title"), F.substr("text", F.lit(1), F.lit(20)).alias("quote"))
+    items = c.filter("role = 'assistant'").select("question_id", F.col("turn").cast("int").alias("ord"), F.lit("t").alias("title"), F.col("text").alias("quote"))
     return E.evidence_summaries(items, c.groupBy("question_id").agg(F.count("*").alias("n_rounds"))).select("question_id", F.md5("summary").alias("summary_md5"))
 
 
 def compressed_findings(spark, sf_dir):
     """Turns as findings of their conversation."""
     c = table(spark, sf_dir, "conversations")
-    f = c.select(F.col("conv_id").alias("run_id"), F.concat(F.lit("Q"), "turn").alias("q"), F.substr("text", F.lit(1), F.lit(300)).alias("summary"), F.when(F.col("role") == "user", F.array(F.lit("a"), F.lit("b"), F.lit("a"))).otherwise(F.array().cast("array<string>")).alias("titles"))
+    f = c.select(F.col("conv_id").alias("run_id"), F.concat(F.lit("Q"), "turn").alias("q"), F.col("text").alias("summary"), F.when(F.col("role") == "user", F.array(F.lit("a"), F.lit("b"), F.lit("a"))).otherwise(F.array().cast("array<string>")).alias("titles"))
     return E.compressed(f).select("run_id", F.md5("text").alias("text_md5"))
 
 
 def payload_claims(spark, sf_dir):
     """Claims of models' payloads, as texts and as objects."""
-    s = F.slice(T.sentences(F.col("text")), 1, 2)
+    s = T.sentences(F.col("text"))
     plain = F.to_json(F.struct(s.alias("key_claims")))
     objects = F.to_json(F.struct(F.transform(s, lambda x: F.struct(x.alias("text"), F.array(F.lit("S1"), F.lit("S2")).alias("citations"))).alias("claims")))
     b = table(spark, sf_dir, "benchmark")
@@ -76,14 +76,14 @@ QUERIES = {f.__name__: f for f in (embedded_search, evidence_summaries, compress
 ORACLES = {
     "evidence_summaries": """
 WITH c AS (SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE role = 'assistant') AS k FROM conversations GROUP BY 1),
-e AS (SELECT conv_id, string_agg('t: ' || substr(text, 1, 20), ' | ' ORDER BY turn) AS x FROM (SELECT * FROM conversations WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 3) GROUP BY 1)
+e AS (SELECT conv_id, string_agg('t: ' || text, ' | ' ORDER BY turn) AS x FROM (SELECT * FROM conversations WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 3) GROUP BY 1)
 SELECT conv_id AS question_id, md5(CASE WHEN k > 0 THEN 'Collected ' || k || ' verified evidence items across ' || n || ' bounded research rounds. Evidence: ' || x
   ELSE 'No verified evidence survived filtering for this subquestion.' END) AS summary_md5 FROM c LEFT JOIN e USING (conv_id)""",
     "compressed_findings": """
-WITH l AS (SELECT conv_id AS run_id, 'Q' || turn AS q, 'Q' || turn || ': ' || substr(text, 1, 300) || ' Sources: ' || CASE role WHEN 'user' THEN 'a, b' ELSE 'no sources' END AS line FROM conversations)
+WITH l AS (SELECT conv_id AS run_id, 'Q' || turn AS q, 'Q' || turn || ': ' || text || ' Sources: ' || CASE role WHEN 'user' THEN 'a, b' ELSE 'no sources' END AS line FROM conversations)
 SELECT run_id, md5(rtrim(substr(string_agg(line, chr(10) ORDER BY q), 1, 1200), ' ' || chr(10))) AS text_md5 FROM l GROUP BY 1""",
     "payload_claims": f"""
-WITH s AS (SELECT item_id, ({SENT.format(x='text')})[1:2] AS s FROM benchmark)
+WITH s AS (SELECT item_id, {SENT.format(x='text')} AS s FROM benchmark)
 SELECT item_id, md5(array_to_string(CASE WHEN item_id % 2 = 0 THEN s ELSE list_transform(s, lambda x: x || ' [S1] [S2]') END, '|')) AS claims_md5 FROM s""",
     "generation_status": """SELECT count(*) AS case_count, count(*) FILTER (WHERE quality = 1) AS success_count, count(*) FILTER (WHERE quality <> 1) AS failure_count, count(*) FILTER (WHERE doc_id % 3 > 0) AS report_emitted_count,
   count(*) FILTER (WHERE toxic = 1) AS contaminated_count, count(*) FILTER (WHERE doc_id % 5 = 0) AS error_count, round(avg(doc_id % 10 / 10.0::DOUBLE) FILTER (WHERE doc_id % 2 = 0), 4) AS citation_grounding_avg,

@@ -12,7 +12,7 @@ from corroborate.operators import replay as R
 from corroborate.operators import runlog as L
 from corroborate.plans import research as P
 from corroborate.plans.evidence_queries import _queries
-from corroborate.plans.text_queries import TOK
+from corroborate.plans.text_queries import SQZ, TOK
 from corroborate.session import table
 from corroborate.sources import adapters as S
 from corroborate.sources import files
@@ -22,11 +22,6 @@ def _requests(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("run_id"), F.col("text").alias("query"), F.when(F.pmod("item_id", F.lit(2)) == 0, "deep").otherwise("concise").alias("depth"))
 
 
-def _first_requests(spark, sf_dir):
-    """The first twenty requests by their first six words, as in the SQL of the queries that use them."""
-    return _requests(spark, sf_dir).filter("run_id < 20").withColumn("query", F.array_join(F.slice(F.split("query", " "), 1, 6), " "))
-
-
 def html_body_text(spark, sf_dir):
     """The article of each page."""
     return table(spark, sf_dir, "pages").select("page_id", H.body("html").alias("t")).select("page_id", F.length("t").alias("n_chars"), F.md5("t").alias("body_md5"))
@@ -83,11 +78,11 @@ def mock_search(spark, sf_dir):
 
 
 def _landed(spark, sf_dir):
-    """Pages as landed results of four providers for the items."""
+    """Pages as landed results of four providers, three of each an item; items without pages have none."""
     providers = F.array(*[F.lit(x) for x in ("wikipedia", "bing", "gateway-web", "mcp")])
-    p = table(spark, sf_dir, "pages").filter("page_id < 200")
+    p = table(spark, sf_dir, "pages")
     title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
-    return p.select(F.pmod("page_id", F.lit(20)).alias("query_id"), F.element_at(providers, (F.pmod(F.floor(F.col("page_id") / 20), F.lit(4)) + 1).cast("int")).alias("provider"), F.floor(F.col("page_id") / 80).cast("int").alias("ord"), title.alias("title"), "url", F.substr(title, F.lit(5), F.lit(40)).alias("content"))
+    return p.select(F.floor(F.col("page_id") / 12).alias("query_id"), F.element_at(providers, (F.pmod("page_id", F.lit(4)) + 1).cast("int")).alias("provider"), F.pmod(F.floor(F.col("page_id") / 4), F.lit(3)).cast("int").alias("ord"), title.alias("title"), "url", F.substr(title, F.lit(5), F.lit(40)).alias("content"))
 
 
 def adapter_scores(spark, sf_dir):
@@ -107,7 +102,7 @@ def query_candidates(spark, sf_dir):
 
 def planned_questions(spark, sf_dir):
     """Subquestions of each request, and whether the plan is valid."""
-    r = _first_requests(spark, sf_dir)
+    r = _requests(spark, sf_dir)
     q = P.plan(r, 3)
     return q.join(P.checked_plan(q, r, 3), "run_id").select("run_id", "q", F.md5("question").alias("question_md5"), F.md5("search_query").alias("search_md5"), F.array_join("aspects", ",").alias("aspects"), "valid")
 
@@ -128,7 +123,7 @@ def research_reports(spark, sf_dir):
 
 def run_budgets(spark, sf_dir):
     """Limits of requests."""
-    r = _first_requests(spark, sf_dir)
+    r = _requests(spark, sf_dir)
     one = F.lit(1)
     return r.select("run_id", L.budget(F.col("depth"), one, one, F.when(F.pmod("run_id", F.lit(3)) == 0, 60.0), F.lit(4)).alias("b")).select("run_id", "b.*")
 
@@ -184,7 +179,7 @@ QUERIES = {
 _TITLE = "regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"
 _MOCK = ", ".join("({}, '{}', '{}', '{}')".format(i, *(x.replace("'", "''") for x in d)) for i, d in enumerate(S.MOCK))
 _LANDED = f"""
-l AS (SELECT page_id % 20 AS query_id, ['wikipedia', 'bing', 'gateway-web', 'mcp'][CAST(page_id // 20 % 4 + 1 AS INT)] AS provider, page_id // 80 AS ord, {_TITLE} AS title, url, substr({_TITLE}, 5, 40) AS content FROM pages WHERE page_id < 200),
+l AS (SELECT page_id // 12 AS query_id, ['wikipedia', 'bing', 'gateway-web', 'mcp'][CAST(page_id % 4 + 1 AS INT)] AS provider, page_id // 4 % 3 AS ord, {_TITLE} AS title, url, substr({_TITLE}, 5, 40) AS content FROM pages),
 o AS (SELECT l.*, len(list_intersect({TOK.format(x='text')}, {TOK.format(x="(title || ' ' || content)")})) AS shared, count(*) OVER (PARTITION BY query_id, provider) AS n FROM l JOIN benchmark ON item_id = query_id WHERE ord < 3),
 own AS (SELECT provider AS asked, query_id, ord, url, provider, CASE provider WHEN 'gateway-web' THEN greatest(n - ord - 1, 1) WHEN 'mcp' THEN n - ord WHEN 'wikipedia' THEN 10 * shared + 3 - ord ELSE 8 * shared + 3 - ord END::DOUBLE AS score FROM o)"""
 _MOCKED = f"""
@@ -201,7 +196,17 @@ _PLAN = " UNION ALL ".join(
     for k, (q, w, a) in enumerate(rows)
 )
 
+_BING = "'what is \"exact phrase here\" at www.Example.com ' || text"
+_KEYWORDS = lambda x, pattern, stop: f"""list_transform(list_filter(list_transform(list_filter(regexp_extract_all({x}, '{pattern}'),
+  lambda w: NOT list_contains({stop}, trim(lower(w), '.')) AND (length(trim(lower(w), '.')) > 2 OR regexp_full_match(trim(lower(w), '.'), '[0-9]+'))), lambda w, i: {{'w': w, 'i': i}}), lambda y:
+  coalesce(list_position(list_transform(list_filter(regexp_extract_all({x}, '{pattern}'), lambda w: NOT list_contains({stop}, trim(lower(w), '.')) AND (length(trim(lower(w), '.')) > 2
+  OR regexp_full_match(trim(lower(w), '.'), '[0-9]+'))), lambda w: lower(w)), trim(lower(y.w), '.')), y.i) >= y.i), lambda y: y.w)"""
+
 ORACLES = {
+    "query_candidates": f"""
+WITH k AS (SELECT item_id, text, {_KEYWORDS('text', '[A-Za-z][A-Za-z0-9_-]+', S.STOP)} AS w, {_KEYWORDS(_BING, '[A-Za-z0-9][A-Za-z0-9_.-]*', S.STOP + ['who', 'latest', 'current'])} AS b, {_BING} AS q FROM benchmark)
+SELECT item_id, array_to_string(list_filter([CASE WHEN len(w) > 0 THEN array_to_string(w[1:8], ' ') END, CASE WHEN len(w) > 4 THEN array_to_string(w[1:4], ' ') END, trim(text)], lambda x: x IS NOT NULL AND x <> ''), '|') AS wikipedia,
+  {SQZ.format(x='q')} || '|' || {SQZ.format(x="regexp_replace(array_to_string(b[1:10], ' '), '\\bexample\\.com\\b', '', 'gi')")} || ' site:example.com' || '|"exact phrase here"' AS bing, 'example.com' AS domain FROM k""".replace("\\\\", "\\"),
     "json_salvage": "SELECT conv_id, turn, CASE WHEN conv_id % 4 < 3 THEN role END AS role, conv_id % 4 < 3 AS any_json, 1 AS n_predictions FROM conversations",
     "mock_search": f"WITH {_MOCKED} SELECT query_id, ord, url, round(score, 6) AS score FROM mock",
     "adapter_scores": f"""WITH {_LANDED}, {_MOCKED}, a(asked) AS (VALUES ('wikipedia'), ('bing'), ('gateway-web'), ('mcp')),
@@ -210,12 +215,12 @@ g AS (SELECT p.asked, p.query_id, ord, url, provider, score FROM p JOIN own ON p
 SELECT asked, query_id, ord, url, provider, round(score, 6) AS score FROM own UNION ALL SELECT asked, query_id, ord, url, provider, round(score, 6) FROM g
 UNION ALL SELECT p.asked, p.query_id, ord, url, 'mock', round(score, 6) FROM p JOIN mock USING (query_id) WHERE (p.asked, p.query_id) NOT IN (SELECT (asked, query_id) FROM g)""",
     "planned_questions": f"""
-WITH r AS (SELECT item_id AS run_id, item_id % 2 = 0 AS deep, trim(regexp_replace(array_to_string(string_split(text, ' ')[1:6], ' '), '\\s+', ' ', 'g')) AS t0 FROM benchmark WHERE item_id < 20),
+WITH r AS (SELECT item_id AS run_id, item_id % 2 = 0 AS deep, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t0 FROM benchmark),
 s AS (SELECT * FROM (SELECT run_id, deep, regexp_replace(CASE WHEN t0 LIKE '%?' THEN t0 ELSE t0 || '?' END, '\\?+$', '') AS t FROM r)),
 p AS ({_PLAN.replace('FROM r ', 'FROM s ')})
 SELECT run_id, q, md5(question) AS question_md5, md5(search_query) AS search_md5, aspects, true AS valid FROM p""".replace("\\\\", "\\"),
     "run_budgets": """SELECT item_id AS run_id, CASE WHEN item_id % 2 = 0 THEN 2 ELSE 1 END AS max_rounds, CASE WHEN item_id % 2 = 0 THEN 2 ELSE 1 END AS max_tool_calls,
-  CASE WHEN item_id % 3 = 0 THEN 60.0 WHEN item_id % 2 = 0 THEN 300.0 END AS deadline_s, CASE WHEN item_id % 2 = 0 THEN 2 ELSE 1 END AS min_evidence, CASE WHEN item_id % 2 = 0 THEN 8 ELSE 4 END AS max_results FROM benchmark WHERE item_id < 20""",
+  CASE WHEN item_id % 3 = 0 THEN 60.0 WHEN item_id % 2 = 0 THEN 300.0 END AS deadline_s, CASE WHEN item_id % 2 = 0 THEN 2 ELSE 1 END AS min_evidence, CASE WHEN item_id % 2 = 0 THEN 8 ELSE 4 END AS max_results FROM benchmark""",
     "failed_candidates": f"""SELECT DISTINCT md5(trim(regexp_replace(substr(trim(regexp_replace({_TITLE}, '\\s+', ' ', 'g')), 1, 240), '^$', '', 'g'))) AS title_md5, CASE WHEN page_id % 5 = 0 THEN sha256(url) END AS url_identity_sha256,
   CASE WHEN page_id % 5 <> 0 THEN regexp_replace(url, '[?#].*$', '') END AS url, page_id % 10 AS rank, CASE WHEN page_id % 5 = 0 THEN 'blocked' ELSE 'failed' END AS crawl_status,
   CASE WHEN page_id % 5 = 0 THEN 'denylist_enforcement' WHEN page_id % 2 = 0 THEN 'timeout' ELSE 'crawler_error' END AS error_class, CASE WHEN page_id % 5 = 0 THEN 0 ELSE 1 END AS crawl_attempts

@@ -71,9 +71,10 @@ def build(name: str, spark: SparkSession, results: DataFrame | None = None) -> C
 
 def keywords(query: Column, pattern: str, stop: list[str]) -> Column:
     """Distinct words of a query, the first spelling of each, without stop words and short ones."""
-    words = F.filter(T.extract_all(query, pattern), lambda w: ~F.lower(w).isin(stop) & ((F.length(w) > 2) | w.rlike(r"^\d+$")))
+    bare = lambda w: F.trim(F.lower(w), F.lit("."))
+    words = F.filter(T.extract_all(query, pattern), lambda w: ~bare(w).isin(stop) & ((F.length(bare(w)) > 2) | bare(w).rlike(r"^\d+$")))
     begin = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<string>").alias("out"))
-    add = lambda acc, w: F.when(F.array_contains(acc["seen"], F.lower(w)), acc).otherwise(F.struct(F.concat(acc["seen"], F.array(F.lower(w))).alias("seen"), F.concat(acc["out"], F.array(w)).alias("out")))
+    add = lambda acc, w: F.when(F.array_contains(acc["seen"], bare(w)), acc).otherwise(F.struct(F.concat(acc["seen"], F.array(F.lower(w))).alias("seen"), F.concat(acc["out"], F.array(w)).alias("out")))
     return F.aggregate(words, begin, add)["out"]
 
 
