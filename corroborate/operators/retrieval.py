@@ -7,7 +7,7 @@ may be among a query's first k leaves it. Scored pairs are never rows of a shuff
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -171,6 +171,38 @@ def rrf(keyword: DataFrame, vector: DataFrame, k: int, rrf_k: int = 60, keyword_
     return top_k(fused, k, [F.desc("score"), F.asc_nulls_last("keyword_rank"), F.asc_nulls_last("vector_rank")])
 
 
+def ranked_sources(ranked: DataFrame, method: str, mode: str) -> DataFrame:
+    """Ranked rows as sources, with a map of how they were found."""
+    text = lambda c: F.col(c).cast("string")
+    return ranked.withColumn("metadata", F.create_map(F.lit("retrieval_mode"), F.lit(mode), F.lit(f"{method}_rank"), text("rank"), F.lit(f"{method}_score"), text("score")))
+
+
+def fused_sources(fused: DataFrame, keyword: DataFrame, vector: DataFrame, rrf_k: int = 60, keyword_weight: float = 1.0, vector_weight: float = 1.0) -> DataFrame:
+    """Fused rows as sources, with the ranks and scores of both methods and the weights of the fusion."""
+    of = lambda d, n: d.select("query_id", "doc_id", F.col("score").alias(n))
+    both = fused.join(of(keyword, "keyword_score"), ["query_id", "doc_id"], "left").join(of(vector, "vector_score"), ["query_id", "doc_id"], "left")
+    told = ["keyword_rank", "keyword_score", "vector_rank", "vector_score"]
+    fixed = {"retrieval_mode": "hybrid", "fusion": "rrf", "rrf_k": str(rrf_k), "keyword_weight": str(keyword_weight), "vector_weight": str(vector_weight)}
+    pairs = [x for c in told for x in (F.lit(c), F.col(c).cast("string"))] + [F.lit(x) for kv in fixed.items() for x in kv]
+    return both.withColumn("metadata", F.create_map(*pairs)).drop("keyword_score", "vector_score")
+
+
+def hybrid_sources(keyword: DataFrame, vector: Callable[[], DataFrame], k: int, **weights: float) -> DataFrame:
+    """Both methods fused, or, where the vector search fails, the keyword sources alone, flagged as degraded with the reason.
+
+    The vector ranking, k rows a query, is written first: only then is it known that it works."""
+    spark = keyword.sparkSession
+    try:
+        found = written(spark, vector(), "vector-ranking")
+    except Exception as e:  # whatever a model, an index or the store raises
+        reason = f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
+        only = ranked_sources(top_k(keyword.drop("rank"), k, [F.desc("score"), F.asc("doc_id")]), "keyword", "keyword")
+        flags = F.create_map(F.lit("retrieval_degraded"), F.lit("true"), F.lit("degrade_reason"), F.lit(reason))
+        return only.select("query_id", "doc_id", "score", "rank", F.map_concat("metadata", flags).alias("metadata"))
+    fused = rrf(keyword, found, k, **weights)
+    return fused_sources(fused, keyword, found, **weights).select("query_id", "doc_id", "score", "rank", "metadata")
+
+
 def rerank(ranked: DataFrame, score: Column, k: int) -> DataFrame:
     """The candidates by another score; their old rank and score stay as pre_rerank_*."""
     old = ranked.withColumnRenamed("rank", "pre_rerank_rank").withColumnRenamed("score", "pre_rerank_score")

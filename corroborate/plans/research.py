@@ -69,7 +69,10 @@ def decide(n_evidence: Column, least: int, question: Column, round_: int) -> Col
 def decision_of(payload: Column, n_evidence: Column, least: int, question: Column, round_: int) -> Column:
     """The same from a model's JSON: aliases of its fields and actions are understood; stopping short of evidence is refused."""
     p = F.from_json(payload, "map<string,string>")
-    first = lambda *names: F.coalesce(*[F.nullif(F.trim(F.try_element_at(p, F.lit(n))), F.lit("")) for n in names])
+    wrapped = F.coalesce(*[F.when(F.ltrim(F.try_element_at(p, F.lit(n))).startswith("{"), F.try_element_at(p, F.lit(n))) for n in ("decision", "research_decision", "recommendation")])
+    inner = F.from_json(wrapped, "map<string,string>")  # the first of these that is an object; its fields go before those around it
+    one = lambda m, n: F.nullif(F.trim(F.try_element_at(m, F.lit(n))), F.lit(""))
+    first = lambda *names: F.coalesce(*[x for n in names for x in (one(inner, n), one(p, n))])
     action = F.lower(first("action", "next_action", "decision_type", "status"))
     own = decide(n_evidence, least, question, round_)
     enough = n_evidence >= least

@@ -112,6 +112,8 @@ def decisions(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     action = F.element_at(F.array(*[F.lit(x) for x in ("stop", "DONE", "search", "odd", "")]), (F.pmod("conv_id", F.lit(5)) + 1).cast("int"))
     payload = F.when(F.pmod("turn", F.lit(2)) == 0, F.to_json(F.struct(action.alias("next_action"), F.lit("why").alias("rationale")))).otherwise(F.to_json(F.struct(action.alias("action"), F.lit("more").alias("next_query"))))
+    k = F.pmod("conv_id", F.lit(3))  # bare, wrapped, and wrapped beside a plain field of another wrapper's name
+    payload = F.when(k == 0, payload).when(k == 1, F.concat(F.lit('{"decision": '), payload, F.lit(', "reason": ""}'))).otherwise(F.concat(F.lit('{"decision": "text", "recommendation": '), payload, F.lit("}")))
     return c.select("conv_id", "turn", P.decision_of(payload, F.col("turn"), 2, F.lit("Q"), 0).alias("d")).select("conv_id", "turn", "d.*")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as Y
 
 from corroborate.functions import text as T
 from corroborate.operators import replay as R
-from corroborate.session import ship
+from corroborate.session import ship, written
 
 CORPUS = "id string, title string, url string, content string"
 RUNS = "run_id string, status string, stage string, created timestamp_ntz, updated timestamp_ntz, worker string, expires timestamp_ntz, request string, result string"
@@ -107,18 +107,30 @@ def cases(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("ord", F.monotonically_increasing_id())
 
 
+def numbered(rows: DataFrame, order: str) -> DataFrame:
+    """rows with __n, their place from 1 in the order of a column. Rows are sorted in ranges and counted by range, so no task sees them all."""
+    spark = rows.sparkSession
+    sorted_ = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__at", F.monotonically_increasing_id())
+    held = written(spark, sorted_, "numbered")
+    part = F.shiftright("__at", 33)
+    sizes = held.groupBy(part.alias("__p")).agg(F.count("*").alias("__c"))  # a row a range
+    before = sizes.select("__p", (F.sum("__c").over(W.orderBy("__p")) - F.col("__c")).alias("__b"))
+    place = held.withColumn("__p", part).join(F.broadcast(before), "__p").withColumn("__n", F.col("__b") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1)
+    return place.drop("__p", "__b", "__at")
+
+
 def normalised_cases(rows: DataFrame, benchmark: str) -> DataFrame:
     """Id, query, category, benchmark_name and the other fields as a map; a row without a query is an error, and so is a deep report in another format than Markdown."""
     have = set(rows.columns)
     first = lambda *names: F.coalesce(*[F.nullif(F.col(n).cast("string"), F.lit("")) for n in names if n in have], F.lit(None).cast("string"))
-    place = F.row_number().over(W.orderBy("ord")) if "ord" in have else F.lit(1)
+    placed = numbered(rows if "ord" in have else rows.withColumn("ord", F.monotonically_increasing_id()), "ord")
     used = {"id", "case_id", "key", "query", "question", "prompt", "input", "category", "ord"}
     rest = [c for c in rows.columns if c not in used]
     as_text = lambda c: F.col(c).cast("string") if dict(rows.dtypes)[c] == "string" else F.to_json(F.struct(c))
     meta = F.map_filter(F.create_map(*[x for c in rest for x in (F.lit(c), as_text(c))]), lambda k, v: v.isNotNull()) if rest else F.create_map().cast("map<string,string>")
     query = first("query", "question", "prompt", "input")
     asked = F.when(query.isNotNull(), query).otherwise(F.raise_error(F.lit("a case has no query")).cast("string"))
-    n = rows.withColumn("__n", place).select(F.coalesce(first("id", "case_id", "key"), F.format_string("case-%04d", F.col("__n"))).alias("id"), asked.alias("query"), first("category").alias("category"), F.lit(benchmark).alias("benchmark_name"), meta.alias("metadata"))
+    n = placed.select(F.coalesce(first("id", "case_id", "key"), F.format_string("case-%04d", F.col("__n").cast("int"))).alias("id"), asked.alias("query"), first("category").alias("category"), F.lit(benchmark).alias("benchmark_name"), meta.alias("metadata"))
     deep = (F.coalesce(F.try_element_at("metadata", F.lit("report_depth")), F.lit("")) == "deep") & (F.coalesce(F.try_element_at("metadata", F.lit("expected_format")), F.lit("markdown")) != "markdown")
     return n.withColumn("id", F.when(deep, F.raise_error(F.lit("a deep report must be Markdown")).cast("string")).otherwise(F.col("id")))
 
