@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corroborate.functions import text as T
+from corroborate.functions import times as N
 from corroborate.operators import control as C
+from corroborate.operators import evidence as E
+from corroborate.operators import judging as J
+from corroborate.operators import replay as R
 from corroborate.operators import retrieval as X
 from corroborate.plans.evidence_queries import _FUSE, _VEC, K, _label_ranking, _vectors
 from corroborate.session import table
 
 COMMANDS = ("plan", "approve", "advance", "finish", "fail", "retry", "edit", "advance", "reject", "plan", "cancel")
+SETTINGS = ("model_api_key", "API_KEY", "token", "tokens", "db_password", "region", "secret_sauce", "client_secret")
+VERDICTS = ("correct", " Incorrect", "not_attempted", "NOT_ATTEMPTED ", "unscored", "maybe")
+STATUSES = ("ok", "snippet", "blocked", "empty", "crawl_failed", "")
 
 
 def _key(c="props"):
@@ -68,11 +76,72 @@ def degraded_sources(spark, sf_dir):
     return _told(X.hybrid_sources(_label_ranking(spark, sf_dir), lambda: X.vector_topk(q, broken, K), K))
 
 
-QUERIES = {f.__name__: f for f in (run_control, worker_loops, search_outcomes, hybrid_sources, degraded_sources)}
+def redactions(spark, sf_dir):
+    """Keys in conversations' texts, and settings of which some names are secret."""
+    c = table(spark, sf_dir, "conversations")
+    text = F.concat("text", F.lit(" sk-a_"), "conv_id", F.lit("-Z. sk- task-sk-"), "turn")
+    value = F.when(F.pmod("conv_id", F.lit(3)) == 0, "").when(F.pmod("conv_id", F.lit(3)) == 1, F.col("role"))
+    hidden = R.redact_settings(F.map_from_arrays(F.array(*[F.lit(n) for n in SETTINGS]), F.array_repeat(value, len(SETTINGS))))
+    return c.select("conv_id", "turn", F.md5(T.redacted(text)).alias("text_md5"), F.array_join(F.transform(F.array(*[F.lit(n) for n in SETTINGS]), lambda n: F.coalesce(F.try_element_at(hidden, n), F.lit("-"))), ",").alias("settings"))
+
+
+def judgment_contracts(spark, sf_dir):
+    """Judgments that may contradict themselves."""
+    e = table(spark, sf_dir, "events").withColumn("k", _key())
+    verdict = F.element_at(F.array(*[F.lit(v) for v in VERDICTS]), F.pmod("k", F.lit(len(VERDICTS))) + 1)
+    score = F.when(F.pmod("event_id", F.lit(4)) > 0, F.pmod("event_id", F.lit(4)) / 2)
+    confidence = F.when(F.pmod("event_id", F.lit(7)) > 0, F.round(F.col("value") / 100, 2))
+    listed = lambda n: F.when(F.pmod("event_id", F.lit(n)) == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    return e.select("event_id", J.contract(verdict, score, confidence, listed(5), listed(6)).alias("verdict"))
+
+
+def evidence_readiness(spark, sf_dir):
+    """Pages with statuses, crawlers and providers of all kinds."""
+    status = F.element_at(F.array(*[F.lit(s) for s in STATUSES]), F.pmod("page_id", F.lit(len(STATUSES))).cast("int") + 1)
+    snippet = F.when(F.pmod("page_id", F.lit(4)) < 3, F.pmod("page_id", F.lit(4)) == 1)
+    crawler = F.when(F.pmod("page_id", F.lit(3)) > 0, F.when(F.pmod("page_id", F.lit(3)) == 1, "c").otherwise(""))
+    provider = F.when(F.pmod("page_id", F.lit(2)) == 0, "gateway-web").otherwise("bing")
+    blocked = F.when(F.pmod("page_id", F.lit(11)) < 2, F.pmod("page_id", F.lit(11)) == 0)
+    content = F.when(F.pmod("page_id", F.lit(13)) > 0, F.when(F.pmod("page_id", F.lit(13)) == 1, " ").otherwise(F.col("html")))
+    return table(spark, sf_dir, "pages").select("page_id", E.citable(status, snippet, content).alias("citable"), E.evidence_ready(status, snippet, crawler, provider, blocked).alias("ready"))
+
+
+def timestamps(spark, sf_dir):
+    """events' moments written out in three forms, read back, moved by a lease and measured."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("t"), "value")
+    iso = N.formatted(F.col("t"))
+    k = F.pmod("event_id", F.lit(4))
+    told = F.when(k == 0, F.regexp_replace(iso, r"\+00:00$", "Z")).when(k == 1, iso).when(k == 2, F.concat(F.lit(" "), F.regexp_replace(iso, r"\+00:00$", "+02:00"))).otherwise(F.concat(iso, F.lit("x")))
+    back = N.parsed(told)
+    end = N.later(back, F.col("value"))
+    return e.select("event_id", N.formatted(back).alias("moment"), N.formatted(end).alias("lease_until"), N.millis(back, end).alias("ms"))
+
+
+QUERIES = {f.__name__: f for f in (run_control, worker_loops, search_outcomes, hybrid_sources, degraded_sources, redactions, judgment_contracts, evidence_readiness, timestamps)}
 
 _CMD = "['" + "', '".join(COMMANDS) + "']"
 
+_LIST = lambda x: "[" + ", ".join(f"'{v}'" for v in x) + "]"
+
 ORACLES = {
+    "redactions": f"""
+SELECT conv_id, turn, md5(regexp_replace(text || ' sk-a_' || conv_id || '-Z. sk- task-sk-' || turn, 'sk-[A-Za-z0-9_-]+', 'sk-***', 'g')) AS text_md5,
+  array_to_string(list_transform({_LIST(SETTINGS)}, lambda n: CASE WHEN lower(n) IN ('api_key', 'token', 'secret', 'password') OR regexp_matches(lower(n), '_(api_key|token|secret|password)$')
+    THEN CASE WHEN conv_id % 3 = 1 THEN '<redacted>' ELSE '' END ELSE CASE conv_id % 3 WHEN 0 THEN '' WHEN 1 THEN role ELSE '-' END END), ',') AS settings FROM conversations""",
+    "judgment_contracts": f"""
+WITH j AS (SELECT event_id, lower(trim({_LIST(VERDICTS)}[CAST(json_extract(props, '$.k') AS INT) % {len(VERDICTS)} + 1])) AS v, CASE WHEN event_id % 4 > 0 THEN event_id % 4 / 2.0 END AS score,
+  CASE WHEN event_id % 7 > 0 THEN round(value / 100, 2) END AS conf, event_id % 5 = 0 AS missing, event_id % 6 = 0 AS wrong FROM events)
+SELECT event_id, CASE WHEN v IN ('correct', 'incorrect', 'not_attempted') AND conf >= 0 AND conf <= 1 AND coalesce(score, 0) <= 1
+  AND CASE WHEN v = 'correct' THEN coalesce(score, 1) = 1 AND NOT missing AND NOT wrong ELSE coalesce(score, 0) < 1 END THEN v ELSE 'unscored' END AS verdict FROM j""",
+    "evidence_readiness": f"""
+WITH p AS (SELECT page_id, {_LIST(STATUSES)}[CAST(page_id % {len(STATUSES)} + 1 AS INT)] AS status, CASE WHEN page_id % 4 < 3 THEN page_id % 4 = 1 END AS snippet, page_id % 3 = 1 AS crawled, page_id % 2 = 0 AS gateway, page_id % 11 = 0 AS blocked,
+  page_id % 13 > 1 AND trim(html) <> '' AS filled FROM pages)
+SELECT page_id, filled AND coalesce(NOT snippet, true) AND status NOT IN ({{blocked}}) AS citable, NOT blocked AND (NOT gateway OR (status = 'ok' AND coalesce(NOT snippet, false) AND crawled)) AS ready FROM p""".replace("{blocked}", ", ".join(f"'{s}'" for s in E.NOT_EXTRACTED)),
+    "timestamps": """
+WITH t AS (SELECT event_id, value, CASE event_id % 4 WHEN 2 THEN CAST(ts AS TIMESTAMP) - INTERVAL 2 HOUR WHEN 3 THEN NULL ELSE CAST(ts AS TIMESTAMP) END AS a FROM events),
+u AS (SELECT *, a + to_microseconds(CAST(round(value * 1000000) AS BIGINT)) AS z FROM t)
+SELECT event_id, regexp_replace(strftime(a, '%Y-%m-%dT%H:%M:%S.%f'), '\.000000$', '') || '+00:00' AS moment, regexp_replace(strftime(z, '%Y-%m-%dT%H:%M:%S.%f'), '\.000000$', '') || '+00:00' AS lease_until,
+  round((epoch_us(z) - epoch_us(a)) / 1000.0, 3)::DOUBLE AS ms FROM u""",
     "run_control": f"""
 WITH RECURSIVE c AS (SELECT event_id // 8 AS run_id, event_id % 8 AS n, {_CMD}[CAST(json_extract(props, '$.k') AS INT) % {len(COMMANDS)} + 1] AS cmd, CAST(json_extract(props, '$.k') AS INT) AS k, value FROM events),
 s AS (SELECT DISTINCT run_id, CAST(-1 AS BIGINT) AS n, 'queued' AS status, 'planner' AS stage, CAST(NULL AS VARCHAR) AS plan, CAST(NULL AS VARCHAR) AS error, 0 AS retries, '' AS told FROM c

@@ -141,7 +141,20 @@ QUERIES = {f.__name__: f for f in (tokenize_docs, sentence_stats, chunk_document
 _STOP = "['" + "', '".join(R.STOPWORDS) + "']"
 _CT = lambda x: f"list_filter({TOK.format(x=x)}, lambda t: NOT list_contains({_STOP}, t))"
 
+_CUTS = lambda t: f"list_filter(list_transform(range(0, (greatest(length({t}), 1) - 1) // 1040 + 1), lambda k: substr({t}, CAST(k * 1040 + 1 AS INT), 1200)), lambda w: regexp_matches(w, '\\S'))".replace("\\\\", "\\")
+
 ORACLES = {
+    "passage_packing": f"""
+WITH RECURSIVE d AS (SELECT doc_id, text, {SENT.format(x='text')} AS s FROM documents),
+u AS (SELECT doc_id, generate_subscripts(s, 1) AS i, unnest(s) AS s FROM d WHERE len(s) > 1),
+f AS (SELECT doc_id, i, length(s) AS n, CASE WHEN length(s) > 1200 THEN len({_CUTS('s')}) END AS cuts FROM u),
+w AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS size, CAST(0 AS BIGINT) AS held, CAST(0 AS BIGINT) AS made, CAST(0 AS BIGINT) AS longest FROM f
+UNION ALL SELECT w.doc_id, f.i, CASE WHEN n > 1200 THEN 0 WHEN held > 0 AND size + n > 1200 THEN n ELSE size + n END, CASE WHEN n > 1200 THEN 0 WHEN held > 0 AND size + n > 1200 THEN 1 ELSE held + 1 END,
+  made + CASE WHEN held > 0 AND size + n > 1200 THEN 1 ELSE 0 END + coalesce(cuts, 0), greatest(longest, CASE WHEN held > 0 AND size + n > 1200 THEN size + held - 1 ELSE 0 END, CASE WHEN n > 1200 THEN 1200 ELSE 0 END)
+FROM w JOIN f ON f.doc_id = w.doc_id AND f.i = w.i + 1),
+z AS (SELECT doc_id, made + (held > 0)::INT AS n_passages, greatest(longest, CASE WHEN held > 0 THEN size + held - 1 ELSE 0 END) AS longest FROM w QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) = 1)
+SELECT doc_id, CAST(n_passages AS INT) AS n_passages, CAST(longest AS INT) AS longest FROM z
+UNION ALL SELECT doc_id, CASE WHEN length(text) <= 1200 THEN 1 ELSE len({_CUTS('text')}) END, CASE WHEN length(text) <= 1200 THEN length(text) ELSE 1200 END FROM d WHERE len(s) <= 1""",
     "tokenize_docs": f"SELECT doc_id, len({TOK.format(x='text')}) AS n_tokens, sha256(array_to_string(list_sort({TOK.format(x='text')}), ' ')) AS tokens_sha FROM documents",
     "sentence_stats": f"WITH s AS (SELECT doc_id, {SENT.format(x='text')} AS s FROM documents) SELECT doc_id, len(s) AS n_sentences, sha256(array_to_string(s, '|')) AS sentences_sha FROM s",
     "chunk_documents": """
