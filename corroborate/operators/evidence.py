@@ -10,6 +10,7 @@ from corroborate.functions import relevance as R
 from corroborate.functions import text as T
 from corroborate.functions import urls as U
 from corroborate.operators.retrieval import small, spread
+from corroborate.session import written
 
 # Fixed values.
 SPAM = ["click here", "subscribe to read", "unverified rumor"]
@@ -211,26 +212,34 @@ def prompt_leaks(docs: DataFrame, prompts: DataFrame, answer_fields: bool = True
     """P10 as a join: (doc_id, item_id) where docs (doc_id, text) hold the prompt of prompts (item_id, text).
 
     A prompt inside a page holds all its words but the first and the last as whole words there, so the pairs come from an
-    equi-join on the second to fourth, or on the two or the one of shorter prompts. Of prompts of one or two words the page may
-    hold more on either side; they come from an equi-join on their first 16 characters, which any place of the page may begin."""
+    equi-join on three neighbouring ones of them (those with the most characters, as these are rarest), or on the two or the one
+    of shorter prompts. Of prompts of one or two words the page may hold more on either side; they come from an equi-join on their
+    first 16 characters, which any place of the page may begin. Keys are hashes and travel with the doc_id alone; the texts of the
+    documents that have a candidate are joined once, and there the whole prompt decides."""
     p = prompts.select("item_id", T.squeezed(F.lower("text")).alias("q")).filter(F.length("q") >= 16).withColumn("w", F.split("q", " "))
     d = docs.select("doc_id", T.squeezed(F.lower("text")).alias("t"), F.lower("text").rlike(f"(?i){U.ANSWER_FIELD}").alias("fields"))
     d = d.filter("fields") if answer_fields else d
-    three = lambda w, at: F.array_join(F.slice(w, at, 3), " ")
-    keyed = p.filter(F.size("w") >= 5).select("item_id", "q", three(F.col("w"), 2).alias("key"))
-    words = d.withColumn("w", F.split("t", " ")).filter(F.size("w") >= 3)
-    grams = words.select("doc_id", "t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda k: three(F.col("w"), k)))).alias("key"))
-    found = grams.join(small(keyed), "key").filter(F.col("t").contains(F.col("q"))).select("doc_id", "item_id")
-    inner = p.filter(F.size("w").isin(3, 4)).select("item_id", "q", F.array_join(F.slice("w", F.lit(2), F.size("w") - 2), " ").alias("key"))
-    few = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda k: F.array_join(F.slice("w", k, n), " "))
-    one = d.withColumn("w", F.split("t", " "))
-    runs = one.select("doc_id", "t", F.explode(F.array_distinct(F.concat(few(1), F.when(F.size("w") >= 2, few(2)).otherwise(F.array().cast("array<string>"))))).alias("key"))
-    start = p.filter(F.size("w") <= 2).select("item_id", "q", F.substr("q", F.lit(1), F.lit(16)).alias("key"))
-    chars = d.filter(F.length("t") >= 16).select("doc_id", "t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - 15), lambda k: F.substr("t", k, F.lit(16))))).alias("key"))
-    for held, keys in ((runs, inner), (chars, start)):
-        if not keys.isEmpty():
-            found = found.unionByName(held.join(small(keys), "key").filter(F.col("t").contains(F.col("q"))).select("doc_id", "item_id"))
-    return found.distinct()
+    words = d.select("doc_id", F.split("t", " ").alias("w"))
+    run = lambda n: lambda k: F.array_join(F.slice("w", k, n), " ")
+    runs = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), run(n))).otherwise(F.array().cast("array<string>"))
+    hashed = lambda c: F.array_distinct(F.transform(c, lambda x: F.xxhash64(x)))
+    inner = F.transform(F.sequence(F.lit(2), F.size("w") - 3), lambda k: F.struct(F.length(run(3)(k)).alias("n"), run(3)(k).alias("r")))
+    kinds = (
+        (p.filter(F.size("w") >= 5), F.array_max(inner)["r"], words, runs(3)),
+        (p.filter(F.size("w").isin(3, 4)), F.array_join(F.slice("w", F.lit(2), F.size("w") - 2), " "), words, F.concat(runs(1), runs(2))),
+        (p.filter(F.size("w") <= 2), F.substr("q", F.lit(1), F.lit(16)), d.filter(F.length("t") >= 16), F.transform(F.sequence(F.lit(1), F.length("t") - 15), lambda k: F.substr("t", k, F.lit(16)))),
+    )
+    pairs = None
+    for some, key, held, keys in kinds:
+        asked = some.select("item_id", F.xxhash64(key).alias("key"))
+        if not asked.isEmpty():
+            met = held.select("doc_id", F.explode(hashed(keys)).alias("key")).join(small(asked), "key").select("doc_id", "item_id").distinct()
+            pairs = met if pairs is None else pairs.unionByName(met)
+    if pairs is None:
+        return d.select("doc_id").join(p.select("item_id").limit(0))
+    pairs = written(docs.sparkSession, pairs.select(F.col("doc_id").alias("__d"), F.col("item_id").alias("__i")).join(small(p.select(F.col("item_id").alias("__i"), "q")), "__i"), "candidates")
+    found = d.join(small(pairs), F.col("doc_id").eqNullSafe(F.col("__d"))).filter(F.col("t").contains(F.col("q")))
+    return found.select("doc_id", F.col("__i").alias("item_id")).distinct()
 
 
 def evidence_summaries(items: DataFrame, rounds: DataFrame) -> DataFrame:
