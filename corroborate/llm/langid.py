@@ -7,12 +7,13 @@ small, or if even the nearest codeword is far: its weighted mean loss a bit is o
 
 Cases: a null text, an empty one or one with no letter (Unicode category L) is `und` with score 0 and not ambiguous;
 with no labelled row at all every text is `und`; equal losses go to the language first in the alphabet; a null doc_id
-is never learned from and not held out; rows that share a doc_id are told apart by their text when the sample is
-cut, equal rows count as often as they are drawn; other columns pass through untouched.
+is never learned from and not held out; rows that share a doc_id are drawn by their texts, equal rows together and
+as often as they come, up to four times the sample; other columns pass through untouched.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -20,7 +21,6 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corroborate.session import ship
@@ -148,19 +148,28 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list:
-    """Rows (text, lang) outside the held-out fold: of each language those with the least hash of doc_id, then of the text; the same ones in every run."""
+    """Rows (text, lang) outside the held-out fold: of each language those with the least hash of doc_id and text; the same ones in every run.
+
+    Rows in the least part of their language's range of hashes are drawn, twice as many as are wanted, and cut by a heap a task:
+    sorts of whole texts would take pages of memory in every task."""
     key = F.col(id_col)
     rows = docs.filter(key.isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(key))
-    rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(key, F.lit(p.seed)).alias("u"))
-    sizes = rows.groupBy("lang").count().collect()  # one row a language, as the model itself has
+    hashed = F.pmod(F.xxhash64(key, F.lit(p.seed), F.col(text_col)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), hashed.alias("u"))
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language, as the model itself has
     if not sizes:
         return []
     each = max(1, p.max_rows // len(sizes))
-    # ids whose hash is in the least part of its range, with room to spare; then, per language, the first of these
-    low = docs.sparkSession.createDataFrame([(r.lang, int(min(1.0, (2 * each + 50) / r["count"]) * (1 << 64)) - (1 << 63) - 1) for r in sizes], "lang string, most long")
-    first = W.partitionBy("lang").orderBy("u", F.xxhash64("text"), "text")
-    drawn = rows.join(F.broadcast(low), "lang").filter("u <= most").withColumn("place", F.row_number().over(first)).filter(F.col("place") <= each)
-    return sorted(drawn.select("text", "lang", "u").collect(), key=lambda r: (r.lang, r.u, r.text))
+    part = docs.sparkSession.createDataFrame([(lang, min(1.0, (2 * each + 50) / n)) for lang, n in sizes.items()], "lang string, part double")
+    drawn = rows.join(F.broadcast(part), "lang").filter("u <= part").select("text", "lang", (F.col("u") / F.col("part")).alias("u"))
+    found = sorted(drawn.orderBy("u", F.xxhash64("text"), "text").limit((4 * each + 100) * len(sizes)).collect(), key=lambda r: (r.lang, r.u, r.text))
+    taken = Counter()
+    out = []
+    for r in found:
+        taken[r.lang] += 1
+        if taken[r.lang] <= each:
+            out.append(r)
+    return out
 
 
 def fit(docs: DataFrame, p: Params = Params(), **cols: str) -> Model:
