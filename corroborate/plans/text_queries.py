@@ -177,6 +177,15 @@ SELECT doc_id, md5(x) AS clean_md5, trim(replace(source || '_doc', '_', ' ')) AS
     "html_without_tags": r"""
 WITH t AS (SELECT page_id, rtrim(substr(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), 1, 2000)) AS t FROM pages)
 SELECT page_id, length(t) AS n_chars, md5(t) AS text_md5 FROM t""",
+    "follow_up_queries": f"""
+WITH c AS (SELECT conv_id, turn, text, lag(text, 1, '') OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
+r AS (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS raw, {TOK.format(x="(before || ' more evidence')")} AS anchors,
+  regexp_replace(substr(array_to_string(list_filter([regexp_replace(before, '^\\s+|\\s+$', '', 'g'), 'more evidence'], lambda x: x <> ''), ' '), 1, 240), '\\s+$', '') AS other FROM c),
+l AS (SELECT *, {SQZ.format(x='raw')} AS line, regexp_replace(substr({SQZ.format(x='raw')}, 1, 240), '\\s+$', '') AS cut FROM r),
+b AS (SELECT *, CASE WHEN length(line) > 240 AND substr(line, 241, 1) <> ' ' AND contains(cut, ' ') THEN regexp_replace(cut, '\\s+\\S*$', '') ELSE cut END AS bound FROM l),
+q AS (SELECT conv_id, turn, CASE WHEN raw = '' OR regexp_matches(raw, '[\\r\\n]') OR regexp_matches(raw, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]') OR regexp_matches(lower(raw), '(?:https?|file|ftp)://') OR {_INJ.format(x='raw')}
+  OR bound = '' OR NOT list_has_any(anchors, {TOK.format(x='bound')}) THEN other ELSE bound END AS q FROM b)
+SELECT conv_id, turn, length(q) AS n_chars, md5(q) AS query_md5 FROM q""".replace("\\\\", "\\"),
     "injection_scan": f"WITH r AS ({_RISKY}) SELECT doc_id, {_INJ.format(x='text')} AS injected FROM r",
     "injection_sanitised": f"""WITH r AS ({_RISKY}), s AS (SELECT doc_id, {SENT.format(x='text')} AS s FROM r)
 SELECT doc_id, len(list_filter(s, lambda x: {_INJ.format(x='x')})) > 0 AS flagged,
