@@ -35,6 +35,17 @@ def test_index_is_built_once_per_content(spark, tmp_path):
     assert other.count() == 2
 
 
+def test_cell_index_recall_and_that_all_cells_give_the_exact_answer(spark):
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), "embedding")
+    q = e.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    rows = lambda d: {(r.query_id, r.doc_id) for r in d.collect()}
+    exact, near = rows(G.ExactIndex(e).search(q, 10)), rows(G.CellIndex(e).search(q, 10))
+    assert len(exact & near) >= 0.9 * len(exact)
+    few = e.filter("doc_id < 300")
+    assert rows(G.CellIndex(few, cells=8, probes=8).search(q, 5)) == rows(G.ExactIndex(few).search(q, 5))
+    assert G.CellIndex(few.limit(0)).search(q, 3).count() == 0
+
+
 def test_paged_rows(spark):
     rows = [{"row": {"id": k, "query": f"q{k}"}} for k in range(25)]
 
