@@ -43,7 +43,7 @@ class Params:
     rate: float = 0.5
     decay: float = 1e-5
     gap: float = 0.2
-    far: float = 0.6
+    far: float = 0.7
     seed: int = 7
 
 
@@ -54,7 +54,7 @@ class Model:
     weights: np.ndarray  # dims+1 x bits
     trust: np.ndarray  # bits
     gap: float
-    far: float = 0.6
+    far: float = 0.7
 
 
 @lru_cache(1)
