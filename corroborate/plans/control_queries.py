@@ -137,7 +137,7 @@ SELECT event_id, CASE WHEN v IN ('correct', 'incorrect', 'not_attempted') AND co
 WITH p AS (SELECT page_id, {_LIST(STATUSES)}[CAST(page_id % {len(STATUSES)} + 1 AS INT)] AS status, CASE WHEN page_id % 4 < 3 THEN page_id % 4 = 1 END AS snippet, page_id % 3 = 1 AS crawled, page_id % 2 = 0 AS gateway, page_id % 11 = 0 AS blocked,
   page_id % 13 > 1 AND trim(html) <> '' AS filled FROM pages)
 SELECT page_id, filled AND coalesce(NOT snippet, true) AND status NOT IN ({{blocked}}) AS citable, NOT blocked AND (NOT gateway OR (status = 'ok' AND coalesce(NOT snippet, false) AND crawled)) AS ready FROM p""".replace("{blocked}", ", ".join(f"'{s}'" for s in E.NOT_EXTRACTED)),
-    "timestamps": """
+    "timestamps": r"""
 WITH t AS (SELECT event_id, value, CASE event_id % 4 WHEN 2 THEN CAST(ts AS TIMESTAMP) - INTERVAL 2 HOUR WHEN 3 THEN NULL ELSE CAST(ts AS TIMESTAMP) END AS a FROM events),
 u AS (SELECT *, a + to_microseconds(CAST(round(value * 1000000) AS BIGINT)) AS z FROM t)
 SELECT event_id, regexp_replace(strftime(a, '%Y-%m-%dT%H:%M:%S.%f'), '\.000000$', '') || '+00:00' AS moment, regexp_replace(strftime(z, '%Y-%m-%dT%H:%M:%S.%f'), '\.000000$', '') || '+00:00' AS lease_until,

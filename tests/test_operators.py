@@ -277,3 +277,59 @@ def test_topk_in_blocks_equals_one_block(spark, monkeypatch):
     monkeypatch.setattr(X, "CELLS", 10)
     assert rows(X.vector_topk(asked, df, 3)) == whole and rows(X.keyword_topk(asks, texts, 4)) == words
     assert X.vector_topk(asked.limit(0), df, 3).count() == 0 and X.keyword_topk(asks, texts.limit(0), 3).count() == 0
+
+
+def test_one_log_gives_the_same_states_in_batch_and_stream(spark, tmp_path):
+    cols = REQUEST.replace("timestamp_ntz", "timestamp").replace("expected array<string>", "expected string")
+    spark.createDataFrame([(*r[:5], ",".join(r[5] or []), *r[6:]) for r in LOG], cols).write.json(str(tmp_path / "in"))
+    q = S.run_states(spark.readStream.schema(cols).json(str(tmp_path / "in"))).writeStream.outputMode("update").format("memory").queryName("whole_log").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    state = lambda rows: {r.run_id: (r.status, r.worker, r.applied, r.rejected) for r in rows}
+    # runs whose lease the watermark has passed come once more, as stale; the states of the log itself are those that are not
+    assert state(spark.sql("select * from whole_log where not stale").collect()) == state(L.fold(spark.createDataFrame(LOG, REQUEST)).collect())
+
+
+def test_run_control_by_rules(spark):
+    from corroborate.operators import control as C
+
+    logs = {
+        "approved": ["plan", "approve", "advance", "finish", "cancel"],
+        "edited": ["plan", "edit", "edit", "fail", "retry"],
+        "rejected": ["approve", "plan", "reject", "retry"],
+        "unplanned": ["fail", "retry", "bogus"],
+    }
+    rows = [(run, k, T0, c, f"n{k}", f"p{k}", "synthesizer") for run, log in logs.items() for k, c in enumerate(log)]
+    df = spark.createDataFrame(rows, "run_id string, ord int, ts timestamp, command string, note string, plan string, stage string")
+    runs = C.controlled(df)
+    got = {r.run_id: (r.status, r.stage, r.plan, r.error, r.retries, r.told) for r in runs.collect()}
+    assert got == {
+        "approved": ("succeeded", "completed", "p0", None, 0, ["applied"] * 4 + ["kept"]),
+        "edited": ("queued", "researcher", "p1", None, 1, ["applied", "applied", "refused", "applied", "applied"]),
+        "rejected": ("cancelled", "completed", "p1", "n2", 0, ["refused", "applied", "applied", "refused"]),
+        "unplanned": ("queued", "planner", None, None, 1, ["applied", "applied", "refused"]),
+    }
+    marks = spark.createDataFrame([("edited", "Q1", 2), ("edited", "Q2", 0), ("approved", "Q1", 1), ("unplanned", "Q1", 1)], "run_id string, q string, evidence int")
+    assert {(r.run_id, r.q, r.reused) for r in C.reusable(runs, marks).collect()} == {("edited", "Q1", True), ("edited", "Q2", False)}
+    empty = df.limit(0)
+    assert C.controlled(empty).count() == 0
+
+
+def test_numbering_goes_on_over_ranges(spark):
+    from corroborate.sources import files
+
+    rows = spark.range(200).selectExpr("id * 3 as ord", "concat('q', id) as question").repartition(7)
+    got = {r.query: r.id for r in files.normalised_cases(rows, "b").collect()}
+    assert got == {f"q{k}": f"case-{k + 1:04d}" for k in range(200)}
+
+
+def test_hybrid_search_degrades_with_its_reason(spark):
+    kw = spark.createDataFrame([("q", "a", 2.0, 1), ("q", "b", 1.0, 2)], "query_id string, doc_id string, score double, rank int")
+    vec = spark.createDataFrame([("q", "c", 0.9, 1), ("q", "b", 0.8, 2)], "query_id string, doc_id string, score double, rank int")
+
+    def broken():
+        raise ValueError("no model")
+
+    low = X.hybrid_sources(kw, broken, 1).collect()
+    assert [(r.doc_id, r["rank"], r.metadata["retrieval_degraded"], r.metadata["degrade_reason"]) for r in low] == [("a", 1, "true", "ValueError: no model")]
+    both = X.hybrid_sources(kw, lambda: vec, 3).orderBy("rank").collect()
+    assert [r.doc_id for r in both] == ["b", "a", "c"] and both[0].metadata["keyword_score"] == "1.0" and both[0].metadata["vector_rank"] == "2" and both[1].metadata["vector_score"] is None
