@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corroborate.llm import bpe, chat, decontam, exactdedup, langid, pii, simhash, toxicity, urlfilter, warc
+from corroborate.llm import bpe, chat, decontam, divergence, exactdedup, langid, pii, simhash, toxicity, urlfilter, warc
 from corroborate.session import table
 
 
@@ -82,7 +82,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_language_id, op4_bpe, op5_url_filter, op6_exact_dedup, op7_decontamination, op8_simhash, op9_pii, op10_chat_format)}
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lang, source, part, item, value, rank."""
+    return divergence.audit(spark, table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_language_id, op4_bpe, op5_url_filter, op6_exact_dedup, op7_decontamination, op8_simhash, op9_pii, op10_chat_format, op13_source_divergence)}
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -147,4 +152,36 @@ SELECT conv_id, count(*) AS n_turns,
   bool_and(before || '>' || role IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user',
            'assistant>tool', 'tool>tool', 'tool>assistant')) AND bool_or(from_end = 1 AND role = 'assistant') AS valid
 FROM o GROUP BY conv_id""",
+    "op13_source_divergence": r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), e AS MATERIALIZED (
+  SELECT k, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS MATERIALIZED (
+  SELECT lang, term, count(*) AS in_lang FROM e GROUP BY ALL HAVING count(DISTINCT k) >= 30
+), g AS MATERIALIZED (
+  SELECT DISTINCT lang, source FROM d
+), c AS MATERIALIZED (
+  SELECT lang, source, term, count(*) AS n FROM e SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), v AS (
+  SELECT lang, count(*) AS v, sum(in_lang) AS total FROM kept GROUP BY lang
+), t AS (
+  SELECT lang, source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL
+), p AS MATERIALIZED (
+  SELECT lang, source, term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 5)) // (t.total + 5 * v.v) AS p,
+         1 + (1000000000::HUGEINT * (in_lang + 5)) // (v.total + 5 * v.v) AS q
+  FROM t JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)
+), s AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), term AS (
+  SELECT lang, source, 'term' AS part, term AS item, CAST(p - q AS BIGINT) AS value FROM p WHERE n > 0 AND p > q
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM (SELECT * FROM pair UNION ALL SELECT * FROM term)
+)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 50""",
 }
