@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corroborate.llm import bpe, chat, decontam, divergence, exactdedup, langid, pii, simhash, toxicity, urlfilter, warc, whitening
+from corroborate.llm import bpe, chat, decontam, divergence, exactdedup, langid, mixing, pii, simhash, toxicity, urlfilter, warc, whitening
 from corroborate.session import table
 
 
@@ -87,12 +87,17 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark, table(spark, sf_dir, "embeddings"))
 
 
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, n_sources."""
+    return mixing.mix(spark, table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lang, source, part, item, value, rank."""
     return divergence.audit(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_language_id, op4_bpe, op5_url_filter, op6_exact_dedup, op7_decontamination, op8_simhash, op9_pii, op10_chat_format, op11_embedding_whitening, op13_source_divergence)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_language_id, op4_bpe, op5_url_filter, op6_exact_dedup, op7_decontamination, op8_simhash, op9_pii, op10_chat_format, op11_embedding_whitening, op12_source_mixing, op13_source_divergence)}
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
