@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corroborate.plans import control_queries, eval_queries, evidence_queries, extension_queries, research_queries, source_queries, text_queries
+from corroborate.plans import control_queries, eval_queries, evidence_queries, extension_queries, index_queries, research_queries, source_queries, text_queries
 
-_MODULES = (text_queries, evidence_queries, eval_queries, research_queries, extension_queries, control_queries, source_queries)
+_MODULES = (text_queries, evidence_queries, eval_queries, research_queries, extension_queries, control_queries, source_queries, index_queries)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
