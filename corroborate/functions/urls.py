@@ -76,6 +76,19 @@ def benchmark_url(url: Column) -> Column:
     return name.isin(DATA_HOSTS) & target.rlike(f"(?i){BENCHMARK_PATH}")
 
 
+def report_folder(path: Column) -> Column:
+    """The folder that holds the chapters of an html report, or null for other paths."""
+    root = F.regexp_replace(F.regexp_replace(path, r"(?i)\.html$", ""), "/+$", "")
+    return F.when(F.lower(path).endswith(".html") & (root != ""), F.concat(root, F.lit("/")))
+
+
+def folders(path: Column) -> Column:
+    """The beginnings of a path that end with a slash, but for the first slash alone."""
+    parts = F.split(path, "/")
+    places = F.sequence(F.lit(2), F.greatest(F.size(parts) - 1, F.lit(2)))
+    return F.when(F.size(parts) > 2, F.transform(places, lambda k: F.concat(F.array_join(F.slice(parts, 1, k), "/"), F.lit("/")))).otherwise(F.array().cast("array<string>"))
+
+
 def blocks(blocked: Column, candidate: Column) -> Column:
     """J12, on identities of one origin: the same path, or a chapter below a blocked html report."""
     root = F.regexp_replace(F.regexp_replace(blocked["path"], r"(?i)\.html$", ""), "/+$", "")

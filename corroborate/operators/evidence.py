@@ -71,15 +71,30 @@ def evidence_ready(status: Column, snippet_only: Column, crawler: Column, provid
     return ~F.coalesce(blocked, F.lit(False)) & F.when(provider == "gateway-web", F.coalesce(fetched, F.lit(False))).otherwise(F.lit(True))
 
 
+def _origin(c: str) -> Column:
+    return F.concat_ws("|", f"{c}.scheme", f"{c}.host", F.coalesce(F.col(f"{c}.port").cast("string"), F.lit("")))
+
+
 def denylisted(sources: DataFrame, blocked: DataFrame) -> DataFrame:
-    """Sources with a column blocked. blocked has one url a row; the join is by origin, the path rule comes after."""
+    """Sources with a column blocked; blocked has one url a row.
+
+    A rule is a key of origin and path, or of origin and the folder of a blocked html report; a source has the key of its path and
+    of each of its folders. Keys are hashes, met by an equi-join and then compared by their texts: an origin of many rules or
+    many sources is no key, and no source is tested against all rules of its origin. Rules are broadcast within small()'s
+    limit; beyond it the join shuffles the hashes, and Spark filters the sources' by a Bloom filter of the rules'."""
+    key = lambda c, kind, path: F.struct(F.xxhash64(F.lit(kind), _origin(c), path).alias("h"), F.lit(kind).alias("kind"), path.alias("path"))
     deny = blocked.select(U.identity(F.col("url")).alias("b")).filter("b is not null").distinct()
-    origin = lambda c: F.concat_ws("|", f"{c}.scheme", f"{c}.host", F.coalesce(F.col(f"{c}.port").cast("string"), F.lit("")))
-    rules = deny.groupBy(origin("b").alias("__origin")).agg(F.collect_set("b").alias("__rules"))
-    s = sources.withColumn("__id", U.identity(F.col("url"))).withColumn("__origin", origin("__id"))
-    told = s.join(small(rules), "__origin", "left")
-    hit = F.exists(F.coalesce("__rules", F.array().cast("array<struct<scheme:string,host:string,port:int,path:string>>")), lambda b: U.blocks(b, F.col("__id")))
-    return told.withColumn("blocked", F.coalesce(hit, F.lit(False)) | U.benchmark_url(F.col("url"))).drop("__id", "__origin", "__rules")
+    report = U.report_folder(F.col("b.path"))
+    rules = deny.select(_origin("b").alias("origin"), F.inline(F.array(key("b", "page", F.col("b.path")), F.when(report.isNotNull(), key("b", "folder", report))))).filter("h is not null").distinct()
+    s = sources.withColumn("__id", U.identity(F.col("url")))
+    ids = s.select("__id").filter("__id is not null").distinct()
+    folders = F.transform(U.folders(F.col("__id.path")), lambda p: key("__id", "folder", p))
+    asked = ids.select("__id", F.inline(F.concat(F.array(key("__id", "page", F.col("__id.path"))), folders)))
+    met = asked.join(small(rules.select(F.col("h").alias("rh"), F.col("kind").alias("rk"), F.col("path").alias("rp"), "origin")), F.col("h") == F.col("rh"))
+    hits = met.filter((F.col("kind") == F.col("rk")) & (F.col("path") == F.col("rp")) & (_origin("__id") == F.col("origin"))).select(F.col("__id").alias("__hit")).distinct()
+    hits = written(sources.sparkSession, hits, "blocked")
+    told = s.join(small(hits), F.col("__id") == F.col("__hit"), "left")
+    return told.withColumn("blocked", F.col("__hit").isNotNull() | F.coalesce(U.benchmark_url(F.col("url")), F.lit(False))).drop("__id", "__hit")
 
 
 def contaminated_content(content: Column, query: Column) -> Column:
