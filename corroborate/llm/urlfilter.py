@@ -5,13 +5,14 @@ the longest host, then the longest path, wins. Redirects (meta refresh) and cano
 components, found by distributed connected components; a url without a rule of its own takes over its
 component's decision: allow if any member is allowed by rule, else block if any is blocked, else allow.
 
-All such links of a page count, but for those in comments. Character references in a link are decoded, and the link is
+All such links of a page count, but for those in comments, in scripts and in other elements whose text is no markup. Tags and
+their attributes are read in order, quoted values as units. Character references in a link are decoded, and the link is
 resolved against the page's `<base>` or url. Nodes of the graph are urls without fragment, with scheme and host in
-lower case, without a default port or dot segments, and with `/` for an empty path.
+lower case, without a default port or dot segments, with `/` for an empty path, and with percent-escapes of unreserved
+signs decoded and those of others in capitals.
 
 Cases: a null url, or one without `://`, has empty host and path, fits no rule and is no node of the graph, nor is one
-without scheme or host; a tag ends at its first `>`; null
-html has no links; repeated urls are one node; links to oneself count for nothing, nor do those that aren't to
+without scheme or host; a tag whose quote is never closed is none; null html has no links; repeated urls are one node; links to oneself count for nothing, nor do those that aren't to
 a host (`mailto:`); a link's target need not be a page itself, its rule counts all the same; rows without a url go
 past the join, and urls of many rows are joined apart; other columns are never looked at; an empty table gives an empty result.
 """
@@ -26,8 +27,13 @@ from pyspark.sql import functions as F
 from corroborate.llm.graph import components
 from corroborate.session import answered, hot_keys, written
 
-TAG = r"(?is)<{name}\b([^>]*)>"
-ATTRIBUTE = r"""(?is)(?:^|[\s"'])(?:{name})\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+# what a tag holds up to its end: a quote counts right after `=` alone, and hides what is in it; an open one takes all that follows
+_HELD = r"""(?:[^>=]++|=[\s]*+(?:"[^"]*+(?:"|\z)|'[^']*+(?:'|\z))|=)*+"""
+TAG = rf"(?is)<([a-z][^\s/>]*+)({_HELD})(>?)"
+# comments, and elements whose text is no markup
+HIDDEN = rf"(?is)<!--(?:-?>|.*?(?:--!?>|\z))|<(script|style|textarea|title|template|xmp|iframe|noembed|noframes)(?=[\s/>]){_HELD}>.*?(?:</\1(?=[\s/>])|\z)"
+ATTRIBUTE = r"""(?is)([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+)))?"""
+_ESCAPE = r"(?s)^([0-9A-Fa-f]{2})(.*)$"
 NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
 REFERENCE = r"(?is)^(?:#x([0-9a-f]{1,6})|#([0-9]{1,7})|(amp|lt|gt|quot|apos));(.*)$"
 DELAYED = r"""(?is)^[\s0-9.]*[;,]?\s*(?:url\s*=\s*)?["']?([^"']*)"""
@@ -71,9 +77,11 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> Colu
 
 
 def _attribute(tag: Column, name: str) -> Column:
-    """The first value of an attribute of a tag as it is written, or ''."""
-    at = ATTRIBUTE.format(name=name)
-    return F.concat(*[F.regexp_extract(tag, at, k) for k in (1, 2, 3)])
+    """The first value of an attribute in what a tag holds, as it is written, or ''. Attributes are read in order, so none is found in another's value."""
+    names, *values = (F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(k)) for k in (1, 2, 3, 4))
+    both = lambda a, b: F.concat(a, b)
+    each = F.zip_with(names, F.zip_with(values[0], F.zip_with(values[1], values[2], both), both), lambda n, v: F.struct(F.lower(n).alias("n"), v.alias("v")))
+    return F.coalesce(F.get(F.filter(each, lambda x: x["n"] == name), F.lit(0))["v"], F.lit(""))
 
 
 def decoded(text: Column) -> Column:
@@ -91,6 +99,19 @@ def decoded(text: Column) -> Column:
     return F.when(text.contains("&"), F.array_join(first, "")).otherwise(text)
 
 
+def _plain(text: Column) -> Column:
+    """Percent-escapes of unreserved signs as the signs, those of others in capitals; a `%` without two hex digits stays."""
+
+    def piece(p: Column) -> Column:
+        code = F.conv(F.regexp_extract(p, _ESCAPE, 1), 16, 10).cast("int")
+        sign = F.chr(code)
+        rest = F.regexp_extract(p, _ESCAPE, 2)
+        return F.when(~p.rlike(_ESCAPE), F.concat(F.lit("%"), p)).when(sign.rlike(r"^[A-Za-z0-9._~-]$"), F.concat(sign, rest)).otherwise(F.concat(F.lit("%"), F.upper(F.substring(p, 1, 2)), rest))
+
+    whole = F.array_join(F.transform(F.split(text, "%"), lambda p, i: F.when(i == 0, p).otherwise(piece(p))), "")
+    return F.when(text.contains("%"), whole).otherwise(text)
+
+
 def _dotless(path: Column) -> Column:
     """A path that begins with `/`, its `.` and `..` segments resolved."""
     back = lambda acc: F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
@@ -108,7 +129,7 @@ def staged(rows: DataFrame, **columns: Column) -> DataFrame:
 
 def with_node(rows: DataFrame, url: str, out: str) -> DataFrame:
     """rows with the node of the column url, null where it has no scheme or host."""
-    part = staged(rows, __s=_lower(F.regexp_extract(url, _PARTS, 1)), __h=F.regexp_replace(_lower(F.regexp_extract(url, _PARTS, 2)), ":$", ""), __p=F.regexp_extract(url, _PARTS, 3), __q=F.regexp_extract(url, _PARTS, 4))
+    part = staged(rows, __s=_lower(F.regexp_extract(url, _PARTS, 1)), __h=F.regexp_replace(_lower(F.regexp_extract(url, _PARTS, 2)), ":$", ""), __p=_plain(F.regexp_extract(url, _PARTS, 3)), __q=_plain(F.regexp_extract(url, _PARTS, 4)))
     host = F.when(F.col("__s") == "http", F.regexp_replace("__h", ":80$", "")).when(F.col("__s") == "https", F.regexp_replace("__h", ":443$", "")).otherwise(F.col("__h"))
     node = F.when((F.col("__s") != "") & (F.col("__h") != ""), F.concat(F.col("__s"), F.lit("://"), host, F.when(F.col("__p") == "", "/").otherwise(_dotless(F.col("__p"))), F.col("__q")))
     return staged(part, **{out: node}).drop("__s", "__h", "__p", "__q")
@@ -133,11 +154,15 @@ def with_resolved(rows: DataFrame, link: str, base: str, out: str) -> DataFrame:
 
 def edges_of(pages: DataFrame) -> DataFrame:
     """(source, target) nodes of canonical links and refreshes in the html, none to oneself."""
-    linked = pages.filter(F.col("url").contains("://") & (F.lower("html").contains("canonical") | F.lower("html").contains("refresh"))).select("url", F.regexp_replace("html", "(?s)<!--.*?(?:-->|$)", "").alias("h"))
-    tags = lambda name: F.regexp_extract_all("h", F.lit(TAG.format(name=name)), F.lit(1))
-    marked = lambda name: F.transform(tags(name), lambda t: F.struct(F.lit(name).alias("kind"), t.alias("tag")))
-    each = linked.select("url", tags("base").alias("base"), F.explode(F.concat(marked("link"), marked("meta"))).alias("x"))
-    wanted = each.select("url", F.get("base", F.lit(0)).alias("base"), "x.kind", "x.tag").filter((F.col("kind") == "link") & _attribute(F.col("tag"), "rel").rlike(r"(?i)(?:^|\s)canonical(?:$|\s)") | (F.col("kind") == "meta") & _attribute(F.col("tag"), "http-equiv").rlike(r"(?i)^\s*refresh\s*$"))
+    linked = pages.filter(F.col("url").contains("://") & (F.lower("html").contains("canonical") | F.lower("html").contains("refresh")))
+    seen = staged(linked.select("url", "html"), h=F.regexp_replace("html", HIDDEN, "")).select("url", "h")
+    pieces = lambda k: F.regexp_extract_all("h", F.lit(TAG), F.lit(k))
+    closed = F.zip_with(pieces(2), pieces(3), lambda t, e: F.when(e == ">", t))
+    tags = F.zip_with(pieces(1), closed, lambda n, t: F.struct(F.lower(n).alias("kind"), t.alias("tag")))
+    some = staged(seen, tags=F.filter(tags, lambda x: x["kind"].isin("base", "link", "meta") & x["tag"].isNotNull())).select("url", "tags")
+    base = F.get(F.filter("tags", lambda x: x["kind"] == "base"), F.lit(0))["tag"]
+    each = some.select("url", base.alias("base"), F.explode("tags").alias("x"))
+    wanted = each.select("url", "base", "x.kind", "x.tag").filter((F.col("kind") == "link") & _attribute(F.col("tag"), "rel").rlike(r"(?i)(?:^|\s)canonical(?:$|\s)") | (F.col("kind") == "meta") & _attribute(F.col("tag"), "http-equiv").rlike(r"(?i)^\s*refresh\s*$"))
     written_out = staged(wanted, __base=_attribute(F.col("base"), "href"), __text=F.when(F.col("kind") == "link", _attribute(F.col("tag"), "href")).otherwise(_attribute(F.col("tag"), "content")))
     text = staged(written_out, above=decoded(F.col("__base")), text=decoded(F.col("__text")))
     link = F.when(F.col("kind") == "link", F.col("text")).otherwise(F.regexp_extract("text", DELAYED, 1))

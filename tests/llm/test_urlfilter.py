@@ -59,6 +59,105 @@ def test_links_of_all_kinds_are_found_and_resolved(spark):
     assert U.edges_of(spark.createDataFrame([("https://a.com/", several)], "url string, html string")).count() == 4
 
 
+def found(spark, rows):
+    """{k: sorted targets} of rows (k, url, html)."""
+    edges = U.edges_of(spark.createDataFrame([(u, h) for _, u, h in rows], "url string, html string")).collect()
+    return {k: sorted(e.target for e in edges if e.source == u) for k, u, _ in rows}
+
+
+def test_tags_attributes_and_hidden_text(spark):
+    bad = '<link rel=canonical href=https://bad.net/p>'
+    cases = [
+        ('<link rel="canonical" title="see href=https://bad.net/p" href="https://ok.org/q">', ["https://ok.org/q"]),
+        ('<link rel="canonical" data-x="1>0" href="https://bad.net/p">', ["https://bad.net/p"]),
+        (f'<script>var s="{bad}"</script>', []),
+        (f"<SCRIPT type='a>b'>{bad}</script ><style>{bad}</style><textarea>{bad}</textarea><title>{bad}</title><template>{bad}</template>", []),
+        (f"<script>// <!-- </script>{bad}<!-- <script> -->{bad.replace('/p', '/r')}", ["https://bad.net/p", "https://bad.net/r"]),
+        (f"<div data-x='{bad}'>", []),
+        (f'<a title="x" y=">{bad}', []),
+        (f"<!-->{bad}<!--->{bad.replace('/p', '/r')}", ["https://bad.net/p", "https://bad.net/r"]),
+        (f"<p title=it's>{bad}<p title='>", ["https://bad.net/p"]),
+        (f"<scripted>{bad}</scripted><linker rel=canonical href=/no>", ["https://bad.net/p"]),
+        ("<link rel = canonical HREF = 'https://a.org/x?y=\"1\"' href=/second/>", ['https://a.org/x?y="1"']),
+        ("<link/rel=canonical/href=/s/>", []),
+        ("<link rel=canonical href=/a%7Eb/%2e%2E/c%3ad%zz?%41=%2f>", ["https://page10.com/c%3Ad%zz?A=%2F"]),
+        ("<base data-href='/no' href='https://b.org/d/'><link rel=canonical href=e>", ["https://b.org/d/e"]),
+        (f"<script>{bad}", []),
+        (bad + "<i>text</i>" * 60_000 + bad.replace("/p", "/r") + "<p title=" + '"x" a=' * 30_000 + ">", ["https://bad.net/p", "https://bad.net/r"]),
+    ]
+    rows = [(k, f"https://page{k}.com/", html.replace("page10", f"page{k}")) for k, (html, _) in enumerate(cases)]
+    assert found(spark, rows) == {k: [w.replace("page10", f"page{k}") for w in want] for k, (_, want) in enumerate(cases)}
+
+
+def test_escaped_and_plain_urls_are_one_node(spark):
+    rows = [(1, "https://one.com/%7Ex", '<link rel="canonical" href="https://bad.net/p">'), (2, "https://one.com/~x", None), (3, "https://one.com/%7ex#f", None), (4, "https://one.com/%2Fx", None), (5, "https://one.com/%2fx", None), (6, "https://one.com//x", None)]
+    got = judged(spark, rows)
+    assert {k for k, r in got.items() if r.verdict == "block"} == {1, 2, 3}
+
+
+def test_links_are_those_of_a_plain_parser(spark):
+    """Pages put together at random from pieces on which html.parser and the standard agree."""
+    import random
+    from html.parser import HTMLParser
+    from urllib.parse import urljoin
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.links, self.base = [], None
+
+        def handle_starttag(self, tag, attrs):
+            a = {}
+            for n, v in attrs:
+                a.setdefault(n, v or "")
+            if tag == "base" and self.base is None:
+                self.base = a.get("href", "")
+            if tag == "link" and "canonical" in a.get("rel", "").lower().split() and a.get("href"):
+                self.links.append(a["href"])
+            if tag == "meta" and a.get("http-equiv", "").strip().lower() == "refresh" and "url=" in a.get("content", ""):
+                self.links.append(a["content"].split("url=", 1)[1])
+
+        handle_startendtag = handle_starttag
+
+    rng = random.Random(8)
+    n = iter(range(10**6))
+    value = lambda: rng.choice(["/p{}", "q{}?a=b", "https://x{}.org/z", "//y{}.net/", "/a>b{}", "/{}?t=href", "/it&amp;s{}"]).format(next(n))
+
+    def attribute(name, v):
+        quote = rng.choice("\"'" + ("" if set(v) & set("> '\"=") else " "))
+        return f"{rng.choice([name, name.upper()])}{rng.choice(['=', ' = '])}" + (f"{quote}{v}{quote}" if quote != " " else v)
+
+    def link():
+        more = [attribute(f"data-{k}", rng.choice(["1>0", "see href=/no", "rel=canonical", "<link rel=canonical href=/no>", "plain"])) for k in range(rng.randrange(3))]
+        own = [attribute("rel", rng.choice(["canonical", "x CANONICAL", "stylesheet", "canonicals"])), attribute("href", value())]
+        parts = own + more
+        rng.shuffle(parts)
+        return f"<{rng.choice(['link', 'LINK'])} {' '.join(parts)} {rng.choice(['', '/'])}>"
+
+    def meta():
+        parts = [attribute("http-equiv", rng.choice(["refresh", " Refresh ", "refreshed"])), attribute("content", f"{rng.randrange(9)}; url={value()}")]
+        rng.shuffle(parts)
+        return f"<meta {' '.join(parts)}>"
+
+    def piece():
+        kind = rng.randrange(8)
+        return [link, meta, lambda: f"<!-- {link()} -->", lambda: f"<script>{link()}</script>", lambda: f"<style>{link()}</style>", lambda: f"<p {attribute('title', 'a > b')}>text & more</p>", lambda: f"<div {attribute('data-x', '<meta http-equiv=refresh content=0;url=/no>')}>", link][kind]()
+
+    rows, want = [], {}
+    for k in range(150):
+        html = "".join(piece() for _ in range(rng.randrange(1, 9)))
+        if rng.random() < 0.2:
+            html = f'<base href="/base{k}/">' + html
+        url = f"https://page{k}.com/dir/file"
+        p = Plain()
+        p.feed(html)
+        p.close()
+        base = urljoin(url, p.base) if p.base else url
+        want[k] = sorted(urljoin(base, x) for x in p.links)
+        rows.append((k, url, html))
+    assert found(spark, rows) == want and sum(map(len, want.values())) > 100
+
+
 def test_relative_and_encoded_links_pass_decisions_on(spark):
     rows = [
         (1, "https://one.com/a", '<link rel="canonical" href="/c">'),
