@@ -1,6 +1,6 @@
 """A keyword index of blocks of documents with bounds, for top-k by shared tokens without reading the texts again.
 
-Documents of like numbers of distinct tokens lie together in blocks of a few. A block holds its distinct tokens, each with
+Documents of like numbers of distinct tokens lie together in blocks of a few, long ones in blocks of fewer. A block holds its distinct tokens, each with
 a bit for every document that has it; its head holds only hashes of the tokens and the largest number of tokens of a document. A
 query can share with any document of a block no more tokens than it shares hashes with the head, nor more than that number.
 
@@ -27,6 +27,7 @@ from corroborate.operators import retrieval as X
 from corroborate.session import ship, written
 
 DOCS = 16  # documents of a block, at most 63
+TOKENS = 4096  # tokens of a block, unless one document has more
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -47,9 +48,13 @@ def _build(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for at in range(0, len(batch), size):
-                yield block(number, pa.record_batch([pa.concat_arrays([c.slice(at, size), c.slice(0, 0)]) for c in batch.columns], ["doc_id", "tokens"]))
-                number += 1
+            at, held = 0, 0
+            many = batch.column(1).value_lengths().to_pylist()
+            for end in range(1, len(batch) + 1):
+                held += many[end - 1]
+                if end == len(batch) or end - at == size or held + many[end] > TOKENS:
+                    yield block(number, pa.record_batch([pa.concat_arrays([c.slice(at, end - at), c.slice(0, 0)]) for c in batch.columns], ["doc_id", "tokens"]))
+                    number, at, held = number + 1, end, 0
 
     return run
 

@@ -28,6 +28,7 @@ def test_keyword_index_gives_the_rows_of_the_scan_and_skips_most_blocks(spark):
 def test_keyword_index_of_odd_texts(spark, monkeypatch, size, k):
     monkeypatch.setattr(X, "BLOCK", 3)  # several blocks of queries
     monkeypatch.setattr(X, "CELLS", 64)
+    monkeypatch.setattr(K, "TOKENS", 40)
     words = [f"w{i}" for i in range(12)]
     rng = np.random.default_rng(5)
     texts = [" ".join(rng.choice(words, rng.integers(0, 9))) for _ in range(70)] + [None, "", "w1 w2"] * 3 + ["w1 w2 w3"] * 20 + [" ".join(f"x{i}" for i in range(20_000)) + " w5"]
