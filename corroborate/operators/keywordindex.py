@@ -4,9 +4,10 @@ Documents of like numbers of distinct tokens lie together in blocks of a few, lo
 a bit for every document that has it; its head holds only hashes of the tokens and the largest number of tokens of a document. A
 query can share with any document of a block no more tokens than it shares hashes with the head, nor more than that number.
 
-A search reads the heads, scores each query's k most promising blocks, and has so a k-th score that the true one can't be below.
-A second pass over the heads names, block by block, the queries whose k-th score the block can reach. Only these pairs are
-scored, by a join on the block; pairs of query and document never are rows of a shuffle but for each task's first k.
+A search reads the heads, scores each query's k most promising blocks (a broadcast of k pairs a query), and has so a k-th score that
+the true one can't be below. It then reads the blocks, and of each scores the documents only for those queries whose k-th score
+the block can reach. Neither blocks nor texts are shuffled, by the build or by a search, nor are pairs of query and
+document but for each task's first k.
 
 Cases: as keyword_topk, whose rows it returns: a null text has no token, documents that share nothing fill up, ties go to the smaller
 doc_id, which is unique; a block's hash that meets by chance raises a bound and never lowers it.
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,7 +73,7 @@ class Asked:
 
     def place(self, values: pa.Array) -> np.ndarray:
         """The place of each of values among the queries', -1 without one."""
-        return pa.compute.index_in(values, self.values).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        return pc.index_in(values, self.values).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
 
     def met(self, lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, element, query) of every meeting of an element of a row's list with a query."""
@@ -111,43 +113,46 @@ def _promising(held, k: int):
     return run
 
 
-def _reaching(held, least: np.ndarray):
-    """Of heads the blocks (block, qs) whose bound reaches the least score of any query."""
+def _reached(held, least: np.ndarray):
+    """Of heads how many pairs of query and block can reach the query's least score, as one row (pairs) a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _parts(batch, held.value.n):
-                row, q = np.nonzero(held.value.bounds(part) >= least)
-                rows, at = np.unique(row, return_index=True)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(row)).astype(np.int32)), pa.array(q.astype(np.int32)))
-                yield pa.record_batch([part.column(0).take(pa.array(rows)), lists], ["block", "qs"])
+                yield pa.record_batch([pa.array([int((held.value.bounds(part) >= least).sum())])], ["pairs"])
 
     return run
 
 
-def _scored(held, k: int, size: int):
-    """Of blocks (ids, tokens, masks, qs) what may be among the first k of a query, as rows (q, doc_id, score)."""
+def _scored(held, k: int, size: int, least: np.ndarray | None):
+    """Of blocks (ids, tokens, masks, most or queries) what may be among the first k of a query, as rows (q, doc_id, score).
+
+    With least, the least scores, for all queries that a block can reach; else for those that its last column names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = held.value
         for batch in batches:
             for part in _parts(batch, asked.n, size):
                 n = len(part)
-                wanted = np.zeros((n, asked.n), bool)
-                row, q = _lists(part.column(3))
-                wanted[row, q.to_numpy(zero_copy_only=False)] = True
                 row, element, q = asked.met(part.column(1))
+                if least is None:
+                    wanted = np.zeros((n, asked.n), bool)
+                    of, named = _lists(part.column(3))
+                    wanted[of, named.to_numpy(zero_copy_only=False)] = True
+                else:
+                    met = np.bincount(row * asked.n + q, minlength=n * asked.n).reshape(n, asked.n)
+                    wanted = np.minimum(met, part.column(3).to_numpy(zero_copy_only=False)[:, None]) >= least
                 use = wanted[row, q]
                 row, mask, q = row[use], part.column(2).flatten().to_numpy(zero_copy_only=False)[element[use]], q[use]
                 of, ids = _lists(part.column(0))
                 place = np.arange(len(of)) - np.searchsorted(of, of)
-                shared = np.zeros((n, size, asked.n), np.int64)
+                shared = np.zeros((n, size, asked.n), np.int32)
                 for bit in range(size):
                     one = mask >> bit & 1 > 0
                     shared[:, bit] = np.bincount(row[one] * asked.n + q[one], minlength=n * asked.n).reshape(n, asked.n)
-                order = pa.compute.sort_indices(ids).to_numpy(zero_copy_only=False)
+                order = pc.sort_indices(ids).to_numpy(zero_copy_only=False)
                 ids, shared = ids.take(pa.array(order)), shared[of, place][order]
-                value = shared * len(ids) + np.arange(len(ids))[::-1, None]  # more tokens first, then the smaller doc_id
+                value = shared.astype(np.int64) * len(ids) + np.arange(len(ids))[::-1, None]  # more tokens first, then the smaller doc_id
                 first = np.argpartition(-value, k - 1, axis=0)[:k] if len(ids) > k else np.broadcast_to(np.arange(len(ids))[:, None], shared.shape)
                 found = np.take_along_axis(shared, first, 0)
                 at, q = np.nonzero(found)
@@ -157,17 +162,16 @@ def _scored(held, k: int, size: int):
 
 
 class KeywordIndex:
-    """W1, J2 over a stored index of corpus (doc_id, text). read tells, after a search, the pairs of query and block that were scored, and all of them."""
+    """W1, J2 over a stored index of corpus (doc_id, text)."""
 
     def __init__(self, corpus: DataFrame, size: int = DOCS) -> None:
         spark = corpus.sparkSession
         ship(spark)
-        self.corpus, self.size, self.read = corpus, size, (0, 0)
+        self.corpus, self.size, self.searched = corpus, size, []
         self.kind = corpus.schema["doc_id"].dataType.simpleString()
         tokens = F.coalesce(T.tokens(F.col("text")), F.array().cast("array<string>"))
         docs = corpus.select("doc_id", tokens.alias("tokens")).withColumn("n", F.size("tokens")).withColumn("h", F.xxhash64("doc_id"))
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        near = docs.repartitionByRange(parts, "n", "h").sortWithinPartitions("n", "h").select("doc_id", "tokens")
+        near = docs.sortWithinPartitions("n", "h").select("doc_id", "tokens")
         self.blocks = written(spark, near.mapInArrow(_build(size), f"block long, most int, ids array<{self.kind}>, tokens array<string>, masks array<long>"), "blocks")
         self.heads = written(spark, self.blocks.select("block", "most", F.transform("tokens", lambda t: F.hash(t)).alias("hashes")), "heads")
         self.n = self.heads.count()
@@ -178,27 +182,32 @@ class KeywordIndex:
         asked = queries.select("query_id", F.coalesce(T.tokens(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
         hashed = asked.withColumn("hashes", F.transform("tokens", lambda t: F.hash(t)))
         order = [F.desc("score"), F.asc("doc_id")]
-        out, parts, read, total = [], max(1, -(-queries.count() // X.BLOCK)), 0, 0
+        out, parts, self.searched = [], max(1, -(-queries.count() // X.BLOCK)), []
+        columns, result = ["ids", "tokens", "masks"], f"q int, doc_id {self.kind}, score double"
         for block in X._blocks(hashed, parts):
             if not len(block):
                 continue
             whole, heads = (spark.sparkContext.broadcast(Asked(block.column(c).combine_chunks())) for c in ("tokens", "hashes"))
-            score = lambda pairs, whole=whole: pairs.join(self.blocks.select("block", "ids", "tokens", "masks"), "block").select("ids", "tokens", "masks", "qs").mapInArrow(_scored(whole, k, self.size), f"q int, doc_id {self.kind}, score double")
             best = X.top_k(self.heads.mapInArrow(_promising(heads, k), "q int, block long, bound int"), k, [F.desc("bound"), F.asc("block")], by="q")
-            tried = X.top_k(score(best.groupBy("block").agg(F.collect_list("q").alias("qs"))), k, order, by="q")
+            best = written(spark, best.groupBy("block").agg(F.collect_list("q").alias("qs")), "best")  # k pairs a query of the block
+            tried = self.blocks.select("block", *columns).join(F.broadcast(best), "block").select(*columns, "qs")
+            tried = X.top_k(tried.mapInArrow(_scored(whole, k, self.size, None), result), k, order, by="q")
             least = np.ones(len(block))
             for r in tried.filter(F.col("rank") == k).select("q", "score").collect():  # one row a query of the block
                 least[r.q] = round(r.score - X.FLOOR)
-            pairs = written(spark, self.heads.mapInArrow(_reaching(heads, least), "block long, qs array<int>"), "pairs")
-            read += pairs.agg(F.coalesce(F.sum(F.size("qs")), F.lit(0))).first()[0]
-            total += self.n * len(block)
+            self.searched.append((heads, least))
             names = spark.createDataFrame(pa.table({"q": pa.array(range(len(block)), pa.int32()), "query_id": block.column("query_id")}))
-            found = X.top_k(score(pairs), k, order, by="q").join(F.broadcast(names), "q").select("query_id", "doc_id", "score")
+            found = X.top_k(self.blocks.select(*columns, "most").mapInArrow(_scored(whole, k, self.size, least), result), k, order, by="q")
+            found = found.join(F.broadcast(names), "q").select("query_id", "doc_id", "score")
             out.append(written(spark, found, "found") if parts > 1 else found)
-        self.read = (read, total)
         # as in keyword_topk: the first k documents that share nothing fill up where fewer than k share a token
         first = self.corpus.orderBy("doc_id").limit(2 * k).select("doc_id", F.coalesce(T.tokens(F.col("text")), F.array().cast("array<string>")).alias("d"))
         scored = asked.join(F.broadcast(first)).filter(F.size(F.array_intersect("tokens", "d")) == 0).select("query_id", "doc_id", F.lit(X.FLOOR).alias("score"))
         for found in out:
             scored = scored.unionByName(found)
         return X.top_k(scored, k, order).select("query_id", "doc_id", "score", "rank")
+
+    def read(self) -> tuple[int, int]:
+        """Of the last search the pairs of query and block that the heads' bounds let through, and all of them."""
+        counts = [self.heads.mapInArrow(_reached(heads, least), "pairs long").agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0] for heads, least in self.searched]
+        return sum(counts), self.n * sum(len(least) for _, least in self.searched)

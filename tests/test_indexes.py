@@ -20,7 +20,7 @@ def test_keyword_index_gives_the_rows_of_the_scan_and_skips_most_blocks(spark):
     asked = spark.read.parquet(f"{SF}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
     index = K.KeywordIndex(docs)
     assert rows(index.search(asked, 10)) == rows(X.keyword_topk(asked, docs, 10))
-    read, total = index.read
+    read, total = index.read()
     assert 0 < read < total / 2
 
 
