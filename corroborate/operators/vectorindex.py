@@ -14,9 +14,8 @@ have one length; an empty index finds nothing.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -84,7 +83,7 @@ def fit(x: np.ndarray, lists: int = LISTS, parts: int = PARTS, words: int = 256,
 
 
 class CodeBlock:
-    """Some unit queries' tables and lists; picks among values (list, code)."""
+    """Some unit queries' tables and lists."""
 
     def __init__(self, book: Codebook, probes: int, block: pa.Table, k: int) -> None:
         asked = X._unit(block.column("embedding").combine_chunks())
@@ -94,19 +93,50 @@ class CodeBlock:
         self.takes = np.zeros(self.base.shape, bool)
         np.put_along_axis(self.takes, rank, True, 0)
 
-    def pick(self, values: pa.Array) -> X.Picked:
-        lists = values.field("list").to_numpy(zero_copy_only=False)
-        codes = np.frombuffer(b"".join(values.field("code").to_pylist()), np.uint8).reshape(len(values), -1)
-        score = np.full((len(values), self.base.shape[1]), -np.inf)
+    def pick(self, lists: np.ndarray, codes: np.ndarray, least: np.ndarray) -> X.Picked:
+        """The rows, queries and scores that are above a query's least and may be among its first k."""
+        score = np.full((len(lists), self.base.shape[1]), -np.inf)
         for one in np.unique(lists):
             rows, of = np.flatnonzero(lists == one), np.flatnonzero(self.takes[one])
             if len(of):
                 part = self.tables[:, :, of]
                 score[np.ix_(rows, of)] = self.base[one, of] + sum(part[p][codes[rows, p]] for p in range(codes.shape[1]))
-        least = np.partition(score, len(score) - self.k, axis=0)[len(score) - self.k] if len(score) > self.k else np.full(score.shape[1], -np.inf)
-        rows, of = np.nonzero((score >= least) & (score > -np.inf))
+        rows, of = np.nonzero(score > least)
         return rows, of, score[rows, of]
 
+    def first(self, of: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of each query's first k, the k-th score of each query or -inf)."""
+        order = np.lexsort((-score, of))
+        sorted_ = of[order]
+        rank = np.arange(len(order)) - np.searchsorted(sorted_, sorted_)
+        least = np.full(self.base.shape[1], -np.inf)
+        last = order[rank == self.k - 1]
+        least[of[last]] = score[last]
+        return order[rank < self.k], least
+
+
+def _best(held, step: int):
+    """Of codes (doc_id, list, code) each query's first k of the task, as rows (q, doc_id, score): what is held on to stays bounded by a few times k a query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = held.value
+        ids, of, score, least = None, np.empty(0, np.int64), np.empty(0), np.full(block.base.shape[1], -np.inf)
+        for batch in batches:
+            for at in range(0, len(batch), step):
+                part = batch.slice(at, step)
+                codes = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(part), -1)
+                rows, q, s = block.pick(part.column(1).to_numpy(zero_copy_only=False), codes, least)
+                new = part.column(0).take(pa.array(rows))
+                ids, of, score = (new if ids is None else pa.concat_arrays([ids, new])), np.append(of, q), np.append(score, s)
+                if len(of) > 2 * block.k * len(least):
+                    keep, least = block.first(of, score)
+                    ids, of, score = ids.take(pa.array(keep)), of[keep], score[keep]
+        if ids is not None:
+            keep, _ = block.first(of, score)
+            yield pa.record_batch([pa.array(of[keep].astype(np.int32)), ids.take(pa.array(keep)), pa.array(score[keep])], ["q", "doc_id", "score"])
+
+    return run
+
 
 def _exact(spark: SparkSession) -> Callable:
     ship(spark)
@@ -156,17 +186,26 @@ class QuantisedIndex:
         return max(k, min(self.best * k, self.n // SHARE))
 
     def candidates(self, queries: DataFrame, k: int) -> DataFrame:
-        """The ranked(k) best codes of each query: query_id, doc_id, score, rank."""
+        """The ranked(k) best codes of each query: query_id, doc_id, score."""
+        spark, most = queries.sparkSession, self.ranked(k)
         asked = queries.filter("embedding is not null").select("query_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
-        values = self.codes.select("doc_id", F.struct("list", "code").alias("value"))
-        return X._scan(values, asked, self.ranked(k), partial(CodeBlock, self.book, self.probes), [F.desc("score"), F.asc("doc_id")])
+        out, n = None, max(1, -(-asked.count() // X.BLOCK))
+        for block in X._blocks(asked, n):
+            held = spark.sparkContext.broadcast(CodeBlock(self.book, self.probes, block, most))
+            names = spark.createDataFrame(pa.table({"q": pa.array(range(len(block)), pa.int32()), "query_id": block.column("query_id")}))
+            doc = self.codes.schema["doc_id"].dataType.simpleString()
+            found = self.codes.select("doc_id", "list", "code").mapInArrow(_best(held, max(1, X.CELLS // max(1, len(block)))), f"q int, doc_id {doc}, score double")
+            first = X.top_k(found, most, [F.desc("score"), F.asc("doc_id")], by="q").join(F.broadcast(names), "q").select("query_id", "doc_id", "score")
+            first = written(spark, first, "candidates") if n > 1 else first
+            out = first if out is None else out.unionByName(first)
+        return out
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         spark = self.vectors.sparkSession
         if not self.book:
             kinds = [d.schema[i].dataType.simpleString() for d, i in ((queries, "query_id"), (self.vectors, "doc_id"))]
             return spark.createDataFrame([], f"query_id {kinds[0]}, doc_id {kinds[1]}, score double, rank int")
-        picked = X.top_k(self.candidates(queries, k).drop("rank"), self.ranked(k), [F.desc("score"), F.asc("doc_id")]).select("query_id", "doc_id")
+        picked = self.candidates(queries, k).select("query_id", "doc_id")
         asked = queries.select("query_id", F.transform("embedding", lambda x: x.cast("double")).alias("asked"))
         met = picked.join(self.vectors, "doc_id").join(X.small(asked), "query_id")
         scored = met.select("query_id", "doc_id", _exact(spark)(F.col("asked"), F.col("embedding")).alias("score"))
