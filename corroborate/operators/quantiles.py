@@ -37,7 +37,8 @@ def percentiles(rows: DataFrame, by: list[str], value: str, points: dict[str, fl
     """A4: by, and for each name in points its percentile of value, of groups with values."""
     spark = rows.sparkSession
     key = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
-    base = rows.select(key.alias("g"), F.col(value).cast("double").alias("v")).filter("v is not null")
+    # groups and values alone, once: every pass reads these, not what rows are made of
+    base = written(spark, rows.select(key.alias("g"), F.col(value).cast("double").alias("v")).filter("v is not null"), "values")
     ends = base.groupBy("g").agg(F.count("*").alias("here"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     wanted = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(p)).alias("p")) for n, p in points.items()])).alias("x")
     ranks = ends.select("g", "here", "lo", "hi", wanted).withColumn("pos", F.col("x.p") * (F.col("here") - 1))

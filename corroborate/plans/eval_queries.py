@@ -11,10 +11,11 @@ from corroborate.functions import text as T
 from corroborate.operators import evidence as E
 from corroborate.operators import judging as J
 from corroborate.operators import metrics as M
-from corroborate.operators import quantiles as Q
 from corroborate.operators import packing as P
+from corroborate.operators import quantiles as Q
 from corroborate.operators import replay as R
 from corroborate.operators import runlog as L
+from corroborate.operators.retrieval import small
 from corroborate.plans import eval_oracles
 from corroborate.plans.evidence_queries import hits, keyword_topk
 from corroborate.session import table
@@ -37,7 +38,7 @@ def pack_context(spark, sf_dir):
 
 def _cases(spark, sf_dir):
     """Labelled documents as case records."""
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    d = table(spark, sf_dir, "documents").join(small(table(spark, sf_dir, "labels")), "doc_id")
     total = F.pmod("doc_id", F.lit(4))
     supported = F.when(F.col("quality") == 1, total).otherwise(F.greatest(total - 1, F.lit(0)))
     return M.case_metrics(
