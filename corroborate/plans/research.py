@@ -30,6 +30,7 @@ DEEP = (
     ("analysis", "What causal mechanisms, tradeoffs, disagreements, and limitations shape: {}?", "Create an analysis section that distinguishes evidence from interpretation."),
     ("implications", "What conclusions, implications, and unresolved questions follow from the evidence about: {}?", "Close the report by answering the task directly and identifying genuine evidence gaps."),
 )
+# The names of actions that end a round or go on, and what a report without evidence says.
 STOP_ACTIONS = ["stop", "answer", "complete", "done", "finish", "finished", "skip", "sufficient", "synthesize"]
 GO_ACTIONS = ["need_follow_up", "continue_search", "gather_more", "research", "search"]
 NO_EVIDENCE = "现有检索结果不足以形成可验证结论。"

@@ -22,6 +22,7 @@ MOCK = (
     ("Trace and cost attribution", "https://example.local/trace-cost", "Structured trace logs and per-stage token accounting make it possible to explain latency, cost, and failure recovery for each stage of a multi-agent research pipeline."),
     ("Benchmark harness design", "https://example.local/benchmark-harness", "A reproducible benchmark harness records seed, configuration, latency, token estimates, source counts, citation retention, and task success for every research case."),
 )
+# Words that query candidates leave out, the providers, and which one stands in for another.
 STOP = [
     "about", "agent", "agents", "and", "are", "between", "compare", "compared", "common", "does", "from", "have", "how", "implement", "implemented", "into", "needed",
     "should", "that", "the", "their", "used", "what", "when", "where", "which", "why", "with",
