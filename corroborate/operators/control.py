@@ -1,88 +1,21 @@
-"""Run control: the commands of a controller and its workers as an event log, folded by one table of rules.
-
-Commands are rows (run_id, ord, ts, command, note, plan, stage). Each names a rule: from which statuses it may go, whether
-the run must be free of a live lease, and where it leads. A command that its run's state does not allow changes nothing and is
-told as refused, so lost races are rows and not exceptions. A second cancel of a run that has ended is no error: it is kept.
-"""
+"""Run control: the commands of a controller, folded by the rules of `runrules` with the leases of workers, and worker loops."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ENDED = ("succeeded", "failed", "cancelled")
-OPEN = ("queued", "running", "waiting_approval")
-RUN = "status string, stage string, plan string, error string, retries int, worker string, expires timestamp"
-
-
-@dataclass(frozen=True)
-class Rule:
-    """One command. stage: a name, "given" (the command's) or "resume" (research if there is a plan, else planning); error: a text, "note" or None."""
-
-    command: str
-    before: tuple[str, ...]
-    status: str
-    stage: str | None = None
-    free: bool = False
-    plan: bool = False
-    error: str | None = None
-    retry: bool = False
-
-
-RULES = (
-    Rule("plan", ("queued", "running"), "waiting_approval", "approval", plan=True),
-    Rule("approve", ("waiting_approval",), "queued", "researcher", free=True),
-    Rule("edit", ("waiting_approval",), "queued", "researcher", free=True, plan=True),
-    Rule("reject", ("waiting_approval",), "cancelled", "completed", free=True, error="note"),
-    Rule("cancel", OPEN, "cancelled", "completed", error="run cancelled"),
-    Rule("retry", ("failed",), "queued", "resume", free=True, retry=True),
-    Rule("advance", ("queued", "running"), "running", "given"),
-    Rule("fail", OPEN, "failed", error="note"),
-    Rule("finish", ("running",), "succeeded", "completed"),
-)
-
-
-def _apply(run: Column, x: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """The run after a command, with told: applied, kept (a cancel after the end) or refused."""
-    free = run["worker"].isNull() | run["expires"].isNull() | (run["expires"] <= x["ts"])
-    text = F.lit(None).cast("string")
-    same = F.struct(*[run[f.split()[0]] for f in RUN.split(", ")])
-    out = None
-    for r in rules:
-        may = (x["command"] == r.command) & run["status"].isin(list(r.before)) & (free if r.free else F.lit(True))
-        resumed = F.when(run["plan"].isNotNull(), "researcher").otherwise("planner")
-        stage = {None: run["stage"], "given": F.coalesce(x["stage"], run["stage"]), "resume": resumed}.get(r.stage, F.lit(r.stage))
-        error = {None: text, "note": x["note"]}.get(r.error, F.lit(r.error))
-        over = r.status in ENDED
-        after = F.struct(
-            F.lit(r.status).alias("status"),
-            stage.alias("stage"),
-            (F.coalesce(x["plan"], run["plan"]) if r.plan else run["plan"]).alias("plan"),
-            error.alias("error"),
-            (run["retries"] + int(r.retry)).alias("retries"),
-            (text if over else run["worker"]).alias("worker"),
-            (F.lit(None).cast("timestamp") if over else run["expires"]).alias("expires"),
-        )
-        step = F.struct(after.alias("run"), F.lit("applied").alias("told"))
-        out = F.when(may, step) if out is None else out.when(may, step)
-    kept = (x["command"] == "cancel") & run["status"].isin(list(ENDED))
-    return out.otherwise(F.struct(same.alias("run"), F.when(kept, "kept").otherwise("refused").alias("told")))
+from corroborate.operators import runrules as Q
+from corroborate.operators.runrules import OPEN, RULES, Rule
 
 
 def controlled(commands: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Each run after its commands, in order of ord: run_id, status, stage, plan, error, retries, told (of each command)."""
-    log = commands.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("ord", "ts", "command", "note", "plan", "stage"))).alias("log"))
-    new = F.from_json(F.lit('{"status":"queued","stage":"planner","retries":0}'), RUN)
-    begin = F.struct(new.alias("run"), F.array().cast("array<string>").alias("told"))
-
-    def step(acc: Column, x: Column) -> Column:
-        # one element, so that the rules are gone through once for both of its parts
-        return F.get(F.transform(F.array(_apply(acc["run"], x, rules)), lambda y: F.struct(y["run"].alias("run"), F.concat(acc["told"], F.array(y["told"])).alias("told"))), F.lit(0))
+    """Each run after its log in order of ord: run_id, status, stage, plan, error, retries, told (of each request).
 
-    return log.select("run_id", F.aggregate("log", begin, step).alias("s")).select("run_id", "s.run.status", "s.run.stage", "s.run.plan", "s.run.error", "s.run.retries", "s.told")
+    The log is (run_id, ord, ts, command, note, plan, stage), and with the other columns of `runrules.REQUEST` it holds leases too:
+    commands that need a free run are refused while one is live."""
+    return Q.folded(commands.withColumnRenamed("command", "kind"), rules, told=True).select("run_id", "status", "stage", "plan", "error", "retries", "told")
 
 
 def reusable(runs: DataFrame, checkpoints: DataFrame) -> DataFrame:

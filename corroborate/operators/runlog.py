@@ -1,8 +1,4 @@
-"""Durable runs as an event log: the state of a run is the fold of its requests in order.
-
-Requests are rows (run_id, ord, ts, kind, worker, expected, status, lease_seconds). A request takes effect only if
-the state allows it; the fold gives, per request, whether it did, so lost races are rows and not exceptions.
-"""
+"""Durable runs as an event log: the state of a run is the fold of its requests in order, by the rules of `runrules`."""
 
 from __future__ import annotations
 
@@ -10,47 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-TERMINAL = ["succeeded", "failed", "cancelled"]
-STATE = "status string, worker string, expires timestamp_ntz, changed timestamp_ntz, applied int, rejected int"
-
-
-def _step(acc: Column, x: Column) -> Column:
-    """The state after a request."""
-    kind, worker, now = x["kind"], x["worker"], x["ts"]
-    over = acc["status"].isin(TERMINAL)
-    own = acc["worker"] == worker
-    free = acc["worker"].isNull() | acc["expires"].isNull() | (acc["expires"] <= now)
-    live = F.coalesce(own, F.lit(False))
-    ok = (
-        F.when(kind == "transition", F.array_contains(x["expected"], acc["status"]))  # compare and set
-        .when(kind == "acquire", ~over & (free | live))
-        .when(kind == "heartbeat", ~over & live)
-        .when(kind == "release", live)
-        .when(kind == "complete", (acc["status"] == "running") & live)
-        .when(kind == "recover", (acc["status"] == "running") & F.coalesce(acc["expires"] <= now, F.lit(False)))
-        .otherwise(False)
-    )
-    ok = F.coalesce(ok, F.lit(False))
-    until = now + F.make_dt_interval(secs=x["lease_seconds"].cast("decimal(18,6)"))
-    lease = ok & kind.isin("acquire", "heartbeat")
-    drop = ok & kind.isin("release", "complete", "recover")
-    status = F.when(ok & (kind == "transition"), x["status"]).when(ok & (kind == "complete"), "succeeded").when(ok & (kind == "recover"), "queued").otherwise(acc["status"])
-    return F.struct(
-        status.alias("status"),
-        F.when(drop, F.lit(None).cast("string")).when(lease, worker).otherwise(acc["worker"]).alias("worker"),
-        F.when(drop, F.lit(None).cast("timestamp_ntz")).when(lease, until).otherwise(acc["expires"]).alias("expires"),
-        F.when(ok, now).otherwise(acc["changed"]).alias("changed"),
-        (acc["applied"] + ok.cast("int")).alias("applied"),
-        (acc["rejected"] + (~ok).cast("int")).alias("rejected"),
-    )
-
+from corroborate.operators import runrules as Q
 
 def fold(requests: DataFrame, start: str = "queued") -> DataFrame:
-    """The state of each run after all its requests: run_id, status, worker, expires, changed, applied, rejected."""
-    x = F.struct("ord", "ts", "kind", "worker", "expected", "status", "lease_seconds")
-    log = requests.groupBy("run_id").agg(F.array_sort(F.collect_list(x)).alias("log"))
-    begin = F.from_json(F.lit(f'{{"status":"{start}","applied":0,"rejected":0}}'), STATE)
-    return log.select("run_id", F.aggregate("log", begin, _step).alias("s")).select("run_id", "s.*")
+    """The state of each run after all its requests: run_id, status, worker, expires, changed, applied, rejected."""
+    return Q.folded(requests, start=start).select("run_id", "status", "worker", "expires", "changed", "applied", "rejected")
 
 
 def stale(runs: DataFrame, now: Column) -> DataFrame:

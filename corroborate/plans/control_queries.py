@@ -11,6 +11,7 @@ from corroborate.operators import evidence as E
 from corroborate.operators import judging as J
 from corroborate.operators import replay as R
 from corroborate.operators import retrieval as X
+from corroborate.operators import runrules as Q
 from corroborate.plans.evidence_queries import _FUSE, _VEC, K, _label_ranking, _vectors
 from corroborate.session import table
 
@@ -32,6 +33,26 @@ def run_control(spark, sf_dir):
     return C.controlled(rows).withColumn("told", F.array_join("told", ","))
 
 
+def run_log(spark, sf_dir):
+    """users' weeks of events as logs of commands and leases: two workers, leases of `value` hours, commands that a live lease refuses."""
+    e = table(spark, sf_dir, "events").withColumn("k", _key())
+    kinds = [r.kind for r in Q.RULES]
+    high = F.col("value") > 50
+    named = {
+        "kind": F.element_at(F.array(*[F.lit(x) for x in kinds]), F.pmod("k", F.lit(len(kinds))) + 1),
+        "worker": F.concat(F.lit("w"), F.pmod(F.floor(F.col("k") / len(kinds)), F.lit(2))),
+        "expected": F.when(high, F.array(F.lit("queued"), F.lit("waiting_approval"))).otherwise(F.array(F.lit("failed"))),
+        "status": F.when(F.col("event_type") == "view", "queued").otherwise("running"),
+        "lease_seconds": F.round(F.col("value") * 100).cast("long") * 36,
+        "note": F.concat(F.lit("note "), "k"),
+        "plan": F.concat(F.lit("p"), "k"),
+        "stage": F.when(high, "verifier").otherwise("researcher"),
+    }
+    log = e.select(F.concat_ws("-", "user_id", F.weekofyear("ts")).alias("run_id"), F.col("event_id").alias("ord"), "ts", *[c.alias(n) for n, c in named.items()])
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return Q.folded(log).select("run_id", "status", "stage", "plan", "error", "retries", "worker", stamp("expires"), stamp("changed"), "applied", "rejected")
+
+
 def worker_loops(spark, sf_dir):
     """Users as workers whose polls find a run or, on an error, nothing; loops that end after five runs, when idle, or not."""
     e = table(spark, sf_dir, "events")
@@ -117,10 +138,11 @@ def timestamps(spark, sf_dir):
     return e.select("event_id", N.formatted(back).alias("moment"), N.formatted(end).alias("lease_until"), N.millis(back, end).alias("ms"))
 
 
-QUERIES = {f.__name__: f for f in (run_control, worker_loops, search_outcomes, hybrid_sources, degraded_sources, redactions, judgment_contracts, evidence_readiness, timestamps)}
+QUERIES = {f.__name__: f for f in (run_control, run_log, worker_loops, search_outcomes, hybrid_sources, degraded_sources, redactions, judgment_contracts, evidence_readiness, timestamps)}
 
 _CMD = "['" + "', '".join(COMMANDS) + "']"
 
+_KINDS = "['" + "', '".join(r.kind for r in Q.RULES) + "']"
 _LIST = lambda x: "[" + ", ".join(f"'{v}'" for v in x) + "]"
 
 ORACLES = {
@@ -157,6 +179,30 @@ FROM (SELECT c.*, status, stage, plan, error, retries, told, CASE cmd WHEN 'plan
     WHEN 'finish' THEN status = 'running' WHEN 'cancel' THEN status IN ('queued', 'running', 'waiting_approval') WHEN 'fail' THEN status IN ('queued', 'running', 'waiting_approval') ELSE status = 'waiting_approval' END AS ok
   FROM s JOIN c ON c.run_id = s.run_id AND c.n = s.n + 1))
 SELECT run_id, status, stage, plan, error, retries, told FROM s QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY n DESC) = 1""",
+    "run_log": f"""
+WITH RECURSIVE j AS (SELECT user_id || '-' || weekofyear(ts) AS run_id, row_number() OVER (PARTITION BY user_id, weekofyear(ts) ORDER BY event_id) AS n, ts, value, event_type, CAST(json_extract(props, '$.k') AS INT) AS k FROM events),
+c AS (SELECT *, {_KINDS}[k % {len(Q.RULES)} + 1] AS kind, 'w' || (k // {len(Q.RULES)} % 2) AS w, ts + to_seconds(CAST(round(value * 100) AS BIGINT) * 36) AS until FROM j),
+s AS (SELECT DISTINCT run_id, CAST(0 AS BIGINT) AS n, 'queued' AS status, 'planner' AS stage, CAST(NULL AS VARCHAR) AS plan, CAST(NULL AS VARCHAR) AS error, 0 AS retries, CAST(NULL AS VARCHAR) AS worker,
+  CAST(NULL AS TIMESTAMP) AS expires, CAST(NULL AS TIMESTAMP) AS changed, 0 AS applied, 0 AS rejected FROM c
+UNION ALL SELECT run_id, n,
+  CASE WHEN NOT ok THEN status WHEN kind = 'transition' THEN CASE WHEN event_type = 'view' THEN 'queued' ELSE 'running' END WHEN kind IN ('complete', 'finish') THEN 'succeeded' WHEN kind = 'plan' THEN 'waiting_approval'
+    WHEN kind IN ('recover', 'approve', 'edit', 'retry') THEN 'queued' WHEN kind IN ('reject', 'cancel') THEN 'cancelled' WHEN kind = 'advance' THEN 'running' WHEN kind = 'fail' THEN 'failed' ELSE status END,
+  CASE WHEN NOT ok THEN stage WHEN kind = 'plan' THEN 'approval' WHEN kind IN ('approve', 'edit') THEN 'researcher' WHEN kind IN ('reject', 'cancel', 'finish') THEN 'completed'
+    WHEN kind = 'retry' THEN CASE WHEN plan IS NULL THEN 'planner' ELSE 'researcher' END WHEN kind = 'advance' THEN CASE WHEN value > 50 THEN 'verifier' ELSE 'researcher' END ELSE stage END,
+  CASE WHEN ok AND kind IN ('plan', 'edit') THEN 'p' || k ELSE plan END,
+  CASE WHEN NOT ok OR kind IN ('transition', 'acquire', 'heartbeat', 'release', 'complete', 'recover') THEN error WHEN kind IN ('reject', 'fail') THEN 'note ' || k WHEN kind = 'cancel' THEN 'run cancelled' END,
+  retries + CASE WHEN ok AND kind = 'retry' THEN 1 ELSE 0 END,
+  CASE WHEN ok AND kind IN ('acquire', 'heartbeat') THEN w WHEN ok AND kind IN ('release', 'complete', 'recover', 'reject', 'cancel', 'fail', 'finish') THEN NULL ELSE worker END,
+  CASE WHEN ok AND kind IN ('acquire', 'heartbeat') THEN until WHEN ok AND kind IN ('release', 'complete', 'recover', 'reject', 'cancel', 'fail', 'finish') THEN NULL ELSE expires END,
+  CASE WHEN ok THEN ts ELSE changed END, applied + CASE WHEN ok THEN 1 ELSE 0 END, rejected + CASE WHEN ok OR over AND kind = 'cancel' THEN 0 ELSE 1 END
+FROM (SELECT *, CASE kind WHEN 'transition' THEN CASE WHEN value > 50 THEN status IN ('queued', 'waiting_approval') ELSE status = 'failed' END WHEN 'acquire' THEN NOT over AND (free OR mine) WHEN 'heartbeat' THEN NOT over AND mine
+    WHEN 'release' THEN mine WHEN 'complete' THEN status = 'running' AND mine WHEN 'recover' THEN status = 'running' AND coalesce(expires <= ts, false) WHEN 'plan' THEN status IN ('queued', 'running')
+    WHEN 'retry' THEN status = 'failed' AND free WHEN 'advance' THEN status IN ('queued', 'running') WHEN 'finish' THEN status = 'running' WHEN 'cancel' THEN NOT over WHEN 'fail' THEN NOT over
+    ELSE status = 'waiting_approval' AND free END AS ok
+  FROM (SELECT s.status, s.stage, s.plan, s.error, s.retries, s.worker, s.expires, s.changed, s.applied, s.rejected, c.*, status IN ('succeeded', 'failed', 'cancelled') AS over,
+      worker IS NULL OR expires IS NULL OR expires <= ts AS free, coalesce(worker = w, false) AS mine FROM s JOIN c ON c.run_id = s.run_id AND c.n = s.n + 1)))
+SELECT run_id, status, stage, plan, error, retries, worker, strftime(expires, '%Y-%m-%d %H:%M:%S') AS expires, strftime(changed, '%Y-%m-%d %H:%M:%S') AS changed, applied, rejected
+FROM s QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY n DESC) = 1""",
     "worker_loops": """
 WITH p AS (SELECT user_id AS worker, event_id AS ord, CASE WHEN event_type <> 'error' THEN event_id END AS run_id FROM events),
 d AS (SELECT *, count(run_id) OVER (PARTITION BY worker ORDER BY ord) AS done FROM p),

@@ -160,3 +160,15 @@ def test_markdown():
     assert D.misaligned("Other [S1].", ["Cited one [S1]."], "") == "sentence outside claims" and D.misaligned("bare", [], "") == "uncited text" and D.misaligned("# Sales grew", [], "") == "heading"
     assert D.without_uncited("Revenue 2024 | x\n--- | ---\n1 | 2", "")["error"]
     assert D.safe_label("Acme pricing", "What is the Acme pricing?") and not D.safe_label("Acme doubled", "Acme") and not D.safe_label("Only option", "")
+
+
+def test_result_texts_are_those_of_the_plain_version(spark):
+    pages = ["<p>a &amp; b</p>\u00a0\u2003 c\x1c d", "", None, "no tag", "&lt;b&gt; <i>x</i>", " \n ", "<<a>b>", "5 &gt 3 &notanentity;", "x" * 100_000 + "<br>&nbsp;y"]
+    df = spark.createDataFrame([(k, p) for k, p in enumerate(pages)], "k int, p string")
+    assert {r.k: r.t for r in df.select("k", html.content(F.col("p")).alias("t")).collect()} == {k: html.plain(p) for k, p in enumerate(pages)}
+
+
+def test_body_text_of_tags_that_close_nothing():
+    assert html.body_text("</nav>a<nav><header>b</header>c</nav>d") == "a d"
+    assert html.body_text("<main>x</article>a</main>b") == "x"
+    assert html.body_text("") == "" and html.body_text(None) is None
