@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corroborate.operators import judging as J
 from corroborate.operators import replay as R
 from corroborate.session import new_path, table
-from corroborate.sources import files
+from corroborate.sources import batches, files
 
 
 def corpus_round_trip(spark, sf_dir):
@@ -81,9 +82,25 @@ def run_table_round_trip(spark, sf_dir):
     return files.run_table(spark, at).groupBy("run_id", "stage").agg(F.count("*").alias("n"), F.count("payload").alias("n_payloads"), F.max("event_id").alias("last"))
 
 
-QUERIES = {f.__name__: f for f in (corpus_round_trip, cases_round_trip, numbered_cases, ir_round_trip, artifact_round_trip, cassette_round_trip, run_table_round_trip)}
+def judgment_batches(spark, sf_dir):
+    """Judgments of conversations' turns in batches, the first written twice; turns with a question mark are unscored at first and judged again. A row a turn: its attempts and its latest score."""
+    at = new_path(spark, "judgments")
+    c = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("rubric_id"), "text")
+    asks = F.coalesce(F.col("text").contains("?"), F.lit(False))
+    first = c.select("rubric_id", F.lit(1).alias("attempt"), F.when(asks, -1).otherwise(F.length("text") % 2).alias("score"))
+    again = c.filter(asks).select("rubric_id", F.lit(2).alias("attempt"), (F.length("text") % 2).alias("score"))
+    for rows in (first, again, first):
+        batches.append(rows, at)
+    judged = batches.read(spark, at, "rubric_id string, attempt int, score int")
+    counted = judged.groupBy("rubric_id").agg(F.count("*").alias("n_attempts"))
+    return J.latest(judged).join(counted, "rubric_id").select("rubric_id", "n_attempts", "attempt", "score")
+
+
+QUERIES = {f.__name__: f for f in (corpus_round_trip, cases_round_trip, numbered_cases, ir_round_trip, artifact_round_trip, cassette_round_trip, run_table_round_trip, judgment_batches)}
 
 ORACLES = {
+    "judgment_batches": """SELECT conv_id || ':' || turn AS rubric_id, CASE WHEN a THEN 2 ELSE 1 END AS n_attempts, CASE WHEN a THEN 2 ELSE 1 END AS attempt, length(text) % 2 AS score
+FROM (SELECT *, coalesce(contains(text, '?'), false) AS a FROM conversations)""",
     "corpus_round_trip": "SELECT CASE WHEN doc_id % 3 > 0 THEN 'd' || doc_id ELSE 'file:///' || source || '/' || doc_id END AS id, lang AS title, 'file:///' || source || '/' || doc_id AS url, md5(text) AS content_md5 FROM documents",
     "cases_round_trip": "SELECT 'case ' || item_id AS id, md5(text) AS query_md5, 'c' || item_id % 4 AS category, 'items' AS benchmark_name, CAST(length(text) AS VARCHAR) AS size, 1 AS n_metadata FROM benchmark",
     "numbered_cases": "SELECT * FROM (SELECT format('case-{:04d}', row_number() OVER (ORDER BY item_id)) AS case_id, md5(text) AS query_md5 FROM benchmark) ORDER BY case_id LIMIT 20 OFFSET 5",

@@ -12,6 +12,7 @@ named by its rows (their number and two sums of their hashes), so the same rows
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -132,6 +133,8 @@ def append(rows: DataFrame, path: str, batch: str | None = None) -> str:
     ship(spark)
     spark.dataSource.register(Batches)
     name = batch or batch_name(rows)
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", name):
+        raise ValueError(f"no name for a batch: {name}")
     at = _qualified(spark, path)
     files, p = _folder(spark, f"{at}/commits/{name}.json")
     if files.exists(p):
