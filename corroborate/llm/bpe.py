@@ -218,9 +218,10 @@ class ByteBpe:
 
     def learn(self, fresh: list[str]) -> dict[str, bytes]:
         """Token ids, as little-endian 32-bit integers, of words."""
-        told = {w: np.array(self.merge(w.encode()), "<u4").tobytes() for w in fresh if len(w) > LONGEST_CACHED // 4}
+        coded = {w: w.encode() for w in fresh}
+        told = {w: np.array(self.merge(b), "<u4").tobytes() for w, b in coded.items() if len(b) > LONGEST_CACHED}
         rest = [w for w in fresh if w not in told]
-        raw = [w.encode() for w in rest]
+        raw = [coded[w] for w in rest]
         if not raw:
             return told
         flat, ends = self.greedy(raw)
@@ -268,7 +269,7 @@ class ByteBpe:
             told.update(self.learn(fresh))
         out = [np.array([self.special[p]], "<u4").tobytes() if p in self.special else b"".join(map(told.__getitem__, x)) for p, x in zip(pieces, words, strict=True)]
         for w in fresh:
-            if len(w) > LONGEST_CACHED:
+            if len(w.encode()) > LONGEST_CACHED:
                 del told[w]
         return out
 

@@ -101,3 +101,14 @@ def test_long_texts_in_pieces(monkeypatch):
 @given(st.text(alphabet=st.characters(max_codepoint=255), max_size=60))
 def test_latin_words_are_the_words(text):
     assert bpe.words_of(text) == bpe.WORDS.findall(text)
+
+
+def test_every_word_of_at_most_64_bytes_is_proposed_and_tested(monkeypatch):
+    """Long words go the same way as short ones: none of them is merged on its own, and the ids are the library's."""
+    words = ["internationalisation", "counterrevolutionaries", "d41d8cd98f00b204e9800998ecf8427e", "x" * 64, "é" * 32, "漢字" * 10, "=" * 40, "Donaudampfschifffahrtsgesellschaft", "ab" * 31]
+    assert all(16 < len(w.encode()) <= 64 for w in words)
+    own = bpe.ByteBpe(open(PATH, "rb").read())
+    monkeypatch.setattr(own, "merge", lambda w: pytest.fail(f"{w} was merged on its own"))
+    got = [np.frombuffer(b"".join(x), "<u4").tolist() for x in own.encode_batch(words)]
+    assert got == [LIBRARY.encode(w, add_special_tokens=False).ids for w in words]
+    assert own.failed < sum(len(bpe.words_of(w)) for w in words)
