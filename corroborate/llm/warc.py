@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corroborate.session import answered_or_not, hot_keys, new_path, remove, written
+from corroborate.session import answered, answered_or_not, hot_keys, new_path, remove, written
 
 DATE = "2024-01-01T00:00:00Z"
 
@@ -74,14 +74,15 @@ def write(spark: SparkSession, pages: DataFrame, min_bytes: int = 0, date: str =
     slim = pages.select("page_id", "url", F.unhex(F.sha2(html, 256)).alias("d"), base32(F.sha1(html)).alias("sha1"), F.octet_length(html).cast("long").alias("n"))
     counted = written(spark, slim.withColumn("number", F.monotonically_increasing_id()), "counted")
     shared = written(spark, counted.filter("page_id is not null").groupBy("page_id").agg(F.count("*").alias("times")).filter("times > 1"), "shared")
-    slim = answered_or_not(counted, shared, "page_id", "times", counted.count())
+    total = counted.count()
+    slim = answered_or_not(counted, shared, "page_id", "times", total)
     slim = written(spark, slim.withColumn("own", F.when(F.col("page_id").isNull() | F.col("times").isNotNull(), F.col("number"))), "records")
     # the response is the record that sorts first; equal digests must agree in length and SHA-1; all of it combines map-side
     order = F.struct(F.col("page_id").isNull().alias("none"), F.bitwise_not("page_id").alias("late"), F.coalesce("url", F.lit("")).alias("u"), F.col("url").isNull().alias("z"), "number", "page_id", "own")
     groups = slim.groupBy("d").agg(F.count("*").alias("size"), F.min(order).alias("k"), (F.min("sha1") == F.max("sha1")).alias("s"), (F.min("n") == F.max("n")).alias("m"))
     same = F.when(F.col("s") & F.col("m"), F.lit(True)).otherwise(F.raise_error(F.lit("two payloads share a SHA-256 digest")).cast("boolean"))
-    groups = written(spark, groups.filter(same).filter("size > 1").select("d", F.col("k.page_id").alias("last"), F.col("k.number").alias("number_of_head"), F.col("k.own").alias("head")), "copies")  # most payloads have no copy
-    marked = slim.join(groups, "d", "left")
+    groups = written(spark, groups.filter(same).filter("size > 1").select("d", "size", F.col("k.page_id").alias("last"), F.col("k.number").alias("number_of_head"), F.col("k.own").alias("head")), "copies")  # most payloads have no copy
+    marked = answered_or_not(slim, groups, "d", "size", total)  # a payload of many records is no key of a shuffle
     response = F.col("number_of_head").isNull() | (F.col("n") < min_bytes) | (F.col("number") == F.col("number_of_head"))
     records = marked.withColumn("record_type", F.when(response, "response").otherwise("revisit"))
     archive = Archive(new_path(spark, "warc-payloads"), new_path(spark, "warc-headers"))
@@ -89,7 +90,7 @@ def write(spark: SparkSession, pages: DataFrame, min_bytes: int = 0, date: str =
     # a payload is stored by a row with the response's page_id; where equal ids repeat, duplicates of that row go
     keyed = pages.select("page_id", html.alias("payload")).withColumn("d", F.unhex(F.sha2("payload", 256)))
     first = F.col("page_id").eqNullSafe(F.col("last"))
-    copies = slim.join(groups, "d").select("d", "page_id", first.alias("first"))
+    copies = answered(slim, groups, "d", "size", total).select("d", "page_id", first.alias("first"))
     losers = written(spark, copies.filter(~F.col("first")).select(F.col("d").alias("__d"), F.col("page_id").alias("__p")).distinct(), "losers")
     kept = keyed.join(losers, (F.col("d") == F.col("__d")) & F.col("page_id").eqNullSafe(F.col("__p")), "left_anti")
     repeated = written(spark, copies.filter("first").groupBy(F.col("d").alias("__d")).agg(F.count("*").alias("c")).filter("c > 1").select("__d"), "repeated")

@@ -74,3 +74,5 @@ def test_a_payload_of_many_records_meets_them_in_many_tasks(spark, monkeypatch):
     got = warc.read(spark, archive).collect()
     assert all(r.verified for r in got) and Counter((r.page_id, bytes(r.payload).decode()) for r in got) == Counter((p, h) for p, _, h in rows)
     assert spark.read.parquet(archive.payloads).count() == len({h for _, _, h in rows})
+    told = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got)
+    assert told == brute(rows)
