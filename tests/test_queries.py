@@ -50,3 +50,14 @@ def test_nothing_else_imports_the_optional_part():
     root = Path(__spark_entry__.__file__).parent
     named = [p for p in (root / "corroborate").rglob("*.py") if "llm" not in p.parts and "corroborate.llm" in p.read_text()]
     assert named == []
+
+
+def test_confidences_are_rounded_as_the_sql_does(spark, tmp_path):
+    from corroborate.plans import control_queries as Q
+
+    values = [100.5, 100.49, 100.51, 100.499999999999, 0.5, 1.5, 28.5, 99.5, 0.0, -0.4, -0.5, -0.6]
+    con = duckdb.connect()
+    rows = ", ".join(f"({28 * k + i}, {v}::DOUBLE, '{{\"k\": {c}}}')" for k, (v, c) in enumerate((v, c) for v in values for c in range(6)) for i in (1, 2, 4, 9))
+    con.execute(f"COPY (SELECT * FROM (VALUES {rows}) t(event_id, value, props)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    assert text(Q.judgment_contracts(spark, str(tmp_path)).toPandas()) == text(con.execute(Q.ORACLES["judgment_contracts"]).df())
