@@ -45,8 +45,12 @@ def claim_tokens(claim: Column) -> Column:
 
 def overlap(claim: Column, passage: Column) -> Column:
     """The share of the claim's tokens that the passage has."""
-    c = claim_tokens(claim)
-    return F.when(F.size(c) == 0, 0.0).otherwise(F.size(F.array_intersect(c, content_tokens(passage))) / F.size(c))
+    return shared(claim_tokens(claim), content_tokens(passage))
+
+
+def shared(claim: Column, passage: Column) -> Column:
+    """overlap() of a claim's and a passage's tokens."""
+    return F.when(F.size(claim) == 0, 0.0).otherwise(F.size(F.array_intersect(claim, passage)) / F.size(claim))
 
 
 def min_overlap(claim: Column) -> Column:

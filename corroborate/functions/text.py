@@ -30,7 +30,8 @@ def stripped(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Distinct lower-cased ASCII words, CJK characters and CJK pairs of neighbours."""
-    words = extract_all(ascii_lower(text), WORD)
+    # what lower() would make ASCII letters of has gone by then
+    words = F.array_remove(F.split(F.lower(F.regexp_replace(text, "[^A-Za-z0-9_]+", " ")), " "), "")
     runs = extract_all(text, f"{CJK}+")
     singles = F.flatten(F.transform(runs, lambda r: F.split(r, "")))
     pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.when(F.length(r) > 1, F.substr(r, i, F.lit(2))))))
@@ -40,8 +41,13 @@ def tokens(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Pieces after sentence signs, or after a dot and white space; stripped, without empty ones."""
-    parts = F.split(stripped(text), r"(?<=[!?。！？])\s*|(?<=\.)\s+")
-    return F.filter(F.transform(parts, lambda s: stripped(s)), lambda s: s != "")
+    # a piece ends with a sign or the stripped text, and the white space behind it belongs to the cut: no piece has any at its ends
+    return F.array_remove(F.split(stripped(text), r"(?<=[!?。！？])\s*|(?<=\.)\s+"), "")
+
+
+def leading_sentence(text: Column) -> Column:
+    """The first of sentences(), or an empty text, without cutting the rest."""
+    return F.coalesce(F.regexp_extract(stripped(text), r"(?s)\A.*?(?:[!?。！？]|\.(?=\s)|\z)", 0), F.lit(""))
 
 
 def chunk_starts(length: Column, size: int, overlap: int) -> Column:
@@ -61,12 +67,16 @@ def windows(text: Column, width: int, step: int) -> Column:
     """Pieces of width characters every step characters up to the end, blank ones left out."""
     n = F.length(text)
     starts = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(n, F.lit(1)) - 1) / step).cast("int")), lambda k: k * step)
-    return F.filter(F.transform(starts, lambda s: F.substr(text, s + 1, F.lit(width))), lambda w: stripped(w) != "")
+    return F.filter(F.transform(starts, lambda s: F.substr(text, s + 1, F.lit(width))), lambda w: w.rlike(r"\S"))
 
 
 def evidence_windows(text: Column, max_chars: int = 280) -> Column:
     """T4: the squeezed text, or windows of max_chars of it that overlap by a third (40 at least)."""
-    t = squeezed(text)
+    return squeezed_windows(squeezed(text), max_chars)
+
+
+def squeezed_windows(t: Column, max_chars: int = 280) -> Column:
+    """evidence_windows() of a squeezed text, which for long texts has to be a column: the windows are cut in a lambda."""
     step = max(1, max_chars - max(40, max_chars // 3))
     return F.when(t == "", F.array().cast("array<string>")).when(F.length(t) <= max_chars, F.array(t)).otherwise(windows(t, max_chars, step))
 
@@ -168,14 +178,18 @@ def injected(text: Column) -> Column:
 ANYWHERE = ROLE_SYNTAX.replace(r"(?:^|\s)", "")
 
 
-def _suspect(text: Column) -> Column:
+def suspect(text: Column) -> Column:
     """No sentence of a text can be injected unless this holds: the patterns without their left edge, on the whole text."""
     return squeezed(text).rlike("(?i)" + "|".join([ANYWHERE, *INJECTION]))
 
 
 def sanitised_parts(text: Column) -> tuple[Column, Column]:
     """(text without instruction-like sentences and control characters, whether any was dropped)."""
-    parts, suspect = sentences(text), _suspect(text)
+    return sanitised_of(sentences(text), suspect(text))
+
+
+def sanitised_of(parts: Column, suspect: Column) -> tuple[Column, Column]:
+    """sanitised_parts() of a text's sentences() and suspect(), as columns: each is needed more than once."""
     kept = F.when(suspect, F.filter(parts, lambda s: ~injected(s))).otherwise(parts)
     return stripped(F.regexp_replace(F.array_join(kept, " "), CONTROL, "")), suspect & F.exists(parts, lambda s: injected(s))
 

@@ -37,8 +37,8 @@ def chunk_documents(spark, sf_dir):
 
 def evidence_windows(spark, sf_dir):
     """T4: windows of each document's whole text."""
-    w = T.evidence_windows(F.col("text"), 280)
-    return table(spark, sf_dir, "documents").select("doc_id", w.alias("w")).select("doc_id", F.size("w").alias("n_windows"), F.sha2(F.array_join("w", "|"), 256).alias("windows_sha"))
+    t = table(spark, sf_dir, "documents").select("doc_id", T.squeezed(F.col("text")).alias("t"))
+    return t.select("doc_id", T.squeezed_windows(F.col("t"), 280).alias("w")).select("doc_id", F.size("w").alias("n_windows"), F.sha2(F.array_join("w", "|"), 256).alias("windows_sha"))
 
 
 def passage_packing(spark, sf_dir):
@@ -92,7 +92,9 @@ def injection_scan(spark, sf_dir):
 
 def injection_sanitised(spark, sf_dir):
     """Texts without their hostile sentences."""
-    return _risky(spark, sf_dir).select("doc_id", T.sanitised(F.col("text")).alias("s")).select("doc_id", "s.flagged", F.md5("s.text").alias("text_md5"))
+    parts = _risky(spark, sf_dir).select("doc_id", T.sentences(F.col("text")).alias("parts"), T.suspect(F.col("text")).alias("suspect"))
+    clean, flagged = T.sanitised_of(F.col("parts"), F.col("suspect"))
+    return parts.select("doc_id", flagged.alias("flagged"), F.md5(clean).alias("text_md5"))
 
 
 def report_lines_sanitised(spark, sf_dir):
@@ -127,8 +129,10 @@ def follow_up_queries(spark, sf_dir):
 
 def spam_and_overlap(spark, sf_dir):
     """Overlap of each document's first sentence with the rest of it."""
-    s = F.coalesce(F.get(T.sentences(F.col("text")), 0), F.lit(""))
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(R.overlap(s, F.substr(F.col("text"), F.length(s) + 1, F.length("text"))), 6).alias("overlap"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", T.leading_sentence(F.col("text")).alias("s"))
+    d = d.select("doc_id", "s", F.substr(F.col("text"), F.length("s") + 1, F.length("text")).alias("rest"))
+    t = d.select("doc_id", R.claim_tokens(F.col("s")).alias("c"), R.content_tokens(F.col("rest")).alias("r"))
+    return t.select("doc_id", F.round(R.shared(F.col("c"), F.col("r")), 6).alias("overlap"))
 
 
 def content_hash_dups(spark, sf_dir):
