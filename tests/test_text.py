@@ -172,3 +172,27 @@ def test_body_text_of_tags_that_close_nothing():
     assert html.body_text("</nav>a<nav><header>b</header>c</nav>d") == "a d"
     assert html.body_text("<main>x</article>a</main>b") == "x"
     assert html.body_text("") == "" and html.body_text(None) is None
+
+
+def test_windows_of_long_texts_are_cut_from_a_column(spark, tmp_path):
+    from corroborate.plans import text_queries as Q
+
+    spark.createDataFrame([(1, "a  b " * 40_000), (2, ""), (3, " \n")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = Q.evidence_windows(spark, str(tmp_path))
+    lambdas = df._jdf.queryExecution().optimizedPlan().toString().split("lambdafunction(")[1:]
+    assert lambdas and not any("regexp_replace" in x.split("lambda")[0] for x in lambdas)
+    assert {r.doc_id: r.n_windows for r in df.collect()} == {1: -(-159_999 // 187), 2: 0, 3: 0}
+
+
+def test_leading_sentence_is_the_first_of_all(spark):
+    texts = ["One here. Two", " \n lead! x", "!!", "a.b.c. d", "no end ", "", "  ", "x?y", "end.  ", "。b", "1. 2. z", None, "\x0b a。 b", "a.\n"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    for r in df.select("t", T.leading_sentence(F.col("t")).alias("s"), F.coalesce(F.get(T.sentences(F.col("t")), 0), F.lit("")).alias("w"), T.sentences(F.col("t")).alias("all")).collect():
+        assert r.s == r.w and all(x and x == re.sub(r"^\s+|\s+$", "", x, flags=re.A) for x in r.all or []), r
+
+
+def test_entities_are_resolved_without_python(spark):
+    pages = ["&amp;&lt;", "a&ampb &notit; &notin; &NotEqualTilde; &x; & &; &#", "&#65;&#x41;&#x0041 &#0; &#128; &#x80;&#xD800;&#1114112;&#99999999999999999999;&#x110000;&#xffffffffff;", "&#1;&#11;&#x1F600;&#xfdd0;&#13;&#10;x&#00065z", "&amp;amp; &CounterClockwiseContourIntegral; &copy2; &#;&#x;&#xg", "end&quot", "&eacute;t&eacute &EACUTE; &a&b;&lt", "", None, "&nbsp;&nbsp"]
+    df = spark.createDataFrame([(k, p) for k, p in enumerate(pages)], "k int, p string").select("k", html.content(F.col("p")).alias("t"))
+    assert {r.k: r.t for r in df.collect()} == {k: html.plain(p) for k, p in enumerate(pages)}
+    assert "EvalPython" not in df._jdf.queryExecution().executedPlan().toString()
