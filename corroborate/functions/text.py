@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,15 +31,24 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+def ascii_words(text: Column) -> Column:
+    """Lower-cased ASCII words, repeats included. What lower() would make ASCII letters of has gone before it."""
+    return F.array_remove(F.split(F.lower(F.regexp_replace(text, "[^A-Za-z0-9_]+", " ")), " "), "")
+
+
+def has_cjk(text: Column) -> Column:
+    """Only texts of more bytes than characters are searched."""
+    return (F.octet_length(text) > F.length(text)) & text.rlike(CJK)
+
+
 def tokens(text: Column) -> Column:
     """Distinct lower-cased ASCII words, CJK characters and CJK pairs of neighbours."""
-    # what lower() would make ASCII letters of has gone by then
-    words = F.array_remove(F.split(F.lower(F.regexp_replace(text, "[^A-Za-z0-9_]+", " ")), " "), "")
+    words = ascii_words(text)
     runs = extract_all(text, f"{CJK}+")
     singles = F.flatten(F.transform(runs, lambda r: F.split(r, "")))
     pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.when(F.length(r) > 1, F.substr(r, i, F.lit(2))))))
     plain = F.array_distinct(words)
-    return F.when(text.rlike(CJK), F.array_distinct(F.filter(F.concat(words, singles, pairs), lambda t: t.isNotNull() & (t != "")))).otherwise(plain)
+    return F.when(has_cjk(text), F.array_distinct(F.filter(F.concat(words, singles, pairs), lambda t: t.isNotNull() & (t != "")))).otherwise(plain)
 
 
 def sentences(text: Column) -> Column:
@@ -47,7 +59,7 @@ def sentences(text: Column) -> Column:
 
 def leading_sentence(text: Column) -> Column:
     """The first of sentences(), or an empty text, without cutting the rest."""
-    return F.coalesce(F.regexp_extract(stripped(text), r"(?s)\A.*?(?:[!?。！？]|\.(?=\s)|\z)", 0), F.lit(""))
+    return F.coalesce(F.regexp_extract(text, r"(?s)\A\s*(.*?(?:[!?。！？]|\.(?=\s)|(?=\s*\z)))", 1), F.lit(""))
 
 
 def chunk_starts(length: Column, size: int, overlap: int) -> Column:
@@ -178,9 +190,14 @@ def injected(text: Column) -> Column:
 ANYWHERE = ROLE_SYNTAX.replace(r"(?:^|\s)", "")
 
 
-def suspect(text: Column) -> Column:
-    """No sentence of a text can be injected unless this holds: the patterns without their left edge, on the whole text."""
-    return squeezed(text).rlike("(?i)" + "|".join([ANYWHERE, *INJECTION]))
+# Each of the patterns needs one of these, in lower case.
+NEEDED = ("system", "assistant", "developer", "tool", "function", "recipient_name", "ignore", "disregard", "reveal", "you", "忽略", "泄露", "输出", "展示", "你现在是")
+
+
+def suspect(text: Column, lowered: Column | None = None) -> Column:
+    """No sentence of a text can be injected unless this holds: the patterns without their left edge, on the whole text. lowered, where given, is lower(text) as a column: texts without the words that a pattern needs are not matched."""
+    found = squeezed(text).rlike("(?i)" + "|".join([ANYWHERE, *INJECTION]))
+    return found if lowered is None else reduce(or_, [lowered.contains(w) for w in NEEDED]) & found
 
 
 def sanitised_parts(text: Column) -> tuple[Column, Column]:

@@ -92,7 +92,8 @@ def injection_scan(spark, sf_dir):
 
 def injection_sanitised(spark, sf_dir):
     """Texts without their hostile sentences."""
-    parts = _risky(spark, sf_dir).select("doc_id", T.sentences(F.col("text")).alias("parts"), T.suspect(F.col("text")).alias("suspect"))
+    risky = _risky(spark, sf_dir).withColumn("low", F.lower("text"))
+    parts = risky.select("doc_id", T.sentences(F.col("text")).alias("parts"), T.suspect(F.col("text"), F.col("low")).alias("suspect"))
     clean, flagged = T.sanitised_of(F.col("parts"), F.col("suspect"))
     return parts.select("doc_id", flagged.alias("flagged"), F.md5(clean).alias("text_md5"))
 
@@ -131,7 +132,9 @@ def spam_and_overlap(spark, sf_dir):
     """Overlap of each document's first sentence with the rest of it."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", T.leading_sentence(F.col("text")).alias("s"))
     d = d.select("doc_id", "s", F.substr(F.col("text"), F.length("s") + 1, F.length("text")).alias("rest"))
-    t = d.select("doc_id", R.claim_tokens(F.col("s")).alias("c"), R.content_tokens(F.col("rest")).alias("r"))
+    # a claim's tokens hold no stop words and are met once each: plain texts need not be rid of either
+    r = F.when(T.has_cjk(F.col("rest")), T.tokens(F.col("rest"))).otherwise(T.ascii_words(F.col("rest")))
+    t = d.select("doc_id", R.claim_tokens(F.col("s")).alias("c"), r.alias("r"))
     return t.select("doc_id", F.round(R.shared(F.col("c"), F.col("r")), 6).alias("overlap"))
 
 
