@@ -132,10 +132,13 @@ def spam_and_overlap(spark, sf_dir):
     """Overlap of each document's first sentence with the rest of it."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", T.leading_sentence(F.col("text")).alias("s"))
     d = d.select("doc_id", "s", F.substr(F.col("text"), F.length("s") + 1, F.length("text")).alias("rest"))
-    # a claim's tokens hold no stop words and are met once each: plain texts need not be rid of either
-    r = F.when(T.has_cjk(F.col("rest")), T.tokens(F.col("rest"))).otherwise(T.ascii_words(F.col("rest")))
-    t = d.select("doc_id", R.claim_tokens(F.col("s")).alias("c"), r.alias("r"))
-    return t.select("doc_id", F.round(R.shared(F.col("c"), F.col("r")), 6).alias("overlap"))
+    cjk = T.has_cjk(F.col("rest"))
+    words = F.concat(F.lit(" "), F.lower(F.regexp_replace("rest", "[^A-Za-z0-9_]+", " ")), F.lit(" "))
+    t = d.select("doc_id", R.claim_tokens(F.col("s")).alias("c"), F.when(cjk, R.content_tokens(F.col("rest"))).alias("r"), F.when(~cjk, words).alias("words"))
+    # the few words of the sentence are looked up in the rest as it is; only texts in CJK are cut in tokens
+    held = F.size(F.filter("c", lambda w: F.col("words").contains(F.concat(F.lit(" "), w, F.lit(" ")))))
+    plain = F.when(F.size("c") == 0, 0.0).otherwise(held / F.size("c"))
+    return t.select("doc_id", F.round(F.when(F.col("r").isNotNull(), R.shared(F.col("c"), F.col("r"))).otherwise(plain), 6).alias("overlap"))
 
 
 def content_hash_dups(spark, sf_dir):

@@ -196,3 +196,16 @@ def test_entities_are_resolved_without_python(spark):
     df = spark.createDataFrame([(k, p) for k, p in enumerate(pages)], "k int, p string").select("k", html.content(F.col("p")).alias("t"))
     assert {r.k: r.t for r in df.collect()} == {k: html.plain(p) for k, p in enumerate(pages)}
     assert "EvalPython" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_sentences_are_met_with_the_rest(spark, tmp_path):
+    from corroborate.plans import text_queries as Q
+
+    texts = ["Alpha beta_1 gamma. beta_1, ALPHA! delta", "Same same. x same", "the of. the of", "", "no rest", "中文 alpha。中文 ALPHA", "中文 alpha。 alpha only", "Cat dog. concat dogs", "É cat. É-cat", "K k. K"]
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    d = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    s = F.coalesce(F.get(T.sentences(F.col("text")), 0), F.lit(""))
+    want = d.select("doc_id", F.round(R.overlap(s, F.substr(F.col("text"), F.length(s) + 1, F.length("text"))), 6).alias("overlap")).collect()
+    df = Q.spam_and_overlap(spark, str(tmp_path))
+    assert sorted(df.collect()) == sorted(want)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("(?<=[!?") == 0  # no text is cut whole for its first sentence
